@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 from weftline.llm.byte_bpe import op10_byte_bpe
+from weftline.llm.chat_format import op6_chat_format
+from weftline.llm.decontaminate import op5_decontaminate
+from weftline.llm.token_counts import op9_token_counts
+from weftline.llm.toxicity import op8_toxicity
+from weftline.llm.url_filter import op3_url_filter
 
 QUERIES = {
+    "op3_url_filter": op3_url_filter,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_chat_format": op6_chat_format,
+    "op8_toxicity": op8_toxicity,
+    "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
