@@ -1,15 +1,64 @@
-"""A training-data pipeline over documents: each stage reads what the one before it kept."""
+"""A training-data pipeline over documents: each stage reads what the one before it kept.
+
+Toxic documents go, then all but one of each group of near copies, then passages that repeat, then documents that hold
+benchmark passages; what is left becomes tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import byte_bpe, decontaminate, ngram_join, repeats, toxicity
+from weftline.llm.common import table
+from weftline.session import cut
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_ordinary(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the digests of ids and of the text decoded from them."""
+    import public_tokenizers as P
+
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    decoded = byte_bpe.decode(byte_bpe.encode(docs, ranks, P.PATTERN), ranks)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", drop_near_copies),
+    ("repeats", drop_repeats),
+    ("decontaminate", drop_contaminated),
+    ("byte_bpe", to_tokens),
+]
 
-STAGES: list = []
+#: SQL has no suffix sorting, no dictionaries and no merges: the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -134,6 +134,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most: int = SHARD_BYTES
     return every.select("doc_id", "n_words", hit.alias("n_hit"), F.array_sort("items").alias("items"), "spans").withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns; nothing is shuffled.
+
+    With several shards a row passes one scan after the other and gathers its hit words on the way.
+    """
+    spark, at, columns = docs.sparkSession, docs.columns.index("text"), docs.columns
+    runs = "_hit_runs"
+    rows = docs.withColumn(runs, F.array().cast("array<struct<lo: bigint, hi: bigint>>")).withColumn("_n_words", F.lit(0).cast("long"))
+    for found in shards(benchmark, most):
+        if not found:
+            continue
+        shared = spark.sparkContext.broadcast(found)
+        small_batches(spark)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            a = automaton(shared.value)
+            for b in batches:
+                n, hits = [], []
+                for text, had in zip(b.column(at).to_pylist(), b.column(len(columns)).to_pylist()):
+                    words = words_of(text)
+                    n.append(len(words))
+                    hits.append(had + [{"lo": lo, "hi": hi} for lo, hi in (hit_words(words, a)[0] if words else [])])
+                last = len(columns)
+                yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(hits, b.schema.field(last).type), pa.array(n, pa.int64())], schema=b.schema)
+
+        rows = rows.mapInArrow(run, rows.schema)
+    hit = F.aggregate(_united(runs), F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"])
+    return rows.where(~((hit > 0) & (hit * SHARE >= F.col("_n_words")))).select(*(F.col(f"`{c}`") for c in columns))
+
+
 def _united(column: str):
     """Overlapping runs made one."""
     pair = F.col(column)

@@ -219,5 +219,13 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     return rows.join(cut(of), "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that stand for their component, one for each; rows without a doc_id stay as they are."""
+    linked = link(docs, words, percent)
+    kept = cut(linked.where("doc_id = component_id").select("doc_id").distinct())
+    with_id = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return with_id.unionByName(docs.where("doc_id is null"))
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))

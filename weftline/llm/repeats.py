@@ -239,6 +239,43 @@ def kept_bytes(raw: bytes, removed: list[list[int]] | None) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
+def whole_characters(raw: bytes, spans: list[list[int]] | None) -> list[list[int]]:
+    """The spans without the bytes of characters that they cut."""
+    out = []
+    for lo, hi in spans or []:
+        while lo < hi and raw[lo] & 0xC0 == 0x80:
+            lo += 1
+        while hi > lo and hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+            hi -= 1
+        if lo < hi:
+            out.append([lo, hi])
+    return out
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """All rows of docs with what repeats cut out of their texts (whole characters only), n_chars following if there."""
+    columns = docs.columns
+    at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for text, spans in zip(b.column(at).to_pylist(), b.column(len(columns)).to_pylist()):
+                raw = (text or "").encode()
+                texts.append(kept_bytes(raw, whole_characters(raw, spans)).decode() if spans else text)
+            kept = list(b.columns[: len(columns)])
+            kept[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(kept, columns)
+
+    rows = with_spans(docs)
+    small_batches(docs.sparkSession)
+    out = rows.mapInArrow(run, docs.schema)
+    if "n_chars" in columns:
+        size = F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.select(*(F.coalesce(size, F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns))
+    return out
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for docs (doc_id, text)."""
 

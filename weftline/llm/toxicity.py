@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_ordinary(docs: DataFrame, model: Model) -> DataFrame:
     """The rows whose score stays below the threshold, with all their columns."""
-    spark, names, at = docs.sparkSession, docs.columns, docs.columns.index("text")
+    spark, at = docs.sparkSession, docs.columns.index("text")
     shared = spark.sparkContext.broadcast(model)
     small_batches(spark)
 
@@ -206,7 +206,6 @@ def keep_ordinary(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([scorer.score(t) < THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
 
-    del names
     return docs.mapInArrow(run, docs.schema)
 
 
