@@ -1,9 +1,13 @@
-"""Session factory and checkpoint folder."""
+"""Session factory, and tables that cut a plan's lineage."""
 
 from __future__ import annotations
 
+import atexit
+import gc
 import os
 import tempfile
+import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,23 +23,63 @@ def session(app: str = "weftline", cpus: str = "*") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("WEFT_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; only where it is unset (tests) make one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
+_made: dict[str, SparkSession] = {}
+_own: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and drop its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all executors share; only where it is unset (tests), one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="weftline-"))
+    return _own[0]
+
+
+def cut(df: DataFrame, drop: Iterable[DataFrame] = ()) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: its lineage ends here, and lost executors cost nothing.
+
+    Tables given in drop are deleted, which is for the caller to know to be needed no longer; what is left goes when the
+    program ends. Shuffle files of plans that nobody holds are freed as well.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/weftline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weftline_path = path
+    _made[path] = spark
+    del df
+    discard(*drop)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # the driver's cleaner removes shuffle files of collected plans only
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by cut."""
+    for t in tables:
+        path = getattr(t, "_weftline_path", None)
+        if path in _made:
+            _delete(_made.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path, spark in list(_made.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone already
+            return
