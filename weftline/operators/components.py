@@ -58,7 +58,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
     edges = cut(edges.mapInArrow(_forest, "a bigint, b bigint").distinct())
-    labels = None
+    labels = done = None
     for _ in range(max_rounds):
         if edges.isEmpty():
             break
@@ -66,17 +66,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"))
         least = cut(least)
         up = least.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        point = cut(least.join(up, "to").select("node", F.col("next").alias("to")))
+        point = cut(least.join(up, "to").select("node", F.col("next").alias("to")), [least])
         moved = point.where("node <> to")
         if labels is None:
             labels = point.select("node", F.col("to").alias("component"))
         else:
             step = moved.select(F.col("node").alias("component"), F.col("to").alias("next"))
             labels = labels.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-        labels = cut(labels)
+        labels = cut(labels, [done] if done is not None else [])
+        done = labels
         to = lambda c: moved.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))
         edges = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b")).where("a <> b")
-        edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), [point, edges])
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
     if labels is None:
