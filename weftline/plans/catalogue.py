@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from weftline.plans import relational  # noqa: F401
