@@ -119,7 +119,7 @@ class Mlp:
 
 def train_jobs(rows: DataFrame, features: list[str], label: str, part: str, *keys: str, seed: int = 0, hidden: int = 16) -> DataFrame:
     """A job for each key: fit on part 'train', stop by 'validation', and give p1 for 'test' rows."""
-    schema = rows.select(*keys).schema.add("row", "long").add(label, "int").add("p1", "double")
+    schema = rows.select(*keys, "row", label).schema.add("p1", "double")
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         x, y = frame[features].to_numpy(float), frame[label].to_numpy(float)

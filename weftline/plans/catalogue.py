@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from weftline.plans import relational  # noqa: F401
+from weftline.plans import graphs, panels, relational  # noqa: F401
