@@ -47,11 +47,17 @@ def cut(df: DataFrame, drop: Iterable[DataFrame] = ()) -> DataFrame:
     """Write df as a table in the shared folder and read it back: its lineage ends here, and lost executors cost nothing.
 
     Tables given in drop are deleted, which is for the caller to know to be needed no longer; what is left goes when the
-    program ends. Shuffle files of plans that nobody holds are freed as well.
+    program ends. The shuffle files of the write are freed at once, those of plans that nobody holds as well.
     """
     spark = df.sparkSession
+    freed = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(freed, None)
+    spark.conf.set(freed, "true")  # a table's shuffle files go once it is written
     path = f"{shared_folder(spark)}/weftline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(freed, before) if before is not None else spark.conf.unset(freed)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path
     _made[path] = spark
