@@ -114,19 +114,19 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
 
 def propagate(edges: DataFrame, features: DataFrame, columns: list[str]) -> DataFrame:
     """Symmetric-normalised propagation D^-1/2 ((A + A^T)/2 + I) D^-1/2 X, and the row mass, for features (node, ...)."""
-    half = edges.select("src", "dst", (F.col("w") / 2).alias("w"))
-    own = features.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("w"))
-    both = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).unionByName(own)
-    a = both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    d = a.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("d"))
-    root = lambda c: d.select(F.col("node").alias(c), (1 / F.sqrt("d")).alias(f"r_{c}"))
-    scaled = a.join(root("src"), "src").join(root("dst"), "dst").withColumn("s", F.col("w") * F.col("r_src") * F.col("r_dst"))
+    half = edges.select("src", "dst", (F.col("w") / 2).alias("_w"))
+    own = features.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("_w"))
+    both = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "_w")).unionByName(own)
+    a = both.groupBy("src", "dst").agg(F.sum("_w").alias("_w"))
+    d = a.groupBy(F.col("src").alias("node")).agg(F.sum("_w").alias("_d"))
+    root = lambda c: d.select(F.col("node").alias(c), (1 / F.sqrt("_d")).alias(f"_r_{c}"))
+    scaled = a.join(root("src"), "src").join(root("dst"), "dst").select("src", "dst", (F.col("_w") * F.col("_r_src") * F.col("_r_dst")).alias("_s"))
     x = features.select(F.col("node").alias("dst"), *columns)
-    return scaled.join(x, "dst").groupBy(F.col("src").alias("node")).agg(*(F.sum(F.col("s") * F.col(c)).alias(c) for c in columns), F.sum("s").alias("mass"))
+    return scaled.join(x, "dst").groupBy(F.col("src").alias("node")).agg(*(F.sum(F.col("_s") * F.col(c)).alias(c) for c in columns), F.sum("_s").alias("mass"))
 
 
 def mean_messages(edges: DataFrame, features: DataFrame, columns: list[str]) -> DataFrame:
     """Weighted mean of in-neighbours' features, and whether there are any; nodes without neighbours get zeros."""
     x = features.select(F.col("node").alias("src"), *columns)
-    got = edges.join(x, "src").groupBy(F.col("dst").alias("node")).agg(*((F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in columns))
+    got = edges.select("src", "dst", F.col("w").alias("_w")).join(x, "src").groupBy(F.col("dst").alias("node")).agg(*((F.sum(F.col("_w") * F.col(c)) / F.sum("_w")).alias(c) for c in columns))
     return features.select("node").join(got.withColumn("mass", F.lit(1.0)), "node", "left").na.fill(0.0)
