@@ -8,11 +8,14 @@ from weftline.llm.decontaminate import op5_decontaminate
 from weftline.llm.embedding_dedup import op7_embedding_dedup
 from weftline.llm.hmm_score import op4_hmm_score
 from weftline.llm.ngram_join import op1_ngram_join
+from weftline.llm.oracles import ORACLE_SQL
 from weftline.llm.repeats import op2_repeats
 from weftline.llm.token_counts import op9_token_counts
 from weftline.llm.toxicity import op8_toxicity
 from weftline.llm.url_filter import op3_url_filter
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_repeats": op2_repeats,
@@ -25,6 +28,3 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
 }
-
-#: DuckDB SQL for those that SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
