@@ -7,6 +7,8 @@ floor((1 - t) n) + 1 of each, under any order of all tokens; so candidates have
   hardly enters a prefix. Which tokens those are, at most ``DEMOTED``, comes from counts over the whole corpus; the order
   is a matter of speed only, any order gives the same links.
 * Orders 2 and 3 are hash orders; a candidate whose prefixes don't meet under both is dropped before verification.
+* Before that, and before any text is moved, a candidate is screened by the sizes of its sets and by bitmaps of their
+  tokens, which bound the intersection from above.
 * What is left is verified by the exact size of the intersection.
 
 Equal sets are one class from the start, so copies are never paired. Pairs are not listed within a prefix list: first
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import small_batches, table
 from weftline.llm.hashing import fingerprints, mix, prefix_sums
 from weftline.operators.components import connected_components
-from weftline.session import cut
+from weftline.session import cut, discard
 
 WORDS = 5
 #: Similarity from which documents link: so many hundredths.
@@ -39,7 +41,9 @@ PERCENT = 80
 #: Tokens that order 1 puts last, at most: 16 bytes each in a broadcast.
 DEMOTED = 200_000
 #: A token is counted where a stretch of the corpus of so many tokens has it in so many different texts.
-STRETCH, REPEATED = 4_000_000, 3
+STRETCH, REPEATED = 4_000_000, 2
+#: Bits of the sieve for texts to verify, as a power of two (2 MB).
+SIEVE = 24
 ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -85,6 +89,25 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (n + m - both)
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for each leading-bits value of the tokens: twice as many bits as tokens at least, 2^16 at most."""
+    size = min(16, max(6, int(2 * tokens.size).bit_length()))
+    bits = np.zeros(1 << size, bool)
+    bits[(tokens >> np.uint64(64 - size)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def most_common(n: int, x: bytes, m: int, y: bytes) -> int:
+    """An upper bound of the intersection of sets of n and m tokens with these bitmaps.
+
+    Shared tokens have shared bits, and a set has as many tokens beyond one to a bit as it is larger than its bit count.
+    """
+    a, b = (np.unpackbits(np.frombuffer(v, np.uint8)).astype(bool) for v in (x, y))
+    size = min(a.size, b.size)
+    a, b = a.reshape(size, -1).any(1), b.reshape(size, -1).any(1)
+    return int((a & b).sum() + min(n - a.sum(), m - b.sum()))
+
+
 def _fingerprint(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
@@ -145,10 +168,32 @@ def _prefix(tokens: np.ndarray, last: np.ndarray, place: np.ndarray, percent: in
     return np.concatenate([rare, tokens[common][np.argsort(place[at[common]])][: size - rare.size]])
 
 
+def _sieved(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs whose id may be among wanted (doc_id): a bitmap of 2^SIEVE bits, whatever the number of ids, lets
+    few others through, so that the exact join moves few texts."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << SIEVE))
+    words = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (SIEVE - 6), np.int64)
+    bits[words["word"].to_numpy().astype(np.int64)] = words["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            p = b.column(2).fill_null(0).to_numpy()
+            out = b.filter(pa.array((bits[p >> 6] >> (p & 63)) & 1 == 1))
+            if out.num_rows:
+                yield pa.RecordBatch.from_arrays(out.columns[:2], ["doc_id", "text"])
+
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text", place.alias("p")).mapInArrow(run, "doc_id bigint, text string")
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose texts are similar. The texts of each pair meet by two joins."""
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = cut(docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    wanted = cut(wanted)
+    texts = cut(_sieved(docs, wanted).join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), [wanted])
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
 
@@ -162,7 +207,42 @@ def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
                 keep.append(similar(tokens, shingles(y.as_py(), words), percent))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(both.mapInArrow(run, "a bigint, b bigint"))
+    return cut(both.mapInArrow(run, "a bigint, b bigint"), [texts])
+
+
+def _apart(pairs: DataFrame, part: DataFrame | None, tried: list[DataFrame]) -> DataFrame:
+    """Pairs that are not in one component yet and haven't been tried."""
+    for t in tried:
+        pairs = pairs.join(t, ["a", "b"], "left_anti")
+    if part is None:
+        return pairs
+    of = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _screened(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes and bitmaps allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m, x, y = (b.column(k).to_pylist() for k in range(2, 6))
+            keep = [(100 + percent) * most_common(*v) >= percent * (v[0] + v[2]) for v in zip(n, x, m, y)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return both.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, part: DataFrame | None, words: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """The links so far with those of pairs, and their components."""
+    pairs = cut(pairs)
+    if pairs.isEmpty():
+        return links, part
+    found = _verify(docs, pairs, words, percent)
+    links = found if links is None else links.unionByName(found)
+    return links, connected_components(links)
 
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -178,12 +258,12 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             sets = [shingles(t, words) for t in b.column(1).to_pylist()]
             first = [_prefix(s, last, place, percent).view(np.int64) for s in sets]
             offsets = pa.array(np.concatenate([[0], np.cumsum([f.size for f in first])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(first)))], ["doc_id", "n", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(first)))], ["doc_id", "n", "fp", "bits", "prefix"])
 
     # one row a class of equal sets, by its least document
     least = rows.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     small_batches(spark)
-    found = docs.mapInArrow(prefixes, "doc_id bigint, n bigint, fp binary, prefix array<bigint>")
+    found = docs.mapInArrow(prefixes, "doc_id bigint, n bigint, fp binary, bits binary, prefix array<bigint>")
     classes = cut(found.join(least, ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"]))
     tokens = classes.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("at", "token"))
     # lists of two at least, with three leaders each: the least, the greatest and one by scattered bits
@@ -194,16 +274,21 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         .where("m > 1")
         .withColumn("l3", F.col("l3").bitwiseXOR(scattered))
     )
-    members = cut(tokens.join(lists.select("token", "l1", "l2", "l3"), "token"))
-    leader = F.explode(F.array_distinct(F.array("l1", "l2", "l3")))
-    pairs = members.select("id", leader.alias("leader")).where("id <> leader")
-    pairs = cut(pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
-    links = _verify(docs, pairs, words, percent)
-    part = connected_components(links)
+    members = cut(tokens.join(lists.select("token", "l1", "l2", "l3"), "token"), [lists])
+    sizes = classes.select("doc_id", "n", "bits")
+    links = part = None
+    tried: list[DataFrame] = []
+    for leader in ("l1", "l2", "l3"):
+        pairs = members.select("id", F.col(leader).alias("leader")).where("id <> leader")
+        pairs = pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        pairs = cut(_apart(pairs, part, tried))
+        tried.append(pairs)
+        links, part = _linked(docs, _screened(pairs, sizes, percent), links, part, words, percent)
     # members of different components whose sizes and places in the list allow the similarity
-    known = cut(members.select("token", "id", "n", "at").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    own = members.select("token", "id", "n", "at")
+    known = cut((own.join(part.withColumnRenamed("node", "id"), "id", "left") if part is not None else own.withColumn("component", F.col("id"))).withColumn("component", F.coalesce("component", "id")), [members])
     open_lists = known.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("token")
-    rest = cut(known.join(open_lists, "token", "left_semi"))
+    rest = cut(known.join(open_lists, "token", "left_semi"), [known])
     x = rest.select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "at", "component")))
     y = rest.select("token", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "at", "component")))
     fits = (F.col("id_x") < F.col("id_y")) & (F.col("component_x") != F.col("component_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
@@ -211,10 +296,11 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     most = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
     fits = fits & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y")))
     more = x.join(y, "token").where(fits).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(_verify(docs, more, words, percent))
-        part = connected_components(links)
+    more = cut(_apart(more, None, tried), [rest, *tried])
+    links, part = _linked(docs, _screened(more, sizes, percent), links, part, words, percent)
+    discard(more)
+    if part is None:
+        part = classes.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).where(F.lit(False))
     of = classes.select("fp", "doc_id").join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("fp", F.coalesce("component", "doc_id").alias("component"))
     return rows.join(cut(of), "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

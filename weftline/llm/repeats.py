@@ -132,7 +132,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, tuple[list, pa.DataType]] = {k: ([], pa.string() if k == "sha" else i64) for k in ("sha", "first", "last", "anchor", "stretch", "several")}
+            out: dict[str, tuple[list, pa.DataType]] = {k: ([], pa.binary() if k == "sha" else i64) for k in ("sha", "first", "last", "anchor", "stretch", "several")}
             for sha, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
                 raw = _raw(text)
                 if raw.size >= LENGTH:
@@ -143,7 +143,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             yield _batch(out)
 
     small_batches(spark)
-    every = texts.mapInArrow(found, "sha string, first bigint, last bigint, anchor bigint, stretch bigint, several bigint")
+    every = texts.mapInArrow(found, "sha binary, first bigint, last bigint, anchor bigint, stretch bigint, several bigint")
     # copies of a text are one; a class is a distinct stretch, with the number of its runs and one of them
     every = cut(every.distinct())
     place = F.struct("sha", "first", "last")
@@ -161,7 +161,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, tuple[list, pa.DataType]] = {"anchor": ([], i64), "sha": ([], pa.string()), "first": ([], i64), "n": ([], i64), "bytes": ([], pa.binary()), "windows": ([], pa.list_(i64))}
+            out: dict[str, tuple[list, pa.DataType]] = {"anchor": ([], i64), "sha": ([], pa.binary()), "first": ([], i64), "n": ([], i64), "bytes": ([], pa.binary()), "windows": ([], pa.list_(i64))}
             for sha, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 raw = _raw(text)
                 sums = prefix_sums(raw)
@@ -174,14 +174,14 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             yield _batch(out)
 
     small_batches(spark, 64)
-    pieces = cut(sources.mapInArrow(cut_out, "anchor bigint, sha string, first bigint, n bigint, bytes binary, windows array<bigint>"))
+    pieces = cut(sources.mapInArrow(cut_out, "anchor bigint, sha binary, first bigint, n bigint, bytes binary, windows array<bigint>"))
 
     def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Buckets come one after the other; each is sorted by itself."""
         held: list[dict] = []
 
         def sorted_out() -> pa.RecordBatch:
-            out: dict[str, tuple[list, pa.DataType]] = {"sha": ([], pa.string()), "lo": ([], i64), "hi": ([], i64)}
+            out: dict[str, tuple[list, pa.DataType]] = {"sha": ([], pa.binary()), "lo": ([], i64), "hi": ([], i64)}
             for r, repeated in zip(held, repeated_in_bucket([r["bytes"] for r in held]) if held else []):
                 for lo, hi in _spans(r["first"], repeated) if r["n"] == 1 else []:
                     for k, v in (("sha", r["sha"]), ("lo", lo), ("hi", hi)):
@@ -197,7 +197,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         yield sorted_out()
 
     small = pieces.where("bytes is not null").drop("windows").repartition("anchor").sortWithinPartitions("anchor")
-    small = small.mapInArrow(sort_buckets, "sha string, lo bigint, hi bigint")
+    small = small.mapInArrow(sort_buckets, "sha binary, lo bigint, hi bigint")
     windows = pieces.where("windows is not null").select("sha", "n", F.posexplode("windows").alias("k", "window"), F.col("first")).withColumn("at", F.col("first") + F.col("k"))
     twice = windows.groupBy("window").agg(F.count("*").alias("m")).where("m > 1").select("window")
     large = windows.where("n = 1").join(twice, "window", "left_semi").select("sha", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
@@ -208,7 +208,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             merged = [united([(x["lo"], x["hi"]) for x in s]) for s in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(merged, pa.list_(pa.list_(i64)))], ["sha", "spans"])
 
-    return spans.groupBy("sha").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).mapInArrow(unite, "sha string, spans array<array<bigint>>")
+    return spans.groupBy("sha").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).mapInArrow(unite, "sha binary, spans array<array<bigint>>")
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
@@ -216,17 +216,17 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
     Rows of copies are dealt to several tasks, and the spans of a text that has copies along with them.
     """
-    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    sha = F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16)
     own = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(*own, sha.alias("_sha"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("_salt"))
+    keyed = docs.select(*own, sha.alias("__weft_sha"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("__weft_salt"))
     texts = docs.where(F.octet_length("text") >= LENGTH).select(sha.alias("sha"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     copies = texts.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).cast("long").alias("size"))
     spans = copies.join(repeated_spans(texts), "sha", "left")
     whole = F.array(F.array(F.lit(0).cast("long"), F.col("size")))
     spans = spans.select("sha", "copies", "doc_id", F.when(F.col("copies") > 1, whole).otherwise(F.col("spans")).alias("removed")).where("removed is not null")
     salts = F.when(F.col("copies") > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")))
-    spans = cut(spans.select(F.col("sha").alias("_sha"), F.explode(salts.cast("array<bigint>")).alias("_salt"), "removed"))
-    return keyed.join(spans, ["_sha", "_salt"], "left").drop("_sha", "_salt")
+    spans = cut(spans.select(F.col("sha").alias("__weft_sha"), F.explode(salts.cast("array<bigint>")).alias("__weft_salt"), "removed"))
+    return keyed.join(spans, ["__weft_sha", "__weft_salt"], "left").drop("__weft_sha", "__weft_salt")
 
 
 def kept_bytes(raw: bytes, removed: list[list[int]] | None) -> bytes:
