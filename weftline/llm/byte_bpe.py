@@ -4,7 +4,7 @@ Ranked merges are folded over byte arrays of distinct words by Spark's higher-or
 merges as one literal rank map; decoding concatenates binary pieces.
 
 Shape: a count over the whole corpus finds the most frequent words (at most ``DICTIONARY``, a documented bound); these
-are folded once each and their ids broadcast. Every other distinct word of a text is folded inside that text's own row,
+are folded once each and their ids broadcast, found by 64-bit fingerprints of the words. Every other distinct word of a text is folded inside that text's own row,
 so no text is shuffled, and nothing is dropped whatever the size of the corpus. Words of more than ``LONG`` bytes, where
 a fold takes quadratic time, are merged with a heap in the worker: the same merges, hence the same ids.
 
@@ -20,11 +20,11 @@ import heapq
 import json
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,14 +33,19 @@ from weftline.session import cut
 
 #: Words of more bytes than this are merged in the worker.
 LONG = 64
-#: Words whose ids are broadcast at most, about 150 bytes each in a worker.
-DICTIONARY = 300_000
+#: Words whose ids are broadcast at most, about 30 bytes each; so many of the first are also kept by themselves.
+DICTIONARY, HOT = 1_500_000, 150_000
 #: Buckets of the literal rank map.
 BUCKETS = 1 << 14
 #: A worker passes its word counts on when it holds so many.
 FLUSH = 300_000
-#: Marks keys of the rank map, and so what is no rank.
-NO_RANK = 1 << 50
+#: Stretches of text between spaces whose ids a worker remembers.
+REMEMBERED = 200_000
+#: Marks keys of the rank map.
+KEY = 1 << 50
+#: Ids and ranks are below 2^20; a pair without a rank has this one.
+BITS, NO_RANK = 20, 1 << 30
+LOW = (1 << BITS) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -74,53 +79,54 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
     """Pairs of ids and the id of what they merge to, as one literal.
 
     A map of Spark is searched from end to end, so the literal is an array of buckets, each a few keys with the rank
-    right after its key. A key is 2^50 + left * 2^20 + right; ranks are below 2^20.
+    right after its key. A key is 2^50 + left * 2^20 + right.
     """
-    buckets: list[list[int]] = [[NO_RANK << 1] for _ in range(BUCKETS)]
+    buckets: list[list[int]] = [[NO_RANK] for _ in range(BUCKETS)]
     for word, rank in ranks.items():
         for i in range(1, len(word)):
             left, right = ranks.get(word[:i]), ranks.get(word[i:])
             if left is not None and right is not None:
-                buckets[(left * 31 + right) % BUCKETS] += [NO_RANK + (left << 20) + right, rank]
-    return F.from_json(F.lit(json.dumps(buckets)), "array<array<bigint>>")
+                buckets[(left * 31 + right) % BUCKETS] += [KEY + (left << BITS) + right, rank]
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
 
 
 def _let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
+    """body(value) with value computed once, and written once into the plan."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_merges(word: Column, merges: Column) -> Column:
-    """The ids of a word, from the ids of its bytes (array<bigint>), by folding merges of least rank, leftmost first."""
-    none = F.lit(NO_RANK)
+def fold_merges(words: Column, merges: Column) -> Column:
+    """The ids of words, from the ids of their bytes (array<array<bigint>>), by folding merges of least rank, leftmost first."""
+    return _let(merges, lambda m: F.transform(words, lambda w: _fold(w, m)))
+
+
+def _fold(word: Column, merges: Column) -> Column:
+    """Folds over an array of rank * 2^20 + id; the rank is that of the pair which the entry makes with the next."""
     empty = F.array().cast("array<bigint>")
 
-    def rank(left: Column, right: Column) -> Column:
+    def entry(left: Column, right: Column) -> Column:
         bucket = F.get(merges, F.pmod(left * 31 + right, F.lit(BUCKETS)).cast("int"))
-        # array_position counts from 1 and get from 0: the entry after the key, or the first, which is no rank and no key
-        return _let(bucket, lambda b: F.get(b, F.array_position(b, none + left * (1 << 20) + right).cast("int")))
+        # array_position counts from 1 and get from 0: the entry after the key, or the first, which says that there is none
+        rank = _let(bucket, lambda b: F.get(b, F.array_position(b, F.lit(KEY) + left * (1 << BITS) + right).cast("int")))
+        return F.coalesce(rank, F.lit(NO_RANK)) * (1 << BITS) + left
 
     n = F.size(word)
-    first = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.get(word, i - 1), F.get(word, i)))
-    start = F.struct(word.alias("ids"), first.alias("ranks"))
+    first = F.transform(F.sequence(F.lit(1), n), lambda i: entry(F.get(word, i - 1), F.get(word, i)))
 
     def step(acc: Column, _: Column) -> Column:
-        ids, ranks = acc["ids"], acc["ranks"]
-
         def merged(least: Column) -> Column:
             def at(i: Column) -> Column:
-                left = F.when(i > 1, F.array(rank(F.get(ids, i - 2), least))).otherwise(empty)
-                right = F.when(i < F.size(ranks), F.array(rank(least, F.get(ids, i + 1)))).otherwise(empty)
-                return F.struct(
-                    F.concat(F.slice(ids, F.lit(1), i - 1), F.array(least), F.slice(ids, i + 2, n)).alias("ids"),
-                    F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(ranks, i + 2, n)).alias("ranks"),
-                )
+                new = F.shiftright(least, BITS)
+                before = F.when(i > 1, F.array(entry(F.get(acc, i - 2).bitwiseAND(LOW), new))).otherwise(empty)
+                after = F.array(entry(new, F.get(acc, i + 1).bitwiseAND(LOW)))
+                return F.concat(F.slice(acc, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(acc, i + 2, n))
 
-            return F.when(least >= none, acc).otherwise(_let(F.array_position(ranks, least).cast("int"), at))
+            return F.when(least >= F.lit(NO_RANK << BITS), acc).otherwise(_let(F.array_position(acc, least).cast("int"), at))
 
-        return F.when(F.size(ranks) == 0, acc).otherwise(_let(F.array_min(ranks), merged))
+        return _let(F.array_min(acc), merged)
 
-    return F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), n), start, step, lambda acc: acc["ids"]))
+    folded = F.aggregate(F.sequence(F.lit(2), n), first, step, lambda acc: F.transform(acc, lambda e: e.bitwiseAND(LOW)))
+    return F.when(n < 2, word).otherwise(folded)
 
 
 def _bytes_of(words: list[bytes], to_id: bytes) -> pa.ListArray:
@@ -137,27 +143,43 @@ def _byte_ids(ranks: dict[bytes, int]) -> bytes:
     return bytes(ids)
 
 
+def stretches(text: str) -> list[str]:
+    """A text cut before single spaces, where no match of the pattern goes across; the whole text if spaces meet."""
+    if "  " in text or "\0" in text:
+        return [text]
+    return text.replace(" ", "\0 ").removeprefix("\0").split("\0")
+
+
 def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int) -> DataFrame:
     """(word, n): the words of the corpus that are no vocabulary entry, so many at most, the most frequent."""
     small_batches(docs.sparkSession)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, held = regex.compile(pattern).findall, Counter()
+        held: Counter = Counter()
 
         def passed():
-            words = [(w.encode(), n) for w, n in held.items()]
-            words = [(w, n) for w, n in words if len(w) <= LONG and w not in ranks]
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["stretch", "n"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.binary()), pa.array([n for _, n in words], pa.int64())], ["word", "n"])
+            return out
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                held.update(find(text or ""))
+                if text:
+                    held.update(stretches(text))
                 if len(held) > FLUSH:
                     yield passed()
         yield passed()
 
-    counted = cut(docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+    def cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, find = vocabulary.value, regex.compile(pattern).findall
+        for b in batches:
+            words = [(w, n) for stretch, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in find(stretch) if (w := x.encode()) not in ranks and len(w) <= LONG]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.binary()), pa.array([n for _, n in words], pa.int64())], ["word", "n"])
+
+    # stretches are counted first, so that each is cut into words once; one that occurs once has no frequent words
+    counted = docs.select("text").mapInArrow(count, "stretch string, n bigint").groupBy("stretch").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = cut(counted.mapInArrow(cut_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     total, least = 0, 1 << 62
     for r in counted.groupBy(F.floor(F.log2("n") * 8).alias("size")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("size")).collect():
         total += r["words"]
@@ -167,56 +189,144 @@ def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most:
     return counted.where(F.col("n") >= least)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY) -> DataFrame:
-    """doc_id, ids (array<int>): the ids of each text, each match of the pattern merged by itself."""
+def folded_rows(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int) -> DataFrame:
+    """doc_id, ids (bytes of int32, -1, -2 ... for words left), folded (the ids of these words)."""
     spark = docs.sparkSession
     merges, to_id = rank_map(ranks), _byte_ids(ranks)
     small_batches(spark)
 
     def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), _bytes_of(words, to_id)], ["word", "bytes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _bytes_of(b.column(0).to_pylist(), to_id)], ["word", "n", "bytes"])
 
-    folded = frequent_words(docs, ranks, pattern, most).select("word").mapInArrow(as_bytes, "word binary, bytes array<bigint>").select("word", fold_merges(F.col("bytes"), merges).cast("array<int>").alias("ids"))
-    known = {bytes(w): np.array(ids, np.int32).tobytes() for w, ids in folded.toLocalIterator()}
-    known |= {w: np.int32(r).tobytes() for w, r in ranks.items()}
-    shared = spark.sparkContext.broadcast((known, ranks))
+    words = frequent_words(docs, ranks, pattern, most).select("word", "n").mapInArrow(as_bytes, "word binary, n bigint, bytes array<bigint>")
+    table = words.select("word", "n", F.get(fold_merges(F.array("bytes"), merges), F.lit(0)).cast("array<int>").alias("ids")).toArrow().combine_chunks()
+    shared = spark.sparkContext.broadcast((Known.of(table), ranks))
+    del table
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, ranks), find = shared.value, regex.compile(pattern).findall
+        """Ids, with -1, -2 ... for the first, second ... word to fold."""
+        (known, ranks), find, ready = shared.value, regex.compile(pattern).findall, {}
+        single = {w: r.to_bytes(4, "little") for w, r in ranks.items()}
+
+        def resolved(stretch: str, own: dict[bytes, int]) -> bytes:
+            parts, whole = [], True
+            # letters alone, after a space, are one word
+            for x in (stretch,) if stretch[1:].isalpha() and stretch[0] == " " else find(stretch):
+                w = x.encode()
+                if (got := single.get(w) or known.hot.get(w)) is not None:
+                    parts.append(got)
+                elif len(w) > LONG:
+                    parts.append(np.array(heap_merge(w, ranks), "<i4").tobytes())
+                else:
+                    whole = False
+                    parts.append((-1 - own.setdefault(w, len(own))).to_bytes(4, "little", signed=True))
+            out = b"".join(parts)
+            if whole and len(stretch) < 64 and len(ready) < REMEMBERED:
+                ready[stretch] = out
+            return out
+
         for b in batches:
-            ids, rest = b.column(0), []
+            ids, rest, sizes = [], [], [0]
             for text in b.column(1).to_pylist():
-                rest.append(sorted(w for x in set(find(text or "")) if (w := x.encode()) not in known and len(w) <= LONG))
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int32))
-            words = list(chain.from_iterable(rest))
-            yield pa.RecordBatch.from_arrays([ids, b.column(1), pa.ListArray.from_arrays(offsets, pa.array(words, pa.binary())), pa.ListArray.from_arrays(offsets, _bytes_of(words, to_id))], ["doc_id", "text", "words", "bytes"])
+                own: dict[bytes, int] = {}
+                cuts = stretches(text) if text else []
+                parts = [got if got is not None else resolved(x, own) for x, got in zip(cuts, map(ready.get, cuts))]
+                ids.append(np.frombuffer(b"".join(parts), np.int32))
+                rest += own
+                sizes.append(len(rest))
+            first, size = known.find(rest)
+            left = [0]
+            for k, row in enumerate(ids):
+                lo, hi = sizes[k : k + 2]
+                new = size[lo:hi] == 0
+                left.append(left[-1] + int(new.sum()))
+                if lo < hi:
+                    gaps = row < 0
+                    word = lo - 1 - row[gaps]
+                    number = -np.cumsum(new)  # what is left is counted anew
+                    row = row.copy()
+                    row[gaps] = np.where(size[word] == 0, number[word - lo], 0)
+                    found = np.flatnonzero(gaps)[size[word] > 0]
+                    ids[k] = filled(row, found, first[word[size[word] > 0]], size[word[size[word] > 0]], known.flat)
+            unknown = [w for w, n in zip(rest, size.tolist()) if not n]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.ListArray.from_arrays(pa.array(left, pa.int32()), _bytes_of(unknown, to_id))], ["doc_id", "ids", "bytes"])
+
+    small_batches(spark, 128)
+    rows = docs.select("doc_id", "text").mapInArrow(split, "doc_id bigint, ids binary, bytes array<array<bigint>>")
+    return rows.select("doc_id", "ids", fold_merges(F.col("bytes"), merges).cast("array<array<int>>").alias("folded"))
+
+
+class Known:
+    """Ids of many words in flat arrays."""
+
+    def __init__(self, prints: np.ndarray, first: np.ndarray, size: np.ndarray, flat: np.ndarray, hot: dict[bytes, bytes]):
+        self.prints, self.first, self.size, self.flat, self.hot = prints, first, size, flat, hot
+
+    @staticmethod
+    def of(table: pa.Table) -> "Known":
+        """From word, n, ids."""
+        if not table.num_rows:
+            return Known(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), {})
+        ids = table["ids"].combine_chunks()
+        ids = ids if isinstance(ids, (pa.ListArray, pa.LargeListArray)) else ids.chunk(0)
+        flat, size = ids.flatten().to_numpy().astype(np.int32), ids.value_lengths().to_numpy().astype(np.int64)
+        first = np.cumsum(size) - size
+        prints = np.fromiter((xxhash.xxh3_64_intdigest(w.as_py()) for w in table["word"]), np.uint64, table.num_rows)
+        n = table["n"].to_numpy()
+        top = np.argsort(-n, kind="stable")[:HOT]
+        hot = {w: flat[first[i] : first[i] + size[i]].tobytes() for w, i in zip(table["word"].take(pa.array(top)).to_pylist(), top.tolist())}
+        by = np.argsort(prints)
+        return Known(prints[by], first[by], size[by], flat, hot)
+
+    def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's ids begin and how many they are; 0 for an unknown word."""
+        if not self.prints.size or not words:
+            return np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        at = np.minimum(np.searchsorted(self.prints, own), self.prints.size - 1)
+        return self.first[at], np.where(self.prints[at] == own, self.size[at], 0)
+
+
+def filled(ids: np.ndarray, at: np.ndarray, first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """ids with flat[first : first + size] in place of each entry at the places given."""
+    if not at.size:
+        return ids
+    each = np.ones(ids.size, np.int64)
+    each[at] = size
+    out = np.repeat(ids, each)
+    start = (np.cumsum(each) - each)[at]
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(start, size) + inside] = flat[np.repeat(first, size) + inside]
+    return out
+
+
+def assembled(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The ids of each row of what split and folding give."""
+    inner = batch.column(2).flatten()
+    size = inner.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, first, k, out = inner.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum(size) - size, 0, []
+    for raw, n in zip(batch.column(1).to_pylist(), batch.column(2).value_lengths().to_pylist()):
+        ids = np.frombuffer(raw, np.int32)
+        if n:
+            at = np.flatnonzero(ids < 0)
+            word = k - 1 - ids[at]
+            ids = filled(ids, at, first[word], size[word], flat)
+            k += n
+        out.append(ids)
+    return out
 
-    rows = docs.select("doc_id", "text").mapInArrow(split, "doc_id bigint, text string, words array<binary>, bytes array<array<bigint>>")
-    rows = rows.select("doc_id", "text", "words", F.transform("bytes", lambda w: fold_merges(w, merges).cast("array<int>")).alias("folded"))
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, ranks), find = shared.value, regex.compile(pattern).findall
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY) -> DataFrame:
+    """doc_id, ids (array<int>): the ids of each text, each match of the pattern merged by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, words, folded = b.column(1).to_pylist(), b.column(2), b.column(3)
-            flat_words = words.flatten().to_pylist()
-            inner = folded.flatten()
-            flat, cuts = inner.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), np.concatenate([[0], np.cumsum(inner.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64) * 4
-            sizes, k, parts = words.value_lengths().to_pylist(), 0, []
-            for text, size in zip(texts, sizes):
-                own = {flat_words[i]: flat[cuts[i] : cuts[i + 1]] for i in range(k, k + size)}
-                k += size
-                pieces = []
-                for x in find(text or ""):
-                    w = x.encode()
-                    got = known.get(w) or own.get(w)
-                    pieces.append(got if got is not None else np.array(heap_merge(w, ranks), np.int32).tobytes())
-                parts.append(b"".join(pieces))
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(parts), np.int32)))], ["doc_id", "ids"])
-
-    return rows.mapInArrow(assemble, "doc_id bigint, ids array<int>")
+            rows = assembled(b)
+            offsets = pa.array(np.concatenate([[0], np.cumsum([r.size for r in rows])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows)))], ["doc_id", "ids"])
+
+    return folded_rows(docs, ranks, pattern, most).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -232,15 +342,25 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text."""
-    both = decode(encode(docs, ranks, pattern), ranks)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False, most: int = DICTIONARY) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text, and its ids if asked for: encoded, decoded and digested."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_id, text_of = {r: w for w, r in shared.value.items()}, {r: str(r) for r in shared.value.values()}
+        for b in batches:
+            rows, ids_sha, decoded_sha = assembled(b), [], []
+            for r in rows:
+                ids = r.tolist()
+                ids_sha.append(hashlib.sha256(",".join(map(text_of.__getitem__, ids)).encode()).hexdigest())
+                decoded_sha.append(hashlib.sha256(b"".join(map(by_id.__getitem__, ids))).hexdigest())
+            sizes = [r.size for r in rows]
+            columns = [b.column(0), pa.array(sizes, pa.int64())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(rows))))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids_sha), pa.array(decoded_sha)], ["doc_id", "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"])
+
+    return folded_rows(docs, ranks, pattern, most).mapInArrow(run, f"doc_id bigint, n_tokens bigint, {'ids array<int>, ' * with_ids}ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
