@@ -28,19 +28,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import small_batches, table
+from weftline.llm.common import small_batches, table, tidied
 from weftline.session import cut
 
 #: Words of more bytes than this are merged in the worker.
 LONG = 64
 #: Words whose ids are broadcast at most, about 30 bytes each; so many of the first are also kept by themselves.
-DICTIONARY, HOT = 1_500_000, 150_000
+DICTIONARY, HOT = 1_500_000, 40_000
 #: Buckets of the literal rank map.
 BUCKETS = 1 << 14
 #: A worker passes its word counts on when it holds so many.
-FLUSH = 300_000
+FLUSH = 150_000
 #: Stretches of text between spaces whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Marks keys of the rank map.
 KEY = 1 << 50
 #: Ids and ranks are below 2^20; a pair without a rank has this one.
@@ -178,8 +178,8 @@ def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most:
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.binary()), pa.array([n for _, n in words], pa.int64())], ["word", "n"])
 
     # stretches are counted first, so that each is cut into words once; one that occurs once has no frequent words
-    counted = docs.select("text").mapInArrow(count, "stretch string, n bigint").groupBy("stretch").agg(F.sum("n").alias("n")).where("n > 1")
-    counted = cut(counted.mapInArrow(cut_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    counted = docs.select("text").mapInArrow(tidied(count), "stretch string, n bigint").groupBy("stretch").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = cut(counted.mapInArrow(tidied(cut_words), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     total, least = 0, 1 << 62
     for r in counted.groupBy(F.floor(F.log2("n") * 8).alias("size")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("size")).collect():
         total += r["words"]
@@ -199,7 +199,7 @@ def folded_rows(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: in
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _bytes_of(b.column(0).to_pylist(), to_id)], ["word", "n", "bytes"])
 
-    words = frequent_words(docs, ranks, pattern, most).select("word", "n").mapInArrow(as_bytes, "word binary, n bigint, bytes array<bigint>")
+    words = frequent_words(docs, ranks, pattern, most).select("word", "n").mapInArrow(tidied(as_bytes), "word binary, n bigint, bytes array<bigint>")
     table = words.select("word", "n", F.get(fold_merges(F.array("bytes"), merges), F.lit(0)).cast("array<int>").alias("ids")).toArrow().combine_chunks()
     shared = spark.sparkContext.broadcast((Known.of(table), ranks))
     del table
@@ -253,7 +253,7 @@ def folded_rows(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: in
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.ListArray.from_arrays(pa.array(left, pa.int32()), _bytes_of(unknown, to_id))], ["doc_id", "ids", "bytes"])
 
     small_batches(spark, 128)
-    rows = docs.select("doc_id", "text").mapInArrow(split, "doc_id bigint, ids binary, bytes array<array<bigint>>")
+    rows = docs.select("doc_id", "text").mapInArrow(tidied(split), "doc_id bigint, ids binary, bytes array<array<bigint>>")
     return rows.select("doc_id", "ids", fold_merges(F.col("bytes"), merges).cast("array<array<int>>").alias("folded"))
 
 
@@ -326,7 +326,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = D
             offsets = pa.array(np.concatenate([[0], np.cumsum([r.size for r in rows])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows)))], ["doc_id", "ids"])
 
-    return folded_rows(docs, ranks, pattern, most).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return folded_rows(docs, ranks, pattern, most).mapInArrow(tidied(run), "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -339,7 +339,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             texts = [b"".join([by_id[i] for i in ids]) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id bigint, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False, most: int = DICTIONARY) -> DataFrame:
@@ -360,7 +360,7 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bo
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(rows))))
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ids_sha), pa.array(decoded_sha)], ["doc_id", "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"])
 
-    return folded_rows(docs, ranks, pattern, most).mapInArrow(run, f"doc_id bigint, n_tokens bigint, {'ids array<int>, ' * with_ids}ids_sha256 string, decoded_sha256 string")
+    return folded_rows(docs, ranks, pattern, most).mapInArrow(tidied(run), f"doc_id bigint, n_tokens bigint, {'ids array<int>, ' * with_ids}ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import small_batches, table
+from weftline.llm.common import small_batches, table, tidied
 
 ESCAPE = "␛"
 TURN, END = "<|turn|>", "<|end|>"
@@ -123,7 +123,7 @@ def format_chats(records: DataFrame) -> DataFrame:
                 loss.append([{"lo": lo, "hi": hi} for lo, hi in spans])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(layouts, pa.string()), pa.array(texts, pa.string()), pa.array(loss, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], ["conv_id", "layout", "formatted", "loss"])
 
-    return records.select(F.col("conv_id").cast("long").alias("conv_id"), "record").mapInArrow(run, "conv_id bigint, layout string, formatted string, loss array<struct<lo: bigint, hi: bigint>>")
+    return records.select(F.col("conv_id").cast("long").alias("conv_id"), "record").mapInArrow(tidied(run), "conv_id bigint, layout string, formatted string, loss array<struct<lo: bigint, hi: bigint>>")
 
 
 def from_rows(rows: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))] if out else [b.column(0), *(pa.array([], k) for k in kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "loss").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return formatted.select("conv_id", "formatted", "loss").mapInArrow(tidied(run), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

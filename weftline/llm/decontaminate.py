@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import small_batches, table
+from weftline.llm.common import small_batches, table, tidied
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
@@ -116,7 +116,7 @@ def scan(docs: DataFrame, found: dict[bytes, set[str]]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(runs, pairs), pa.array(items, pa.list_(pa.string())), pa.array(spans, pairs)], ["row", "doc_id", "n_words", "runs", "items", "spans"])
 
     pair = "array<struct<lo: bigint, hi: bigint>>"
-    return docs.select("row", "doc_id", "text").mapInArrow(run, f"row bigint, doc_id bigint, n_words bigint, runs {pair}, items array<string>, spans {pair}")
+    return docs.select("row", "doc_id", "text").mapInArrow(tidied(run), f"row bigint, doc_id bigint, n_words bigint, runs {pair}, items array<string>, spans {pair}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
@@ -159,7 +159,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most: int = SHARD_B
                 last = len(columns)
                 yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(hits, b.schema.field(last).type), pa.array(n, pa.int64())], schema=b.schema)
 
-        rows = rows.mapInArrow(run, rows.schema)
+        rows = rows.mapInArrow(tidied(run), rows.schema)
     hit = F.aggregate(_united(runs), F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"])
     return rows.where(~((hit > 0) & (hit * SHARE >= F.col("_n_words")))).select(*(F.col(f"`{c}`") for c in columns))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import small_batches, table
+from weftline.llm.common import small_batches, table, tidied
 from weftline.operators.components import connected_components
 from weftline.session import cut
 
@@ -81,7 +81,7 @@ def _valid(vectors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.binary())], ["vec_id", "vec"])
 
     small_batches(vectors.sparkSession, 1024)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id bigint, vec binary")
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(tidied(run), "vec_id bigint, vec binary")
 
 
 def _compare(rows: list[dict], key: int, n: int) -> tuple[list[int], list[int], list[int], list[int]]:
@@ -152,7 +152,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(out[0], pa.int64())), b.column(2).take(pa.array(out[0], pa.int64())), b.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.list_(pa.int64()))], ["id", "copies", "vec", "keys"])
 
     small_batches(classes.sparkSession, 1024)
-    indexed = cut(classes.mapInArrow(keys, "id bigint, copies bigint, vec binary, keys array<bigint>"))
+    indexed = cut(classes.mapInArrow(tidied(keys), "id bigint, copies bigint, vec binary, keys array<bigint>"))
     lists = cut(indexed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")))
     entries = indexed.select("id", "copies", "vec", F.explode("keys").alias("key")).join(lists.select("key", "blocks"), "key")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -177,7 +177,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         if held:
             yield passed()
 
-    found = cut(groups.mapInArrow(compare, "id bigint, n bigint, other bigint"))
+    found = cut(groups.mapInArrow(tidied(compare), "id bigint, n bigint, other bigint"))
     counts = found.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"))
     parts = connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     of = classes.join(counts, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")

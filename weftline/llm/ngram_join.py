@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import small_batches, table
+from weftline.llm.common import small_batches, table, tidied
 from weftline.llm.hashing import fingerprints, mix, prefix_sums
 from weftline.operators.components import connected_components
 from weftline.session import cut, discard
@@ -116,31 +116,38 @@ def _frequent(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, np.nd
     """Each row's (doc_id, n, fp), and the tokens to put last with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
+        # one buffer, sorted where it lies: several copies of it would not fit beside other workers
+        held, size, seen = np.empty(STRETCH, np.uint64), 0, set()
 
         def counted() -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            token, n = token[n >= REPEATED], n[n >= REPEATED]
-            nothing = [pa.nulls(token.size, t) for t in (pa.int64(), pa.int64(), pa.binary())]
-            return pa.RecordBatch.from_arrays([*nothing, pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["doc_id", "n", "fp", "token", "seen"])
+            part = held[:size]
+            part.sort()
+            first = np.flatnonzero(np.concatenate([np.ones(min(size, 1), bool), part[1:] != part[:-1]]))
+            n = np.diff(np.append(first, size))
+            first, n = first[n >= REPEATED], n[n >= REPEATED]
+            nothing = [pa.nulls(first.size, t) for t in (pa.int64(), pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*nothing, pa.array(part[first].view(np.int64)), pa.array(n.astype(np.int64))], ["doc_id", "n", "fp", "token", "seen"])
 
         for b in batches:
             sets = [shingles(t, words) for t in b.column(1).to_pylist()]
             prints = [_fingerprint(s) for s in sets]
-            for s, f in zip(sets, prints):
-                if f not in seen:
-                    seen.add(f)
-                    held.append(s)
-                    size += s.size
             nothing = pa.nulls(b.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array(prints, pa.binary()), nothing, nothing], ["doc_id", "n", "fp", "token", "seen"])
-            if size >= STRETCH:
-                yield counted()
-                held, size, seen = [], 0, set()
+            for s, f in zip(sets, prints):
+                if f in seen:
+                    continue
+                if size + s.size > held.size:
+                    yield counted()
+                    size, seen = 0, set()
+                    if s.size > held.size:
+                        held = np.empty(s.size, np.uint64)
+                seen.add(f)
+                held[size : size + s.size] = s
+                size += s.size
         yield counted()
 
     small_batches(docs.sparkSession)
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, fp binary, token bigint, seen bigint"))
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id bigint, n bigint, fp binary, token bigint, seen bigint"))
     tokens = rows.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
     tokens = cut(tokens.where(F.col("seen") > 2 * REPEATED))
     total, least = 0, 1 << 62
@@ -186,7 +193,7 @@ def _sieved(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(out.columns[:2], ["doc_id", "text"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text", place.alias("p")).mapInArrow(run, "doc_id bigint, text string")
+    return docs.select("doc_id", "text", place.alias("p")).mapInArrow(tidied(run), "doc_id bigint, text string")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -207,7 +214,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
                 keep.append(similar(tokens, shingles(y.as_py(), words), percent))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(both.mapInArrow(run, "a bigint, b bigint"), [texts])
+    return cut(both.mapInArrow(tidied(run), "a bigint, b bigint"), [texts])
 
 
 def _apart(pairs: DataFrame, part: DataFrame | None, tried: list[DataFrame]) -> DataFrame:
@@ -232,7 +239,7 @@ def _screened(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
     of = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return both.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, part: DataFrame | None, words: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
@@ -263,7 +270,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     # one row a class of equal sets, by its least document
     least = rows.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     small_batches(spark)
-    found = docs.mapInArrow(prefixes, "doc_id bigint, n bigint, fp binary, bits binary, prefix array<bigint>")
+    found = docs.mapInArrow(tidied(prefixes), "doc_id bigint, n bigint, fp binary, bits binary, prefix array<bigint>")
     classes = cut(found.join(least, ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"]))
     tokens = classes.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("at", "token"))
     # lists of two at least, with three leaders each: the least, the greatest and one by scattered bits

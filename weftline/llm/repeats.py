@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import small_batches, table
+from weftline.llm.common import small_batches, table, tidied
 from weftline.llm.hashing import fingerprints, prefix_sums, slide
 from weftline.session import cut
 
@@ -143,7 +143,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             yield _batch(out)
 
     small_batches(spark)
-    every = texts.mapInArrow(found, "sha binary, first bigint, last bigint, anchor bigint, stretch bigint, several bigint")
+    every = texts.mapInArrow(tidied(found), "sha binary, first bigint, last bigint, anchor bigint, stretch bigint, several bigint")
     # copies of a text are one; a class is a distinct stretch, with the number of its runs and one of them
     every = cut(every.distinct())
     place = F.struct("sha", "first", "last")
@@ -174,7 +174,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             yield _batch(out)
 
     small_batches(spark, 64)
-    pieces = cut(sources.mapInArrow(cut_out, "anchor bigint, sha binary, first bigint, n bigint, bytes binary, windows array<bigint>"))
+    pieces = cut(sources.mapInArrow(tidied(cut_out), "anchor bigint, sha binary, first bigint, n bigint, bytes binary, windows array<bigint>"))
 
     def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Buckets come one after the other; each is sorted by itself."""
@@ -197,7 +197,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         yield sorted_out()
 
     small = pieces.where("bytes is not null").drop("windows").repartition("anchor").sortWithinPartitions("anchor")
-    small = small.mapInArrow(sort_buckets, "sha binary, lo bigint, hi bigint")
+    small = small.mapInArrow(tidied(sort_buckets), "sha binary, lo bigint, hi bigint")
     windows = pieces.where("windows is not null").select("sha", "n", F.posexplode("windows").alias("k", "window"), F.col("first")).withColumn("at", F.col("first") + F.col("k"))
     twice = windows.groupBy("window").agg(F.count("*").alias("m")).where("m > 1").select("window")
     large = windows.where("n = 1").join(twice, "window", "left_semi").select("sha", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
@@ -208,7 +208,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             merged = [united([(x["lo"], x["hi"]) for x in s]) for s in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(merged, pa.list_(pa.list_(i64)))], ["sha", "spans"])
 
-    return spans.groupBy("sha").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).mapInArrow(unite, "sha binary, spans array<array<bigint>>")
+    return spans.groupBy("sha").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).mapInArrow(tidied(unite), "sha binary, spans array<array<bigint>>")
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     rows = with_spans(docs)
     small_batches(docs.sparkSession)
-    out = rows.mapInArrow(run, docs.schema)
+    out = rows.mapInArrow(tidied(run), docs.schema)
     if "n_chars" in columns:
         size = F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType))
         out = out.select(*(F.coalesce(size, F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns))
@@ -292,7 +292,7 @@ def report(docs: DataFrame) -> DataFrame:
 
     docs = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return docs.mapInArrow(tidied(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

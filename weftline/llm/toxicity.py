@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import crc_mod, small_batches, table
+from weftline.llm.common import crc_mod, small_batches, table, tidied
 
 #: Labelled rows of each class that the model is fitted on, and the most bytes of one of their texts.
 SAMPLE, SAMPLE_BYTES = 3000, 60_000
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     m, out = HELD_OUT
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_mod("doc_id", m) == out).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return rows.mapInArrow(tidied(run), "doc_id bigint, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_ordinary(docs: DataFrame, model: Model) -> DataFrame:
@@ -206,7 +206,7 @@ def keep_ordinary(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([scorer.score(t) < THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
