@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -63,11 +65,21 @@ def cut(df: DataFrame, drop: Iterable[DataFrame] = ()) -> DataFrame:
     _made[path] = spark
     del df
     discard(*drop)
-    gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()  # the driver's cleaner removes shuffle files of collected plans only
     return out
 
 
+def trim() -> None:
+    """Give this process's freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by cut."""
     for t in tables:
