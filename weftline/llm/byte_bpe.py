@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import small_batches, table, tidied
-from weftline.session import cut
+from weftline.session import cut, trim
 
 #: Words of more bytes than this are merged in the worker.
 LONG = 64
@@ -203,6 +203,7 @@ def folded_rows(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: in
     table = words.select("word", "n", F.get(fold_merges(F.array("bytes"), merges), F.lit(0)).cast("array<int>").alias("ids")).toArrow().combine_chunks()
     shared = spark.sparkContext.broadcast((Known.of(table), ranks))
     del table
+    trim()  # the driver has done with the words
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ids, with -1, -2 ... for the first, second ... word to fold."""

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import crc_mod, small_batches, table, tidied
+from weftline.session import trim
 
 #: Labelled rows of each class that the model is fitted on, and the most bytes of one of their texts.
 SAMPLE, SAMPLE_BYTES = 3000, 60_000
@@ -175,7 +176,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         ids = known.where(F.col("toxic") == kind).join(short.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id")
         texts = {r[0]: r[1] for r in short.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).toLocalIterator()}
         got[kind] = [texts[k] for k in sorted(texts)]
-    return fit(got[1], got[0])
+    model = fit(got[1], got[0])
+    del got
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
