@@ -13,6 +13,8 @@ import tiktoken
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from weftline.llm import byte_bpe, decontaminate, embedding_dedup, hmm_score, ngram_join, repeats, token_counts, toxicity
 from weftline.llm.queries import QUERIES
 
@@ -155,6 +157,23 @@ def test_op4_forward_is_exact():
     assert math.isclose(sum(math.exp(plain(s)) for s in two), 1)
 
 
+def test_op4_rounds_use_all_rows(spark):
+    """Training is plain Baum-Welch over all rows: the same as rounds in one process."""
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 12, 9) % (3 + k % 9))) for k in range(60)]
+    known = {w: i for i, w in enumerate(sorted({w for _, t in rows for w in hmm_score.words_of(t)}))}
+    overall = np.full(len(known) + 1, 1 / (len(known) + 1))
+    order = [r.text for r in spark.createDataFrame(rows, "doc_id long, text string").orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()]
+    want = hmm_score._start(order, known, len(known), overall)
+    seqs = [hmm_score._symbols(hmm_score.words_of(t), known, len(known)) for _, t in rows]
+    for _ in range(hmm_score.ROUNDS):
+        start, move, emit = (sum(x) for x in zip(*(want.expected(ids, first) for _, ids, first in hmm_score.padded(seqs))))
+        start, move, emit = start + hmm_score.MOVES, move + hmm_score.MOVES, emit + hmm_score.SMOOTH * overall[:, None]
+        want = hmm_score.Hmm(start / start.sum(), move / move.sum(1)[:, None], emit / emit.sum(0))
+    got = hmm_score.train(spark.createDataFrame(rows, "doc_id long, text string"), known, len(known), overall)
+    assert np.allclose(got.start, want.start) and np.allclose(got.move, want.move) and np.allclose(got.emit, want.emit)
+
+
 def test_op5(spark, sf_dir, texts):
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     got = by_id(spark, sf_dir, "op5_decontaminate")

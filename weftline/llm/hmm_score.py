@@ -3,8 +3,8 @@
 Training tokens are counted over the whole corpus. The model emits the most frequent words and the end of a text each by
 itself, and all other words through one class, inside which a word has its smoothed share of the corpus, unseen words
 included; so every text has an exact probability. Latent states are trained by Baum-Welch: expected counts come from
-each partition, are added up by a group-by and make the next parameters. The training rows are dealt to as many parts as
-there are rounds and each round takes the next part, with a decaying memory of the former, so all of them are used.
+each partition, are added up by a group-by and make the next parameters. Every round goes over all training rows, whose
+words are turned into symbols once, in a table.
 A scaled forward recursion, batched over texts of like length, computes each whole text's likelihood.
 
 What is broadcast is bounded: ``KNOWN`` counts and ``EMITTED`` emissions. Counts of all other words meet the texts that
@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import crc_mod, small_batches, table, tidied
-from weftline.session import cut
+from weftline.session import cut, discard
 
-STATES, ROUNDS, MEMORY = 6, 4, 0.3
+STATES, ROUNDS = 6, 4
 #: Words with an emission of their own, and words whose counts are broadcast.
 EMITTED, KNOWN = 20_000, 200_000
 SAMPLE, SAMPLE_BYTES = 600, 60_000
@@ -39,7 +39,9 @@ FLUSH = 300_000
 #: Pseudo-counts: of the overall distribution in each state's emissions, and of each transition.
 SMOOTH, MOVES = 50.0, 1.0
 #: Tokens of a padded batch, and texts in it.
-PADDED, TOGETHER = 150_000, 256
+PADDED, TOGETHER = 400_000, 1024
+#: Tokens that a task of Baum-Welch sorts by length at once.
+HELD = 800_000
 HELD_OUT = (7, 2)
 END = b""
 
@@ -176,33 +178,48 @@ def train(docs: DataFrame, known: dict[bytes, int], emitted: int, overall: np.nd
     sample = docs.where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE)
     model = _start([r[0] for r in sample.select("text").collect()], known, emitted, overall)
     words = spark.sparkContext.broadcast({w: i for w, i in known.items() if i < emitted})
+    small_batches(spark)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [_symbols(words_of(t), words.value, emitted).astype(np.int32).tobytes() for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
+
+    encoded = cut(docs.select("text").mapInArrow(tidied(encode), "ids binary"))
     schema = "symbol bigint, " + ", ".join(f"s{s} double" for s in range(STATES))
-    memory = (np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((emitted + 1, STATES)))
-    for k in range(ROUNDS):
+    for _ in range(ROUNDS):
         parameters = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], parameters=parameters) -> Iterator[pa.RecordBatch]:
-            model, places = parameters.value, words.value
+            model = parameters.value
             total = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((emitted + 1, STATES))]
-            for b in batches:
-                seqs = [_symbols(words_of(t), places, emitted) for t in b.column(0).to_pylist()]
-                for _, ids, first in padded(seqs):
+            held: list[np.ndarray] = []
+
+            def add() -> None:
+                for _, ids, first in padded(held):
                     for own, more in zip(total, model.expected(ids, first)):
                         own += more
+                held.clear()
+
+            size = 0
+            for b in batches:
+                held += [np.frombuffer(x, np.int32) for x in b.column(0).to_pylist()]
+                size += b.column(0).nbytes // 4
+                if size > HELD:
+                    add()
+                    size = 0
+            add()
             every = np.concatenate([total[2], total[1], total[0][None, :]])
             used = np.flatnonzero(every.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(every[used, s]) for s in range(STATES))], ["symbol", *(f"s{s}" for s in range(STATES))])
 
-        small_batches(spark)
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k).select("text")
-        got = part.mapInArrow(tidied(expect), schema).groupBy("symbol").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(STATES))).toArrow()
+        got = encoded.mapInArrow(tidied(expect), schema).groupBy("symbol").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(STATES))).toArrow()
         every = np.zeros((emitted + 1 + STATES + 1, STATES))
         every[got["symbol"].to_numpy()] = np.stack([got[f"s{s}"].to_numpy() for s in range(STATES)], 1)
-        new = (every[-1], every[emitted + 1 : -1], every[: emitted + 1])
-        memory = tuple(MEMORY * old + x for old, x in zip(memory, new))
-        start, move, emit = memory[0] + MOVES, memory[1] + MOVES, memory[2] + SMOOTH * overall[:, None]
+        start, move, emit = every[-1] + MOVES, every[emitted + 1 : -1] + MOVES, every[: emitted + 1] + SMOOTH * overall[:, None]
         model = Hmm(start / start.sum(), move / move.sum(1)[:, None], emit / emit.sum(0))
         parameters.unpersist()
+    discard(encoded)
     return model
 
 
