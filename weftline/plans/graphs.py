@@ -19,6 +19,12 @@ def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 500).alias("dst")).distinct()
 
 
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same graph over all orders."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 500).alias("dst")).distinct()
+
+
 def _ends(edges: str) -> str:
     return f"(SELECT src AS node FROM {edges} e UNION SELECT dst FROM {edges} e)"
 
@@ -59,7 +65,10 @@ _WCC = f"""WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM {SPARSE} x UNION
 
 @query("g08_weak_components", duck(_WCC))
 def g08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _sparse(spark, sf_dir)
+    return _weak(_sparse(spark, sf_dir))
+
+
+def _weak(edges: DataFrame) -> DataFrame:
     part = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     return graph.vertices(edges).join(part, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -106,6 +115,44 @@ def g18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.reachable(edges, seeds).groupBy("seed").agg(F.count("*").alias("descendants"))
 
 
+# The queries above over all orders, from all seeds. The SQL of those is recursive and too slow for that.
+@query("g08_weak_components_whole")
+def g08_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weak(_orders(spark, sf_dir))
+
+
+@query("g09_largest_component_whole")
+def g09_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g08_whole(spark, sf_dir).groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+
+
+@query("g36_component_sizes_whole")
+def g36_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = g08_whole(spark, sf_dir).groupBy("component").agg(F.count("*").alias("size"))
+    return sizes.groupBy("size").agg(F.count("*").alias("components"))
+
+
+@query("g11_connectivity_whole")
+def g11_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g08_whole(spark, sf_dir).agg((F.countDistinct("component") == 1).alias("weakly_connected"), F.countDistinct("component").alias("components"))
+
+
+@query("g10_strong_components_whole")
+def g10_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.strong_components(_orders(spark, sf_dir))
+
+
+@query("g17_bow_tie_whole")
+def g17_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.bow_tie(_orders(spark, sf_dir))
+
+
+@query("g18_descendants_whole")
+def g18_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _orders(spark, sf_dir)
+    return paths.reachable(edges, edges.select(F.col("src").alias("seed")).distinct()).groupBy("seed").agg(F.count("*").alias("descendants"))
+
+
 both("g12_isolates_and_loops", "SELECT c_custkey AS node, p.n IS NULL AS isolated, coalesce(p.loops, 0) AS loops FROM customer LEFT JOIN (SELECT node, count(*) AS n, CAST(sum(l) AS BIGINT) AS loops FROM (SELECT src AS node, CASE WHEN src = dst THEN 1 ELSE 0 END AS l FROM pairs UNION ALL SELECT dst, 0 FROM pairs) x GROUP BY node) p ON c_custkey = p.node", ("pairs",))
 both("g19_spreading_role", "SELECT node, CASE WHEN i = 0 AND o = 0 THEN 'isolated' WHEN o = 0 THEN 'receiver_only' WHEN o >= 50 THEN 'active_spreader' ELSE 'spreader' END AS role FROM (SELECT node, count_if(d = 'i') AS i, count_if(d = 'o') AS o FROM (SELECT dst AS node, 'i' AS d FROM pairs UNION ALL SELECT src, 'o' FROM pairs) x GROUP BY node) y", ("pairs",))
 both("g20_dominant_label", "SELECT u, CASE WHEN sum(k1) > sum(k0) THEN 'one' WHEN sum(k0) > sum(k1) THEN 'zero' ELSE 'tie' END AS dominant FROM lab GROUP BY u", ("lab",))
