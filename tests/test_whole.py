@@ -2,9 +2,12 @@
 
 import collections
 
+import oracle
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.plans import registry
+from weftline.plans.sql import view
 
 QUERIES = registry.queries()
 
@@ -46,3 +49,40 @@ def test_order_graph(spark, sf_dir, orders):
     region = {x: "core" if strong[x] == core else "in" if core in to[x] else "out" if x in to[core] else "other" for x in both}
     assert run("g17_bow_tie_whole") == sorted(region.items())
     assert run("g18_descendants_whole") == sorted((s, len(to[s] - {s})) for s in {a for a, _ in orders} if to[s] - {s})
+
+
+def arrivals(events, seed, start):
+    """Least times by Bellman-Ford over all events."""
+    best, changed = {seed: start}, True
+    while changed:
+        changed = False
+        for a, b, t in events:
+            if a in best and best[a] <= t < best.get(b, 1 << 62):
+                best[b], changed = t, True
+    return {b: t for b, t in best.items() if b != seed}
+
+
+def test_arrival_from_all_seeds(spark, sf_dir):
+    ix = view(spark, sf_dir, "ix").select("src", "dst", F.unix_seconds(F.col("ts").cast("timestamp")))
+    events = sorted((tuple(r) for r in ix.collect()), key=lambda r: r[2])
+    after = collections.defaultdict(set)
+    for a, b, _ in events:
+        after[a].add(b)
+    first = events[0][2]
+    assert rows(QUERIES["t14_earliest_arrival_whole"](spark, sf_dir)) == sorted((s, b, t) for s in after for b, t in arrivals(events, s, 1704672000).items())
+    ratios = {r.seed: r.ratio for r in QUERIES["t15_reach_ratio"](spark, sf_dir).collect()}
+    assert set(ratios) == set(after)
+    for s in after:
+        n = len(reach(after, s) - {s})
+        assert ratios[s] == (len(arrivals(events, s, first)) / n if n else None)
+
+
+def test_all_seeds_and_users(spark, sf_dir):
+    for whole, of in (("j19_neighbour_expansion_whole", "pairs"), ("t16_unique_seeds_whole", "pairs"), ("st08_holm_whole", "post")):
+        key = "u" if of == "post" else "src"
+        n = QUERIES[whole](spark, sf_dir).select("u" if of == "post" else "seed").distinct().count()
+        every = view(spark, sf_dir, of)
+        if whole.startswith("j19"):
+            every = every.join(every.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        assert n == every.select(key).distinct().count()
+        assert oracle.differ(spark, sf_dir, QUERIES[whole], registry.oracle_sql()[whole]) is None

@@ -21,6 +21,7 @@ from weftline.plans.sql import both, duck, view
 both("k01_multi_key_sort", "SELECT c_mktsegment, c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) AS place FROM customer")
 both("k10_first_targets", "SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM pairs) x WHERE r <= 20", ("pairs",))
 both("j19_neighbour_expansion", "SELECT a.src AS seed, b.dst AS node, count(*) AS ways, CAST(sum(a.w * b.w) AS BIGINT) AS weight FROM pairs a JOIN pairs b ON a.dst = b.src WHERE a.src % 10 = 0 GROUP BY a.src, b.dst", ("pairs",))
+both("j19_neighbour_expansion_whole", "SELECT a.src AS seed, b.dst AS node, count(*) AS ways, CAST(sum(a.w * b.w) AS BIGINT) AS weight FROM pairs a JOIN pairs b ON a.dst = b.src GROUP BY a.src, b.dst", ("pairs",))
 both("a14_pivot", "SELECT u, max(CASE WHEN kind = 'view' THEN n END) AS n_view, max(CASE WHEN kind = 'click' THEN n END) AS n_click, max(CASE WHEN kind = 'error' THEN n END) AS n_error FROM (SELECT u, kind, count(*) AS n FROM post GROUP BY u, kind) x GROUP BY u", ("post",))
 both("a24_quantile_summary", "SELECT kind, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round($pct(value; 0.5)$, 6) AS median, round($pct(value; 0.75)$ - $pct(value; 0.25)$, 6) AS iqr FROM post GROUP BY kind", ("post",))
 both("w13_running_max", "SELECT kind, week, max(n) OVER (PARTITION BY kind ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM (SELECT kind, week, count(*) AS n FROM post GROUP BY kind, week) x", ("post",))
@@ -169,6 +170,12 @@ def t16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("seed % 10 = 0").unionByName(d.where("seed % 15 = 0")).dropDuplicates(["seed"])
 
 
+@query("t16_unique_seeds_whole", duck("SELECT seed, max(n) AS n FROM (SELECT src AS seed, count(*) AS n FROM pairs GROUP BY src UNION ALL SELECT src, count(*) FROM pairs GROUP BY src) x GROUP BY seed", ("pairs",)))
+def t16_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = view(spark, sf_dir, "pairs").groupBy(F.col("src").alias("seed")).agg(F.count("*").alias("n"))
+    return d.unionByName(d).dropDuplicates(["seed"])
+
+
 _W = "1.959963984540054E0"
 
 
@@ -329,7 +336,7 @@ def ml22(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes reached in time as a share of those reached at all, by seed; null for a seed that reaches none."""
     ix = view(spark, sf_dir, "ix").select("src", "dst", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
-    seeds = ix.where("src % 50 = 0").select(F.col("src").alias("seed")).distinct()
+    seeds = ix.select(F.col("src").alias("seed")).distinct()
     start = ix.agg(F.min("at").alias("start"))
     timed = paths.earliest_arrival(ix, seeds.crossJoin(start)).groupBy("seed").agg(F.count("*").alias("t"))
     static = paths.reachable(ix, seeds).groupBy("seed").agg(F.count("*").alias("s"))

@@ -194,6 +194,12 @@ def st08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.holm(rows, "p", "kind").withColumn("holm_p", F.round("holm_p", 9))
 
 
+@query("st08_holm_whole", duck("WITH p AS (SELECT kind, u, (u * 37 % 101 + 1) / 2000.0E0 AS p FROM (SELECT DISTINCT kind, u FROM post) x), s AS (SELECT kind, u, p, p * (count(*) OVER (PARTITION BY kind) - row_number() OVER (PARTITION BY kind ORDER BY p, u) + 1) AS a FROM p) SELECT kind, u, p, round(least(1, max(a) OVER (PARTITION BY kind ORDER BY p, u ROWS UNBOUNDED PRECEDING)), 9) AS holm_p FROM s", ("post",)))
+def st08_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "post").select("kind", "u").distinct().withColumn("p", (F.col("u") * 37 % 101 + 1) / 2000.0)
+    return stats.holm(rows, "p", "kind").withColumn("holm_p", F.round("holm_p", 9))
+
+
 both("st07_sign_flip", "WITH d AS (SELECT i, CAST(n AS DOUBLE) AS d FROM (SELECT row_number() OVER (ORDER BY week, kind) - 1 AS i, a - b AS n FROM (SELECT week, kind, count_if(y = 1) AS a, count_if(y = 0) AS b FROM post WHERE kind IN ('view', 'click') GROUP BY week, kind) q) z WHERE i < 10), m AS (SELECT count(*) AS k, abs(sum(d)) AS s FROM d), g AS (SELECT $numbers(0; 1023)$ AS a), f AS (SELECT a, abs(sum(CASE WHEN $bit(a; CAST(i AS INT))$ = 1 THEN d ELSE -d END)) AS t FROM g CROSS JOIN d GROUP BY a) SELECT round(avg(CASE WHEN t >= s - 1e-9 THEN 1.0E0 ELSE 0.0E0 END), 9) AS p FROM f CROSS JOIN m", ("post",))
 
 
