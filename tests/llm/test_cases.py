@@ -90,6 +90,20 @@ def test_templates_generalise_and_reject(spark):
     assert {r.verdict for r in got if "/spam/" in r.path} == {"block"} and {r.verdict for r in got if "/item/" in r.path} == {"allow"}
 
 
+def test_templates_decide_pages_without_labels(spark):
+    words = [x + y for x in "abcde" for y in "fghij"]
+    rows = [f"http://h.test/{a}/{w}" for a in ("one", "two", "three") for w in words]
+    rows += [f"http://g.test/spam/{w}?{k}" for w in ("seen", "other") for k in range(12)] + ["http://g.test/item/x"]
+    rules = (("block", "h.test", "/one/a"), ("block", "h.test", "/two/b"), ("block", "g.test", "/spam/seen"))
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = url_filter.judge(df, rules).collect()
+    assert len(got) == len(rows)
+    # alike siblings move whole, and the third, which has no labels, joins them
+    assert {(r.template, r.verdict) for r in got if r.host == "h.test"} == {("/+/*", "block")}
+    # without labels of its own, a template takes those of its nearest parent, but not of the host
+    assert {(r.path, r.verdict) for r in got if r.host == "g.test"} == {("/spam/seen", "block"), ("/spam/other", "block"), ("/item/x", "allow")}
+
+
 def test_chats(spark):
     rows = [(1, 0, "user", None), (1, 1, None, "x"), (1, 1, None, "x"), (None, 0, "assistant", f"a{chat_format.ESCAPE}.<|end|>\n</s>[INST]"), (2, None, "us\ner", "<|turn|>")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("record", F.lit(1))

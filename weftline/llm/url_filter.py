@@ -3,8 +3,9 @@
 Labels come from host and path rules. Per host, paths become templates: runs of digits turn into ``#``, and then, level
 by level from the root, the children of a node that are too many for its rows turn into ``*``; what lies deeper than
 ``DEPTH`` segments is one ``**``. Sibling branches whose labelled block shares don't differ (a chi-square test of
-homogeneity) are merged into ``+``. A template is rejected if its smoothed labelled purity reaches ``REJECT``; one without
-labels keeps the neutral prior and is allowed. Rules overrule templates.
+homogeneity) are merged into ``+``, whole, and siblings without labels join them. A template is rejected if its smoothed
+labelled purity reaches ``REJECT``; one without labels takes the labels of its nearest parent that has some, short of the
+host's root, or else keeps the neutral prior and is allowed. Rules overrule templates.
 
 All steps are DataFrame functions over sums by template; only the last join looks at the pages again, and rows of a hot
 template are split by the adaptive join (or the template table is broadcast where Spark has found it to be small).
@@ -64,7 +65,7 @@ def _replaced(segments: Column, level: int, by: str) -> Column:
 def templates(pages: DataFrame) -> DataFrame:
     """host, shape, template, n, labelled, blocked for pages with host, path and a verdict by rule or null.
 
-    blocked and labelled are those of the whole template.
+    blocked and labelled are those of the whole template, or of its nearest parent below the root with labels if it has none.
     """
     shapes = pages.groupBy("host", F.regexp_replace("path", "[0-9]+", "#").alias("shape")).agg(
         F.count("*").alias("n"),
@@ -90,10 +91,15 @@ def templates(pages: DataFrame) -> DataFrame:
         df = F.col("k") - 1
         alike = siblings.where((F.col("k") > 1) & (chi <= df + 1.645 * F.sqrt(2 * df))).select("host", "merged", F.lit(True).alias("alike"))
         keyed = tree.withColumn("merged", _replaced(F.col("segments"), level, "+"))
-        tree = cut(keyed.join(alike, ["host", "merged"], "left").withColumn("segments", F.when(F.col("alike") & (F.col("labelled") > 0), F.col("merged")).otherwise(F.col("segments"))).drop("merged", "alike"))
-    tree = tree.withColumn("template", F.concat(F.lit("/"), F.array_join("segments", "/"))).drop("segments")
-    whole = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    return tree.drop("labelled", "blocked").join(whole, ["host", "template"])
+        tree = cut(keyed.join(alike, ["host", "merged"], "left").withColumn("segments", F.when(F.col("alike"), F.col("merged")).otherwise(F.col("segments"))).drop("merged", "alike"))
+    leaves = cut(tree.groupBy("host", "segments").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")))
+    above = leaves.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size("segments")))).withColumn("parent", F.slice("segments", F.lit(1), F.col("depth")))
+    parents = above.groupBy("host", "parent").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b")).where("m > 0")
+    nearest = above.where("labelled = 0").select("host", "segments", "depth", "parent").join(parents, ["host", "parent"])
+    nearest = nearest.groupBy("host", "segments").agg(F.max_by(F.struct("m", "b"), "depth").alias("up"))
+    whole = leaves.join(nearest, ["host", "segments"], "left").select("host", "segments", F.coalesce("up.m", "labelled").alias("labelled"), F.coalesce("up.b", "blocked").alias("blocked"))
+    got = tree.drop("labelled", "blocked").join(whole, ["host", "segments"])
+    return got.withColumn("template", F.concat(F.lit("/"), F.array_join("segments", "/"))).drop("segments")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
