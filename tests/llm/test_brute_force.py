@@ -108,6 +108,15 @@ def test_op2(spark, sf_dir, texts):
     assert {k: tuple(r)[1:5] for k, r in got.items()} == {k: v[:4] for k, v in want.items()}
 
 
+def test_op2_passages_without_ids(spark):
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    a = word(700)
+    texts = {k: word(int(rng.integers(0, 200))) + a[int(rng.integers(0, 90)) : 700 - int(rng.integers(0, 90))] + word(int(rng.integers(0, 200))) for k in range(8)}
+    df = spark.createDataFrame([(None, t) for t in texts.values()], "doc_id long, text string")
+    assert sorted(tuple(r)[1:5] for r in repeats.report(df).collect()) == sorted(tuple(v[:4]) for v in repeated(texts).values())
+
+
 @pytest.mark.parametrize("classes", [repeats.CLASSES, 1])
 def test_op2_passages(spark, monkeypatch, classes):
     monkeypatch.setattr(repeats, "CLASSES", classes)  # 1: every bucket goes the way of the large ones

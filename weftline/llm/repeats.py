@@ -155,9 +155,10 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     doubtful = doubtful.join(doubtful.where("n = 1").select("anchor").distinct(), "anchor", "left_semi")
     asked = doubtful.groupBy("sha").agg(F.collect_list(F.struct("anchor", "k", "n", "first", "last")).alias("asked"))
     least = texts.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
-    asked = asked.join(least, "sha")
+    asked = cut(asked.join(least, "sha").select(F.col("sha").alias("of"), F.col("doc_id").alias("least"), "asked"))
     small_batches(spark)
-    sources = texts.join(cut(asked), ["sha", "doc_id"]).select("sha", "text", "asked").dropDuplicates(["sha"])
+    # ids may be null
+    sources = texts.join(asked, (F.col("sha") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("sha", "text", "asked").dropDuplicates(["sha"])
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
