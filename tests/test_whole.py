@@ -6,6 +6,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.operators import stats
 from weftline.plans import registry
 from weftline.plans.sql import view
 
@@ -86,3 +87,10 @@ def test_all_seeds_and_users(spark, sf_dir):
             every = every.join(every.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         assert n == every.select(key).distinct().count()
         assert oracle.differ(spark, sf_dir, QUERIES[whole], registry.oracle_sql()[whole]) is None
+
+
+@pytest.mark.parametrize("name, fn, draws", [("st02_bootstrap", "bootstrap", 2000), ("st10_permutation", "permutation_test", 2000), ("st11_uncentred_permutation", "permutation_test", 500)])
+def test_draws_of_the_reference(spark, sf_dir, monkeypatch, name, fn, draws):
+    seen, plain = [], getattr(stats, fn)
+    monkeypatch.setattr(stats, fn, lambda *a, **k: seen.append(k["draws"]) or plain(*a, **k))
+    assert QUERIES[name](spark, sf_dir).count() > 0 and seen == [draws]

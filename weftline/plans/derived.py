@@ -238,7 +238,7 @@ def st06(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("st11_uncentred_permutation")
 def st11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "post").groupBy("kind", "u").agg(F.avg("value").alias("x"), F.avg(F.col("y").cast("double")).alias("share"), (F.col("u") % 4).alias("s"))
-    return stats.permutation_test(rows, "x", "share", "kind", stratum="s", draws=100, centred=False)
+    return stats.permutation_test(rows, "x", "share", "kind", stratum="s", draws=500, centred=False)
 
 
 @query("st12_st15_run_intervals")

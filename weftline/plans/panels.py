@@ -211,13 +211,13 @@ def st09(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("st02_bootstrap")
 def st02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.bootstrap(view(spark, sf_dir, "post"), "value", "kind", draws=500)
+    return stats.bootstrap(view(spark, sf_dir, "post"), "value", "kind", draws=2000)
 
 
 @query("st10_permutation")
 def st10(spark: SparkSession, sf_dir: str) -> DataFrame:
     weekly = view(spark, sf_dir, "post").groupBy("kind", "u").agg(F.avg("value").alias("x"), F.avg(F.col("y").cast("double")).alias("share"))
-    return stats.permutation_test(weekly, "x", "share", "kind", draws=200)
+    return stats.permutation_test(weekly, "x", "share", "kind", draws=2000)
 
 
 both("st14_normal_interval", "SELECT kind, round(avg(value), 6) AS mean, round(1.96E0 * stddev_samp(value) / sqrt(count(*)), 6) AS half FROM post GROUP BY kind", ("post",))
