@@ -49,13 +49,13 @@ def linked(texts):
     return {k: (len(s), label[k]) for k, s in sets.items()}
 
 
-def repeated(texts):
-    """Removed runs of each text's bytes, from counts of all 400-byte strings."""
+def repeated(texts, length=400):
+    """Removed runs of each text's bytes, from counts of all strings of so many bytes."""
     raw = {k: (t or "").encode() for k, t in texts.items()}
-    n = collections.Counter(x[i : i + 400] for x in raw.values() for i in range(len(x) - 399))
+    n = collections.Counter(x[i : i + length] for x in raw.values() for i in range(len(x) - length + 1))
     out = {}
     for k, x in raw.items():
-        spans = repeats.united([(i, i + 400) for i in range(len(x) - 399) if n[x[i : i + 400]] > 1])
+        spans = repeats.united([(i, i + length) for i in range(len(x) - length + 1) if n[x[i : i + length]] > 1])
         out[k] = (len(x), sum(b - a for a, b in spans), len(spans), hexed(repeats.kept_bytes(x, spans)), spans)
     return out
 
@@ -106,6 +106,40 @@ def test_op1_chains_and_groups(spark):
 def test_op2(spark, sf_dir, texts):
     got, want = by_id(spark, sf_dir, "op2_repeats"), repeated(texts)
     assert {k: tuple(r)[1:5] for k, r in got.items()} == {k: v[:4] for k, v in want.items()}
+    assert {k: r.n_passage_bytes for k, r in got.items()} == {k: v[1] for k, v in repeated(texts, 250).items()}
+
+
+@pytest.mark.parametrize("length", [20, 64, 250, 400])
+def test_op2_ranks_order_suffixes(length):
+    """Ranks are those of a plain sort, within and across places of the difference cover, for ties of any length."""
+    rng = np.random.default_rng(length)
+    base = rng.integers(0, 3, 2 * length).astype(np.uint8)
+    parts = [np.concatenate([rng.integers(0, 3, k).astype(np.uint8), base[k % 5 :], rng.integers(0, 3, 40).astype(np.uint8)]) for k in range(9)] + [np.zeros(2 * length + 7, np.uint8)]
+    raw, start, at = np.concatenate(parts), [], 0
+    for x in parts:
+        start += range(at, at + x.size - length + 1)
+        at += x.size
+    less, equal = repeats.suffix_ranks(raw, np.array(start), length)
+    strings = [raw[i : i + length].tobytes() for i in start]
+    n, order = collections.Counter(strings), sorted(strings)
+    assert equal.tolist() == [n[x] for x in strings] and equal.max() > 1
+    assert [order[k] for k in less] == strings and all(k == 0 or order[k - 1] < x for k, x in zip(less, strings))
+    for r in range(repeats.COVER):
+        for s in range(repeats.COVER):
+            assert {(r + repeats.shift_of(r, s)) % repeats.COVER, (s + repeats.shift_of(r, s)) % repeats.COVER} <= set(repeats.DIFFERENCE_COVER)
+
+
+def test_op2_planted_passage_of_55_words(spark):
+    """A passage of over 50 words that 30 texts share is under 400 bytes: the pipeline's length takes it out, and nothing else."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(3, 7))))
+    passage = " ".join(word() for _ in range(55))
+    assert 250 <= len(passage) < 400
+    own = {k: (" ".join(word() for _ in range(80)) + " ", " " + " ".join(word() for _ in range(60))) for k in range(60)}
+    df = spark.createDataFrame([(k, a + (passage if k < 30 else "") + b) for k, (a, b) in own.items()], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in repeats.without_repeats(df, repeats.PASSAGE).collect()}
+    assert all(passage[5:-5] not in left[k] and len(left[k]) >= len("".join(own[k])) - 4 for k in range(30))
+    assert all(left[k] == "".join(own[k]) for k in range(30, 60))
 
 
 def test_op2_passages_without_ids(spark):
@@ -280,7 +314,7 @@ def test_pipeline_stages(spark, sf_dir):
             assert set(after) == {c for _, c in linked(before).values()} and all(after[k] == before[k] for k in after)
         elif name == "repeats":
             want = {}
-            for k, v in repeated(before).items():
+            for k, v in repeated(before, repeats.PASSAGE).items():  # the stage's own length
                 raw = (before[k] or "").encode()
                 want[k] = repeats.kept_bytes(raw, repeats.whole_characters(raw, v[4])).decode()
             assert after == want and all(r.n_chars == len(r.text) for r in out.collect() if len(before[r.doc_id]) != len(r.text))
