@@ -23,7 +23,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(docs)
+    """Passages of some fifty words are to go, so strings of 250 bytes are looked for, not the 400 of the query."""
+    return repeats.without_repeats(docs, repeats.PASSAGE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
