@@ -1,30 +1,33 @@
 """Scores of texts by a hidden Markov language model.
 
-Training tokens are counted over the whole corpus. The model emits the most frequent words and the end of a text each by
-itself, and all other words through one class, inside which a word has its smoothed share of the corpus, unseen words
-included; so every text has an exact probability. Latent states are trained by Baum-Welch: expected counts come from
-each partition, are added up by a group-by and make the next parameters. Every round goes over all training rows, whose
-words are turned into symbols once, in a table.
-A scaled forward recursion, batched over texts of like length, computes each whole text's likelihood.
+Texts become chunks: token numbers in a dictionary of the chunk's own words, found by Arrow. Each word of a chunk with its
+number of training tokens is a row; their sums over the corpus are its counts, which come back to the chunks by a join,
+so counts of all words are used and nothing that grows with the vocabulary is broadcast.
 
-What is broadcast is bounded: ``KNOWN`` counts and ``EMITTED`` emissions. Counts of all other words meet the texts that
-have them in a join, whose rows come from distinct words of a text.
+The model emits every word that is seen ``LEAST`` times by itself, the most frequent ``EMITTED`` at most (a bound on the
+parameters that are broadcast), and so the end of a text; all other words through one class, inside which a word has its smoothed
+share of the corpus, unseen words included; so every text has an exact probability. Latent states are trained by
+Baum-Welch: every round goes over all training rows, expected counts come from each partition, are added up by a
+group-by and make the next parameters. A scaled forward recursion, over groups of texts, computes each whole text's
+likelihood.
 
-Starting emissions come from a clustering of at most ``SAMPLE`` training rows of up to ``SAMPLE_BYTES``.
+States start from statistics of all training rows: which of the ``PROBES`` most frequent words stand in the same texts
+splits these words into as many parts as there are states (by the leading eigenvectors of their correlations).
 
 Null and empty texts are the end alone. Without training rows N and V are 0 and the model is uniform. Rows are kept one
-for one; a null doc_id counts as training.
+for one, repeated ones too; a null doc_id counts as training. A text of any length is scored whole. Columns other than doc_id and
+text don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,23 +35,36 @@ from weftline.llm.common import crc_mod, small_batches, table, tidied
 from weftline.session import cut, discard
 
 STATES, ROUNDS = 6, 4
-#: Words with an emission of their own, and words whose counts are broadcast.
-EMITTED, KNOWN = 20_000, 200_000
-SAMPLE, SAMPLE_BYTES = 600, 60_000
-FLUSH = 300_000
+#: Words with an emission of their own: seen so often at least, and so many at most.
+LEAST, EMITTED = 10, 65_536
+PROBES = 128
+#: How much likelier a state's own probes are at the start, and the chance to stay in a state.
+LEANING, STAY = 8.0, 0.9
 #: Pseudo-counts: of the overall distribution in each state's emissions, and of each transition.
 SMOOTH, MOVES = 50.0, 1.0
-#: Tokens of a padded batch, and texts in it.
-PADDED, TOGETHER = 400_000, 1024
-#: Tokens that a task of Baum-Welch sorts by length at once.
-HELD = 800_000
+#: Bytes of text in a chunk, and tokens of a group of texts that recursions go through together.
+CHUNK, GROUP = 8 << 20, 1_000_000
+#: Steps after which recursions are scaled.
+SCALED = 8
 HELD_OUT = (7, 2)
 END = b""
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased, then the end."""
-    return [*(text or "").encode().lower().split(), END]
+def numbered(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, numbers of all tokens among them, tokens of each text); words stand between ASCII white space, A-Z is
+    lower-cased, and each text closes with the end, which has number 0."""
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null(""))))
+    coded = pc.list_flatten(split).dictionary_encode()
+    codes, sizes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    nothing = pc.index(coded.dictionary, "").as_py()  # what an empty text is split into
+    row = np.repeat(np.arange(sizes.size), sizes)
+    if nothing >= 0:
+        real = codes != nothing
+        codes, row = codes[real], row[real]
+        sizes = np.bincount(row, minlength=sizes.size)
+    out = np.zeros(codes.size + sizes.size, np.int64)
+    out[np.arange(codes.size) + row] = codes + 1
+    return pa.concat_arrays([pa.array([END], pa.binary()), coded.dictionary.cast(pa.binary())]), out, sizes + 1
 
 
 @dataclass
@@ -57,169 +73,256 @@ class Hmm:
     move: np.ndarray
     #: emissions by symbol and state; the last symbol is the class of other words
     emit: np.ndarray
-
-    def forward(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Natural log-likelihoods of sequences; ids is (time, sequence) padded, first[t] the first sequence that has t."""
-        a = self.start * self.emit[ids[0]]
-        c = a.sum(1)
-        a /= c[:, None]
-        total = np.log(c)
-        for t in range(1, ids.shape[0]):
-            f = first[t]
-            b = (a[f:] @ self.move) * self.emit[ids[t, f:]]
-            c = b.sum(1)
-            a[f:] = b / c[:, None]
-            total[f:] += np.log(c)
-        return total
-
-    def expected(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected (start, move, emit) counts of sequences, by scaled forward and backward recursions."""
-        steps, n = ids.shape
-        alpha, scale = np.zeros((steps, n, self.start.size)), np.ones((steps, n))
-        a = self.start * self.emit[ids[0]]
-        for t in range(steps):
-            f = first[t]
-            if t:
-                a = (alpha[t - 1, f:] @ self.move) * self.emit[ids[t, f:]]
-            scale[t, f:] = c = a.sum(1)
-            alpha[t, f:] = a / c[:, None]
-        move, beta = np.zeros_like(self.move), np.ones((n, self.start.size))
-        for t in range(steps - 2, -1, -1):
-            f = first[t + 1]
-            nb = self.emit[ids[t + 1, f:]] * beta[f:] / scale[t + 1, f:, None]
-            move += (alpha[t, f:].T @ nb) * self.move
-            alpha[t + 1, f:] *= beta[f:]
-            beta[f:] = nb @ self.move.T
-        alpha[0] *= beta
-        live = np.arange(n)[None, :] >= first[:, None]
-        flat, weights = ids[live], alpha[live]
-        emit = np.stack([np.bincount(flat, weights=weights[:, s], minlength=self.emit.shape[0]) for s in range(self.start.size)], 1)
-        return alpha[0].sum(0), move, emit
-
-
-def padded(seqs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Sequences in groups of like length: (their places, ids by time padded with 0, first sequence that has each time)."""
-    order = sorted(range(len(seqs)), key=lambda i: seqs[i].size)
-    while order:
-        take = 1
-        while take < min(len(order), TOGETHER) and (take + 1) * seqs[order[-1]].size <= PADDED:
-            take += 1
-        group, order = order[-take:], order[:-take]
-        sizes = np.array([seqs[i].size for i in group])
-        ids = np.zeros((sizes[-1], take), np.int64)
-        for k, i in enumerate(group):
-            ids[: sizes[k], k] = seqs[i]
-        yield group, ids, np.searchsorted(sizes, np.arange(sizes[-1]), side="right")
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c): tokens of all training rows of docs (text)."""
+    #: what emissions are compared with, by symbol: recursions go over their quotients, which stay near 1
+    overall: np.ndarray
+
+    def _quotients(self) -> np.ndarray:
+        return self.emit / self.overall[:, None]
+
+    def _alphas(self, symbols: np.ndarray, live: np.ndarray, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        """Forward variables, logs of the scales by text, and the scales by step."""
+        at = [0, *np.cumsum(live).tolist()]
+        alpha, logs, scales = np.empty_like(emitted), np.zeros(live[0]), {}
+        for t, n in enumerate(live.tolist()):
+            a = (alpha[at[t - 1] : at[t - 1] + n] @ self.move if t else self.start) * emitted[at[t] : at[t + 1]]
+            if t % SCALED == 0:
+                scales[t] = c = a.sum(1)
+                a /= c[:, None]
+                logs[:n] += np.log(c)
+            alpha[at[t] : at[t + 1]] = a
+        return alpha, logs, scales
+
+    def forward(self, symbols: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Natural log-likelihoods of a group of texts."""
+        alpha, logs, _ = self._alphas(symbols, live, self._quotients()[symbols])
+        begin = np.cumsum(live) - live
+        for t, n in enumerate(live.tolist()):
+            m = int(live[t + 1]) if t + 1 < live.size else 0
+            if m < n:  # these end here
+                logs[m:n] += np.log(alpha[begin[t] + m : begin[t] + n].sum(1))
+        which = np.arange(symbols.size) - np.repeat(begin, live)
+        return logs + np.bincount(which, weights=np.log(self.overall)[symbols], minlength=live[0])
+
+    def expected(self, symbols: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected (start, move, emit) counts of a group of texts, by scaled forward and backward recursions."""
+        emitted = self._quotients()[symbols]
+        alpha, _, scales = self._alphas(symbols, live, emitted)
+        at, moved, beta = [0, *np.cumsum(live).tolist()], np.zeros_like(self.move), None
+        back = np.ascontiguousarray(self.move.T)
+        for t in range(live.size - 1, -1, -1):
+            own = alpha[at[t] : at[t + 1]]
+            m = int(live[t + 1]) if t + 1 < live.size else 0
+            now = np.empty_like(own)
+            now[m:] = 1 / own[m:].sum(1)[:, None]  # of texts that end here
+            if m:
+                beta *= emitted[at[t + 1] : at[t + 2]]
+                if t + 1 in scales:
+                    beta /= scales[t + 1][:, None]
+                moved += own[:m].T @ beta
+                np.matmul(beta, back, out=now[:m])
+            own *= now  # the chance of each state
+            beta = now
+        emit = np.stack([np.bincount(symbols, weights=alpha[:, s], minlength=self.emit.shape[0]) for s in range(self.start.size)], 1)
+        return alpha[: at[1]].sum(0), moved * self.move, emit
+
+
+def grouped(seqs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts in groups of at most ``GROUP`` tokens (or one text) and falling length: (their places; their symbols, step after
+    step; how many are live at each step)."""
+    sizes = np.array([s.size for s in seqs], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    total = np.cumsum(sizes[order])
+    lo = 0
+    while lo < order.size:
+        base = total[lo] - sizes[order[lo]]
+        hi = max(lo + 1, int(np.searchsorted(total, base + GROUP, "right")))
+        own = order[lo:hi]
+        n = sizes[own]
+        live = np.searchsorted(-n, -np.arange(n[0]), "left")
+        begin = np.cumsum(live) - live
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        symbols = np.empty(step.size, np.int64)
+        symbols[begin[step] + np.repeat(np.arange(n.size), n)] = np.concatenate([seqs[i] for i in own])
+        yield own, symbols, live
+        lo = hi
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds from docs (doc_id, text, held_out): a chunk with its tokens, and each word of a chunk with n of them in training."""
     small_batches(docs.sparkSession)
+    schema = pa.schema([("chunk", pa.int64()), ("place", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()), ("sizes", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def passed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
-            held.clear()
-            return out
-
+        held: list[pa.RecordBatch] = []
+        number = TaskContext.get().partitionId() << 32
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            ids, texts, out = (pa.concat_arrays([b.column(k) for b in held]) for k in range(3))
+            words, tokens, sizes = numbered(texts)
+            training = ~out.to_numpy(zero_copy_only=False)
+            n = np.bincount(tokens[np.repeat(training, sizes)], minlength=len(words))
+            listed = lambda v, t: pa.array([v], pa.list_(t))
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.nulls(1, schema.field(k).type) for k in ("place", "word", "n")), pa.array([tokens.astype(np.int32).tobytes()], pa.binary()), listed(sizes, pa.int64()), listed(ids.to_pylist(), pa.int64()), listed(out.to_pylist(), pa.bool_())], schema=schema)
+            for lo in range(0, len(words), 20_000):
+                w = words.slice(lo, 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), number)), pa.array(np.arange(lo, lo + len(w))), w, pa.array(n[lo : lo + len(w)]), *(pa.nulls(len(w), schema.field(k).type) for k in ("tokens", "sizes", "doc_id", "held_out"))], schema=schema)
+
+        size = 0
         for b in batches:
-            for text in b.column(0).to_pylist():
-                held.update(words_of(text))
-                if len(held) > FLUSH:
-                    yield passed()
-        yield passed()
-
-    return docs.select("text").mapInArrow(tidied(run), "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def _most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """At most so many of the most frequent words with their counts, by falling count; the end is always among them."""
-    total, least = 0, 1 << 62
-    for r in counts.groupBy(F.floor(F.log2("c") * 8).alias("size")).agg(F.count("*").alias("k"), F.min("c").alias("c")).orderBy(F.desc("size")).collect():
+            if b.num_rows:
+                held.append(b)
+                size += b.column(1).nbytes
+            if size > CHUNK:
+                yield from passed()
+                held, size, number = [], 0, number + 1
+        if held:
+            yield from passed()
+
+    rows = docs.select("doc_id", "text", "held_out").mapInArrow(tidied(run), "chunk bigint, place bigint, word binary, n bigint, tokens binary, sizes array<bigint>, doc_id array<bigint>, held_out array<boolean>")
+    return cut(rows)
+
+
+def most_frequent(counts: DataFrame, least: int = LEAST, most: int = EMITTED) -> list[tuple[bytes, int]]:
+    """Words with their counts, seen so often and so many at most, by falling count; the end is always among them, first."""
+    total, lowest = 0, 1 << 62
+    for r in counts.where(F.col("c") >= least).groupBy(F.floor(F.log2("c") * 8).alias("size")).agg(F.count("*").alias("k"), F.min("c").alias("c")).orderBy(F.desc("size")).collect():
         total += r["k"]
         if total > most:
             break
-        least = r["c"]
-    got = counts.where((F.col("c") >= least) | (F.length("word") == 0)).toArrow()
+        lowest = r["c"]
+    got = counts.where(((F.col("c") >= lowest) | (F.length("word") == 0)) & (F.col("c") > 0)).toArrow()
     return sorted(zip(got["word"].to_pylist(), got["c"].to_pylist()), key=lambda x: (x[0] != END, -x[1], x[0]))
 
 
-def _symbols(words: list[bytes], known: dict[bytes, int], emitted: int) -> np.ndarray:
-    """Places among the known words, those without an emission of their own as the class of others."""
-    ids = np.fromiter(map(known.get, words, repeat(emitted)), np.int64, len(words))
-    return np.minimum(ids, emitted)
-
-
-def _start(texts: list[str], known: dict[bytes, int], emitted: int, overall: np.ndarray) -> Hmm:
-    """Sticky states with the word use of clusters of sample texts."""
-    rng = np.random.default_rng(4)
-    x = np.stack([np.bincount(_symbols(words_of(t), known, emitted), minlength=emitted + 1) for t in texts]).astype(float) if texts else np.ones((1, emitted + 1))
-    y = np.sqrt(x[:, : 3000] + 0.0)
-    y /= np.maximum(np.linalg.norm(y, axis=1), 1e-9)[:, None]
-    centre = [0]
-    for _ in range(STATES - 1):  # farthest first
-        centre.append(int(np.argmin((y @ y[centre].T).max(1))))
-    c = y[centre]
-    for _ in range(8):
-        own = np.argmax(y @ c.T, 1)
-        c = np.stack([y[own == s].sum(0) if (own == s).any() else y[rng.integers(len(y))] for s in range(STATES)])
-        c /= np.maximum(np.linalg.norm(c, axis=1), 1e-9)[:, None]
-    emit = np.stack([x[own == s].sum(0) for s in range(STATES)], 1)
-    emit = emit + (SMOOTH + emit.sum(0) * 0.2) * overall[:, None] * rng.uniform(0.8, 1.2, emit.shape)
-    move = np.full((STATES, STATES), 0.1 / (STATES - 1)) + np.eye(STATES) * (0.9 - 0.1 / (STATES - 1))
-    return Hmm(np.full(STATES, 1 / STATES), move, emit / emit.sum(0))
-
-
-def train(docs: DataFrame, known: dict[bytes, int], emitted: int, overall: np.ndarray) -> Hmm:
-    """Baum-Welch over docs (doc_id, text); known has places of words by falling count."""
-    spark = docs.sparkSession
-    sample = docs.where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE)
-    model = _start([r[0] for r in sample.select("text").collect()], known, emitted, overall)
-    words = spark.sparkContext.broadcast({w: i for w, i in known.items() if i < emitted})
-    small_batches(spark)
+def prepared(rows: DataFrame, counts: DataFrame, symbols: DataFrame, emitted: int) -> DataFrame:
+    """Groups of texts, some for training and others held out: train, symbols, live, and what is known of each text."""
+    words = rows.where("word is not null").select("chunk", "place", "word", "n")
+    found = words.join(counts, "word").join(F.broadcast(symbols), "word", "left")
+    found = found.where("c <> n or symbol is not null").groupBy("chunk").agg(F.collect_list(F.struct("place", "c", "symbol")).alias("found"))
+    own = words.groupBy("chunk").agg(F.collect_list(F.when(F.col("n") > 0, F.struct("place", "n"))).alias("own"))
+    texts = rows.where("tokens is not null").select("chunk", "tokens", "sizes", "doc_id", "held_out")
+    texts = texts.join(own, "chunk").join(found, "chunk", "left")
+    lists = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "other": pa.float64()}
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [_symbols(words_of(t), words.value, emitted).astype(np.int32).tobytes() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
+    def fields(array: pa.Array) -> list[np.ndarray]:
+        flat = array.flatten()
+        return [flat.field(k).to_numpy(zero_copy_only=False) for k in range(flat.type.num_fields)] if len(flat) else []
 
-    encoded = cut(docs.select("text").mapInArrow(tidied(encode), "ids binary"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                b = batch.slice(k, 1)
+                tokens, sizes = np.frombuffer(b.column(1)[0].as_py(), np.int32), b.column(2).flatten().to_numpy()
+                c, symbol = np.zeros(int(tokens.max()) + 1, np.int64), np.full(int(tokens.max()) + 1, emitted)
+                if own := fields(b.column(5)):
+                    c[own[0]] = own[1]
+                if found := fields(b.column(6)):
+                    c[found[0]] = found[1]
+                    has = ~np.isnan(found[2].astype(float))
+                    symbol[found[0][has]] = found[2][has].astype(np.int64)
+                logs, row = np.log10(c + 1.0), np.repeat(np.arange(sizes.size), sizes)
+                add = lambda x: np.bincount(row, weights=x[tokens], minlength=sizes.size)
+                known = {"doc_id": b.column(3).flatten(), "held_out": b.column(4).flatten(), "n_tokens": pa.array(sizes), "n_known": pa.array(add(c > 0).astype(np.int64)), "base": pa.array(add(logs)), "other": pa.array(add(np.where(symbol == emitted, logs, 0)))}
+                first = np.cumsum(sizes) - sizes
+                out = known["held_out"].to_numpy(zero_copy_only=False)
+                of = symbol[tokens].astype(np.int32)
+                for train in (True, False):
+                    some = np.flatnonzero(out != train)
+                    for places, flat, live in grouped([of[first[i] : first[i] + sizes[i]] for i in some]):
+                        at = pa.array(some[places])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([train]), pa.array([flat.astype(np.int32).tobytes()], pa.binary()), pa.array([live.astype(np.int32).tobytes()], pa.binary()), *(pa.array([known[x].take(at).to_pylist()], pa.list_(t)) for x, t in lists.items())], ["train", "symbols", "live", *lists]
+                        )
+
+    small_batches(rows.sparkSession, 1)
+    return cut(texts.mapInArrow(tidied(run), "train boolean, symbols binary, live binary, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, other array<double>"))
+
+
+def _ints(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int32).astype(np.int64)
+
+
+def together(groups: DataFrame, probes: int) -> tuple[np.ndarray, float]:
+    """In how many training texts each two of the symbols 1 to probes stand, and the number of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((probes, probes)), 0
+        for b in batches:
+            for flat, live in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                flat, live = _ints(flat), _ints(live)
+                row = np.arange(flat.size) - np.repeat(np.cumsum(live) - live, live)
+                some = (flat >= 1) & (flat <= probes)
+                has = np.zeros((live[0], probes), np.float32)
+                has[row[some], flat[some] - 1] = 1
+                total += has.T @ has
+                n += int(live[0])
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(cell, -1)), pa.array(np.append(total.ravel()[cell], float(n)))], ["cell", "n"])
+
+    got = groups.where("train").select("symbols", "live").mapInArrow(tidied(run), "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, n = got["cell"].to_numpy(), got["n"].to_numpy()
+    out = np.zeros(probes * probes)
+    out[cell[cell >= 0]] = n[cell >= 0]
+    return out.reshape(probes, probes), float(n[cell < 0].sum())
+
+
+def starting(shared: np.ndarray, texts: float, overall: np.ndarray) -> Hmm:
+    """Sticky states that lean to one part of the probes each."""
+    rng, probes = np.random.default_rng(4), shared.shape[0]
+    p = np.diag(shared) / max(texts, 1)
+    spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
+    correlation = (shared / max(texts, 1) - np.outer(p, p)) / np.outer(spread, spread)
+    _, vectors = np.linalg.eigh(correlation) if probes else (0, np.zeros((0, 1)))
+    y = vectors[:, -(STATES - 1) :]
+    y = y / np.maximum(np.linalg.norm(y, axis=1), 1e-12)[:, None]
+    part = np.zeros(probes, int)
+    if probes:
+        centre = [0]
+        for _ in range(STATES - 1):  # farthest first
+            centre.append(int(np.argmin((y @ y[centre].T).max(1))))
+        c = y[centre]
+        for _ in range(10):
+            part = np.argmax(y @ c.T, 1)
+            c = np.stack([y[part == s].sum(0) if (part == s).any() else c[s] for s in range(STATES)])
+            c /= np.maximum(np.linalg.norm(c, axis=1), 1e-12)[:, None]
+    leaning = rng.uniform(0.9, 1.1, (overall.size, STATES))
+    leaning[1 : probes + 1][part[:, None] != np.arange(STATES)] /= LEANING
+    emit = overall[:, None] * leaning
+    move = np.full((STATES, STATES), (1 - STAY) / (STATES - 1))
+    np.fill_diagonal(move, STAY)
+    return Hmm(np.full(STATES, 1 / STATES), move, emit / emit.sum(0), overall)
+
+
+def improved(model: Hmm, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Hmm:
+    """The next parameters from expected counts."""
+    start, move, emit = start + MOVES, move + MOVES, emit + SMOOTH * model.overall[:, None]
+    return Hmm(start / start.sum(), move / move.sum(1)[:, None], emit / emit.sum(0), model.overall)
+
+
+def train(groups: DataFrame, overall: np.ndarray) -> Hmm:
+    """Baum-Welch over all training groups."""
+    spark, symbols = groups.sparkSession, overall.size
+    small_batches(spark, 1)
+    model = starting(*together(groups, min(PROBES, max(symbols - 2, 0))), overall)
     schema = "symbol bigint, " + ", ".join(f"s{s} double" for s in range(STATES))
     for _ in range(ROUNDS):
         parameters = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], parameters=parameters) -> Iterator[pa.RecordBatch]:
-            model = parameters.value
-            total = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((emitted + 1, STATES))]
-            held: list[np.ndarray] = []
-
-            def add() -> None:
-                for _, ids, first in padded(held):
-                    for own, more in zip(total, model.expected(ids, first)):
-                        own += more
-                held.clear()
-
-            size = 0
+            total = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((symbols, STATES))]
             for b in batches:
-                held += [np.frombuffer(x, np.int32) for x in b.column(0).to_pylist()]
-                size += b.column(0).nbytes // 4
-                if size > HELD:
-                    add()
-                    size = 0
-            add()
+                for flat, live in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    for own, more in zip(total, parameters.value.expected(_ints(flat), _ints(live))):
+                        own += more
             every = np.concatenate([total[2], total[1], total[0][None, :]])
             used = np.flatnonzero(every.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(every[used, s]) for s in range(STATES))], ["symbol", *(f"s{s}" for s in range(STATES))])
 
-        got = encoded.mapInArrow(tidied(expect), schema).groupBy("symbol").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(STATES))).toArrow()
-        every = np.zeros((emitted + 1 + STATES + 1, STATES))
+        got = groups.where("train").select("symbols", "live").mapInArrow(tidied(expect), schema).groupBy("symbol").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(STATES))).toArrow()
+        every = np.zeros((symbols + STATES + 1, STATES))
         every[got["symbol"].to_numpy()] = np.stack([got[f"s{s}"].to_numpy() for s in range(STATES)], 1)
-        start, move, emit = every[-1] + MOVES, every[emitted + 1 : -1] + MOVES, every[: emitted + 1] + SMOOTH * overall[:, None]
-        model = Hmm(start / start.sum(), move / move.sum(1)[:, None], emit / emit.sum(0))
+        model = improved(model, every[-1], every[symbols:-1], every[:symbols])
         parameters.unpersist()
-    discard(encoded)
     return model
 
 
@@ -227,57 +330,34 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for docs (doc_id, text)."""
     spark = docs.sparkSession
     m, out = HELD_OUT
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_mod("doc_id", m) == out).alias("held_out"))
-    training = docs.where(~F.col("held_out"))
-    counts = cut(count_words(training))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = _most_frequent(counts, KNOWN)
-    emitted = min(EMITTED, len(top))
-    known = {w: i for i, (w, _) in enumerate(top)}
-    c = np.array([x for _, x in top] + [0], np.int64)
-    rest = float(n + v + 1 - (c[:emitted] + 1).sum())  # of words without an emission, unseen ones included
-    overall = np.append(c[:emitted] + 1, rest) / (n + v + 1)
-    model = train(training, known, emitted, overall)
-    shared = spark.sparkContext.broadcast((known, c, model))
-    small_batches(spark)
+    rows = chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_mod("doc_id", m) == out).alias("held_out")))
+    counts = cut(rows.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
+    n, v = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    top = most_frequent(counts)
+    emitted = len(top)
+    c = np.array([x for _, x in top], np.int64)
+    rest = float(n + v + 1 - (c + 1).sum())  # of words without an emission, unseen ones included
+    overall = np.append(c + 1, rest) / (n + v + 1)
+    symbols = spark.createDataFrame(pa.table({"word": pa.array([w for w, _ in top], pa.binary()), "symbol": pa.array(range(emitted), pa.int64())}))
+    groups = prepared(rows, counts, symbols, emitted)
+    discard(rows, counts)
+    shared = spark.sparkContext.broadcast(train(groups, overall))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, c, model = shared.value
-        log_c = np.log10(c + 1.0)
         for b in batches:
-            seqs, sizes, seen, base, other, rare = [], [], [], [], [], []
-            for text in b.column(1).to_pylist():
-                words = words_of(text)
-                ids = np.fromiter(map(known.get, words, repeat(len(c) - 1)), np.int64, len(words))
-                far = ids == len(c) - 1
-                rare.append([{"word": w, "n": k} for w, k in Counter([words[i] for i in np.flatnonzero(far).tolist()]).items()])
-                own = log_c[ids]
-                sizes.append(ids.size)
-                seen.append(int((~far).sum()))
-                base.append(float(own.sum()))
-                others = ids >= emitted
-                other.append(float(own[others].sum()) - int(others.sum()) * np.log10(rest))
-                seqs.append(np.minimum(ids, emitted))
-            logs = np.zeros(len(seqs))
-            for places, ids, first in padded(seqs):
-                logs[places] = model.forward(ids, first)
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(3), b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(logs / np.log(10) + np.array(other)), pa.array(rare, kind)], ["row", "doc_id", "held_out", "n_tokens", "seen", "base", "model", "rare"])
-
-    rows = docs.select("doc_id", "text", "held_out", F.monotonically_increasing_id().alias("row"))
-    rows = cut(rows.mapInArrow(tidied(run), "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, seen bigint, base double, model double, rare array<struct<word: binary, n: bigint>>"))
-    found = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(counts, "word")
-    more = found.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs"))
-    logs, zero = F.coalesce("logs", F.lit(0.0)), F.lit(float(np.log10(n + v + 1)))
-    return rows.join(more, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("seen") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - F.col("n_tokens") * zero).alias("base_score"),
-        (F.col("model") + logs).alias("score"),
-    )
+            for k in range(b.num_rows):
+                flat, live = _ints(b.column(0)[k].as_py()), _ints(b.column(1)[k].as_py())
+                logs = shared.value.forward(flat, live) / np.log(10)
+                row = np.arange(flat.size) - np.repeat(np.cumsum(live) - live, live)
+                others = np.bincount(row, weights=flat == emitted, minlength=live[0])
+                known = [b.column(x).slice(k, 1).flatten() for x in range(2, 8)]
+                total = logs + known[5].to_numpy() - others * np.log10(rest)
+                yield pa.RecordBatch.from_arrays([*known[:5], pa.array(total)], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+    small_batches(spark, 1)
+    got = groups.drop("train").mapInArrow(tidied(run), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
+    zero = F.lit(float(np.log10(n + v + 1)))
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * zero).alias("base_score"), "score")
 
 
 def op4_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
