@@ -3,13 +3,14 @@
 Ranked merges are folded over byte arrays of distinct words by Spark's higher-order functions, with the vocabulary's
 merges as one literal rank map; decoding concatenates binary pieces.
 
-Shape: a count over the whole corpus finds the most frequent words (at most ``DICTIONARY``, a documented bound); these
-are folded once each and their ids broadcast, found by 64-bit fingerprints of the words. Every other distinct word of a text is folded inside that text's own row,
-so no text is shuffled, and nothing is dropped whatever the size of the corpus. Words of more than ``LONG`` bytes, where
-a fold takes quadratic time, are merged with a heap in the worker: the same merges, hence the same ids.
+Shape: texts are gathered into chunks of at most ``CHUNK`` bytes (or one text). The distinct words of a chunk that are no
+vocabulary entry themselves are folded once, in the row of their chunk, so no text is shuffled, nothing is sent to the driver and
+nothing that grows with the corpus is broadcast. Words of more than ``LONG`` bytes, where a fold takes quadratic time, are
+merged with a heap in the worker: the same merges, hence the same ids.
 
 Null texts count as empty: no ids, the digests of nothing. Rows are kept one for one, repeated ids too; other columns
-of the input don't matter. An empty table gives an empty result.
+of the input don't matter. A text of any length is encoded whole, in a chunk of its own if it is long. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -18,29 +19,27 @@ import base64
 import hashlib
 import heapq
 import json
-from collections import Counter
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import small_batches, table, tidied
-from weftline.session import cut, trim
 
 #: Words of more bytes than this are merged in the worker.
 LONG = 64
-#: Words whose ids are broadcast at most, about 30 bytes each; so many of the first are also kept by themselves.
-DICTIONARY, HOT = 1_500_000, 40_000
+#: Bytes of text in a chunk.
+CHUNK = 16 << 20
+#: Texts that are assembled together.
+TOGETHER = 256
 #: Buckets of the literal rank map.
 BUCKETS = 1 << 14
-#: A worker passes its word counts on when it holds so many.
-FLUSH = 150_000
-#: Stretches of text between spaces whose ids a worker remembers.
-REMEMBERED = 100_000
 #: Marks keys of the rank map.
 KEY = 1 << 50
 #: Ids and ranks are below 2^20; a pair without a rank has this one.
@@ -143,150 +142,87 @@ def _byte_ids(ranks: dict[bytes, int]) -> bytes:
     return bytes(ids)
 
 
-def stretches(text: str) -> list[str]:
-    """A text cut before single spaces, where no match of the pattern goes across; the whole text if spaces meet."""
-    if "  " in text or "\0" in text:
-        return [text]
-    return text.replace(" ", "\0 ").removeprefix("\0").split("\0")
-
-
-def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int) -> DataFrame:
-    """(word, n): the words of the corpus that are no vocabulary entry, so many at most, the most frequent."""
-    small_batches(docs.sparkSession)
-    vocabulary = docs.sparkSession.sparkContext.broadcast(ranks)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def passed():
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["stretch", "n"])
-            held.clear()
-            return out
-
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                if text:
-                    held.update(stretches(text))
-                if len(held) > FLUSH:
-                    yield passed()
-        yield passed()
-
-    def cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, find = vocabulary.value, regex.compile(pattern).findall
-        for b in batches:
-            words = [(w, n) for stretch, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in find(stretch) if (w := x.encode()) not in ranks and len(w) <= LONG]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.binary()), pa.array([n for _, n in words], pa.int64())], ["word", "n"])
-
-    # stretches are counted first, so that each is cut into words once; one that occurs once has no frequent words
-    counted = docs.select("text").mapInArrow(tidied(count), "stretch string, n bigint").groupBy("stretch").agg(F.sum("n").alias("n")).where("n > 1")
-    counted = cut(counted.mapInArrow(tidied(cut_words), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    total, least = 0, 1 << 62
-    for r in counted.groupBy(F.floor(F.log2("n") * 8).alias("size")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("size")).collect():
-        total += r["words"]
-        if total > most:
-            break
-        least = r["n"]
-    return counted.where(F.col("n") >= least)
-
-
-def folded_rows(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int) -> DataFrame:
-    """doc_id, ids (bytes of int32, -1, -2 ... for words left), folded (the ids of these words)."""
+class Words:
+    """The words of a chunk that have to be folded, numbered -1, -2 ... as they are met, and the codes of stretches of text: ids, and
+    these numbers."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.number: dict[bytes, int] = {}
+
+    def codes(self, stretch: str) -> list[int]:
+        out = []
+        # letters alone, after a space, are one word
+        for x in (stretch,) if stretch[1:].isalpha() and stretch[0] == " " else self.find(stretch):
+            w = x.encode()
+            if (rank := self.ranks.get(w)) is not None:
+                out.append(rank)
+            elif len(w) > LONG:
+                out += heap_merge(w, self.ranks)
+            else:
+                out.append(self.number.setdefault(w, -1 - len(self.number)))
+        return out
+
+    def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of all texts, how many each has). Texts are cut before single spaces, where no match of the pattern goes across,
+        and each distinct stretch is looked at once; those in which spaces meet are not cut."""
+        texts = texts.fill_null("")
+        uncut = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(texts.filter(pa.array(~uncut)), " ")
+        lengths = np.ones(len(texts), np.int64)
+        lengths[~uncut] = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        coded = pc.list_flatten(split).dictionary_encode()
+        row, first = np.repeat(np.arange(lengths.size), lengths), np.cumsum(lengths) - lengths
+        which = np.empty(row.size, np.int64)
+        which[~uncut[row]] = coded.indices.to_numpy(zero_copy_only=False)
+        # the stretch at the begin of a text has no space before it
+        which[first] = len(coded.dictionary) + np.arange(lengths.size)
+        begins = [t if whole else t.split(" ", 1)[0] for t, whole in zip(texts.to_pylist(), uncut.tolist())]
+        flat, sizes = array("i"), array("q")
+        for stretch in chain((" " + x for x in coded.dictionary.to_pylist()), begins):
+            codes = self.codes(stretch) if stretch else []
+            flat.extend(codes)
+            sizes.append(len(codes))
+        flat, sizes = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), np.frombuffer(sizes, np.int64)
+        start = np.cumsum(sizes) - sizes
+        each = sizes[which]
+        inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        return flat[np.repeat(start[which], each) + inside], np.bincount(row, weights=each, minlength=lengths.size).astype(np.int64)
+
+
+def folded_chunks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """A row a chunk: doc_id and size (number of codes) of each text, codes (int32 as bytes; -1, -2 ... for words to fold), and
+    folded (the ids of these words)."""
     spark = docs.sparkSession
     merges, to_id = rank_map(ranks), _byte_ids(ranks)
+    shared = spark.sparkContext.broadcast(ranks)
     small_batches(spark)
 
-    def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _bytes_of(b.column(0).to_pylist(), to_id)], ["word", "n", "bytes"])
-
-    words = frequent_words(docs, ranks, pattern, most).select("word", "n").mapInArrow(tidied(as_bytes), "word binary, n bigint, bytes array<bigint>")
-    table = words.select("word", "n", F.get(fold_merges(F.array("bytes"), merges), F.lit(0)).cast("array<int>").alias("ids")).toArrow().combine_chunks()
-    shared = spark.sparkContext.broadcast((Known.of(table), ranks))
-    del table
-    trim()  # the driver has done with the words
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ids, with -1, -2 ... for the first, second ... word to fold."""
-        (known, ranks), find, ready = shared.value, regex.compile(pattern).findall, {}
-        single = {w: r.to_bytes(4, "little") for w, r in ranks.items()}
-
-        def resolved(stretch: str, own: dict[bytes, int]) -> bytes:
-            parts, whole = [], True
-            # letters alone, after a space, are one word
-            for x in (stretch,) if stretch[1:].isalpha() and stretch[0] == " " else find(stretch):
-                w = x.encode()
-                if (got := single.get(w) or known.hot.get(w)) is not None:
-                    parts.append(got)
-                elif len(w) > LONG:
-                    parts.append(np.array(heap_merge(w, ranks), "<i4").tobytes())
-                else:
-                    whole = False
-                    parts.append((-1 - own.setdefault(w, len(own))).to_bytes(4, "little", signed=True))
-            out = b"".join(parts)
-            if whole and len(stretch) < 64 and len(ready) < REMEMBERED:
-                ready[stretch] = out
-            return out
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def passed() -> pa.RecordBatch:
+            words = Words(shared.value, pattern)
+            codes, sizes = words.coded(pa.concat_arrays([b.column(1) for b in held]))
+            ids = pa.concat_arrays([b.column(0) for b in held]).to_pylist()
+            left = _bytes_of(list(words.number), to_id)
+            columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([codes.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, len(left)], pa.int32()), left)], ["doc_id", "size", "codes", "bytes"])
 
         for b in batches:
-            ids, rest, sizes = [], [], [0]
-            for text in b.column(1).to_pylist():
-                own: dict[bytes, int] = {}
-                cuts = stretches(text) if text else []
-                parts = [got if got is not None else resolved(x, own) for x, got in zip(cuts, map(ready.get, cuts))]
-                ids.append(np.frombuffer(b"".join(parts), np.int32))
-                rest += own
-                sizes.append(len(rest))
-            first, size = known.find(rest)
-            left = [0]
-            for k, row in enumerate(ids):
-                lo, hi = sizes[k : k + 2]
-                new = size[lo:hi] == 0
-                left.append(left[-1] + int(new.sum()))
-                if lo < hi:
-                    gaps = row < 0
-                    word = lo - 1 - row[gaps]
-                    number = -np.cumsum(new)  # what is left is counted anew
-                    row = row.copy()
-                    row[gaps] = np.where(size[word] == 0, number[word - lo], 0)
-                    found = np.flatnonzero(gaps)[size[word] > 0]
-                    ids[k] = filled(row, found, first[word[size[word] > 0]], size[word[size[word] > 0]], known.flat)
-            unknown = [w for w, n in zip(rest, size.tolist()) if not n]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.ListArray.from_arrays(pa.array(left, pa.int32()), _bytes_of(unknown, to_id))], ["doc_id", "ids", "bytes"])
-
-    small_batches(spark, 128)
-    rows = docs.select("doc_id", "text").mapInArrow(tidied(split), "doc_id bigint, ids binary, bytes array<array<bigint>>")
-    return rows.select("doc_id", "ids", fold_merges(F.col("bytes"), merges).cast("array<array<int>>").alias("folded"))
-
-
-class Known:
-    """Ids of many words in flat arrays."""
-
-    def __init__(self, prints: np.ndarray, first: np.ndarray, size: np.ndarray, flat: np.ndarray, hot: dict[bytes, bytes]):
-        self.prints, self.first, self.size, self.flat, self.hot = prints, first, size, flat, hot
-
-    @staticmethod
-    def of(table: pa.Table) -> "Known":
-        """From word, n, ids."""
-        if not table.num_rows:
-            return Known(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), {})
-        ids = table["ids"].combine_chunks()
-        ids = ids if isinstance(ids, (pa.ListArray, pa.LargeListArray)) else ids.chunk(0)
-        flat, size = ids.flatten().to_numpy().astype(np.int32), ids.value_lengths().to_numpy().astype(np.int64)
-        first = np.cumsum(size) - size
-        prints = np.fromiter((xxhash.xxh3_64_intdigest(w.as_py()) for w in table["word"]), np.uint64, table.num_rows)
-        n = table["n"].to_numpy()
-        top = np.argsort(-n, kind="stable")[:HOT]
-        hot = {w: flat[first[i] : first[i] + size[i]].tobytes() for w, i in zip(table["word"].take(pa.array(top)).to_pylist(), top.tolist())}
-        by = np.argsort(prints)
-        return Known(prints[by], first[by], size[by], flat, hot)
-
-    def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Where each word's ids begin and how many they are; 0 for an unknown word."""
-        if not self.prints.size or not words:
-            return np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        at = np.minimum(np.searchsorted(self.prints, own), self.prints.size - 1)
-        return self.first[at], np.where(self.prints[at] == own, self.size[at], 0)
+            for lo in range(0, b.num_rows, 32):
+                held.append(b.slice(lo, 32))
+                size += pc.sum(pc.binary_length(held[-1].column(1))).as_py() or 0
+                if size > CHUNK:
+                    yield passed()
+                    held, size = [], 0
+        if held:
+            yield passed()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(gather), "doc_id array<bigint>, size array<bigint>, codes binary, bytes array<array<bigint>>")
+    small_batches(spark, 1)
+    return rows.select("doc_id", "size", "codes", fold_merges(F.col("bytes"), merges).cast("array<array<int>>").alias("folded"))
 
 
 def filled(ids: np.ndarray, at: np.ndarray, first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -302,32 +238,39 @@ def filled(ids: np.ndarray, at: np.ndarray, first: np.ndarray, size: np.ndarray,
     return out
 
 
-def assembled(batch: pa.RecordBatch) -> list[np.ndarray]:
-    """The ids of each row of what split and folding give."""
-    inner = batch.column(2).flatten()
-    size = inner.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    flat, first, k, out = inner.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum(size) - size, 0, []
-    for raw, n in zip(batch.column(1).to_pylist(), batch.column(2).value_lengths().to_pylist()):
-        ids = np.frombuffer(raw, np.int32)
-        if n:
-            at = np.flatnonzero(ids < 0)
-            word = k - 1 - ids[at]
-            ids = filled(ids, at, first[word], size[word], flat)
-            k += n
-        out.append(ids)
-    return out
+def assembled(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_ids, ids of all texts, how many each has) of rows of folded_chunks, some texts at a time."""
+    for k in range(batch.num_rows):
+        doc_id, size, raw, folded = (batch.column(c).slice(k, 1) for c in range(4))
+        words = folded.flatten()
+        many = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, first = words.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum(many) - many
+        doc_id, size, codes = doc_id.flatten(), size.flatten().to_numpy(), np.frombuffer(raw[0].as_py(), np.int32)
+        end = np.cumsum(size)
+        for lo in range(0, size.size, TOGETHER):
+            some = size[lo : lo + TOGETHER]
+            own = codes[end[lo] - size[lo] : end[lo + some.size - 1]]
+            at = np.flatnonzero(own < 0)
+            word = -1 - own[at]
+            row = np.repeat(np.arange(some.size), some)
+            each = np.ones(own.size, np.int64)
+            each[at] = many[word]
+            yield doc_id.slice(lo, TOGETHER), filled(own, at, first[word], many[word], flat), np.bincount(row, weights=each, minlength=some.size).astype(np.int64)
+
+
+def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, ids (array<int>): the ids of each text, each match of the pattern merged by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = assembled(b)
-            offsets = pa.array(np.concatenate([[0], np.cumsum([r.size for r in rows])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows)))], ["doc_id", "ids"])
+            for doc_id, ids, sizes in assembled(b):
+                yield pa.RecordBatch.from_arrays([doc_id, _lists(ids, sizes)], ["doc_id", "ids"])
 
-    return folded_rows(docs, ranks, pattern, most).mapInArrow(tidied(run), "doc_id bigint, ids array<int>")
+    return folded_chunks(docs, ranks, pattern).mapInArrow(tidied(run), "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -343,25 +286,24 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id bigint, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False, most: int = DICTIONARY) -> DataFrame:
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text, and its ids if asked for: encoded, decoded and digested."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_id, text_of = {r: w for w, r in shared.value.items()}, {r: str(r) for r in shared.value.values()}
         for b in batches:
-            rows, ids_sha, decoded_sha = assembled(b), [], []
-            for r in rows:
-                ids = r.tolist()
-                ids_sha.append(hashlib.sha256(",".join(map(text_of.__getitem__, ids)).encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(b"".join(map(by_id.__getitem__, ids))).hexdigest())
-            sizes = [r.size for r in rows]
-            columns = [b.column(0), pa.array(sizes, pa.int64())]
-            if with_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(rows))))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids_sha), pa.array(decoded_sha)], ["doc_id", "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"])
-
-    return folded_rows(docs, ranks, pattern, most).mapInArrow(tidied(run), f"doc_id bigint, n_tokens bigint, {'ids array<int>, ' * with_ids}ids_sha256 string, decoded_sha256 string")
+            for doc_id, flat, sizes in assembled(b):
+                ids_sha, decoded_sha, at = [], [], 0
+                for n in sizes.tolist():
+                    ids = flat[at : at + n].tolist()
+                    at += n
+                    ids_sha.append(hashlib.sha256(",".join(map(text_of.__getitem__, ids)).encode()).hexdigest())
+                    decoded_sha.append(hashlib.sha256(b"".join(map(by_id.__getitem__, ids))).hexdigest())
+                columns = [doc_id, pa.array(sizes, pa.int64()), *[_lists(flat, sizes)] * with_ids]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids_sha), pa.array(decoded_sha)], ["doc_id", "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"])
+
+    return folded_chunks(docs, ranks, pattern).mapInArrow(tidied(run), f"doc_id bigint, n_tokens bigint, {'ids array<int>, ' * with_ids}ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
