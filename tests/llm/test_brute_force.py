@@ -178,45 +178,100 @@ def test_op4(spark, sf_dir, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # latent states help on texts not learnt from
 
 
-def test_op4_forward_is_exact():
-    rng = np.random.default_rng(3)
+def plain_likelihood(m, s):
+    a = m.start * m.emit[s[0]]
+    for x in s[1:]:
+        a = (a @ m.move) * m.emit[x]
+    return math.log(a.sum())
+
+
+def plain_expected(m, s):
+    """Expected counts of one sequence, from forward and backward variables that aren't scaled."""
+    alpha, beta = [m.start * m.emit[s[0]]], [np.ones(m.start.size)]
+    for x in s[1:]:
+        alpha.append((alpha[-1] @ m.move) * m.emit[x])
+    for x in s[:0:-1]:
+        beta.insert(0, m.move @ (m.emit[x] * beta[0]))
+    total = alpha[-1].sum()
+    emit, move = np.zeros_like(m.emit), np.zeros_like(m.move)
+    for t, x in enumerate(s):
+        emit[x] += alpha[t] * beta[t] / total
+        if t:
+            move += np.outer(alpha[t - 1], m.emit[x] * beta[t]) * m.move / total
+    return alpha[0] * beta[0] / total, move, emit
+
+
+def some_model(rng, states=3, symbols=5):
     norm = lambda x, axis: x / x.sum(axis, keepdims=True)
-    m = hmm_score.Hmm(norm(rng.random(3), 0), norm(rng.random((3, 3)), 1), norm(rng.random((5, 3)), 0))
-    seqs = [np.array(s) for s in ([0], [1, 2, 4], [4, 4, 0, 3, 1])]
-
-    def plain(s):
-        a = m.start * m.emit[s[0]]
-        for x in s[1:]:
-            a = (a @ m.move) * m.emit[x]
-        return math.log(a.sum())
-
-    for group, ids, first in hmm_score.padded(seqs):
-        assert np.allclose(m.forward(ids, first), [plain(seqs[i]) for i in group])
-        start, move, emit = m.expected(ids, first)
-        assert np.allclose([start.sum(), move.sum(), emit.sum()], [3, 6, 9])
-        assert np.allclose(emit.sum(1), np.bincount(np.concatenate(seqs), minlength=5))
+    return hmm_score.Hmm(norm(rng.random(states), 0), norm(rng.random((states, states)), 1), norm(rng.random((symbols, states)), 0), np.full(symbols, 1 / symbols))
+
+
+def test_op4_forward_is_exact(monkeypatch):
+    monkeypatch.setattr(hmm_score, "GROUP", 30)
+    rng = np.random.default_rng(3)
+    m = some_model(rng)
+    seqs = [np.array(s) for s in ([0], [1, 2, 4], [4, 4, 0, 3, 1], [2], rng.integers(0, 5, 40).tolist(), rng.integers(0, 5, 17).tolist())]
+    seen = []
+    for places, symbols, live in hmm_score.grouped(seqs):
+        assert np.allclose(m.forward(symbols, live), [plain_likelihood(m, seqs[i]) for i in places])
+        for got, want in zip(m.expected(symbols, live), map(sum, zip(*(plain_expected(m, seqs[i]) for i in places)))):
+            assert np.allclose(got, want)
+        seen += places.tolist()
+    assert sorted(seen) == list(range(len(seqs)))
     # all texts of two tokens have probability 1 together
     two = [np.array([a, b]) for a in range(5) for b in range(5)]
-    assert math.isclose(sum(math.exp(plain(s)) for s in two), 1)
+    assert math.isclose(sum(math.exp(plain_likelihood(m, s)) for s in two), 1)
 
 
-def test_op4_rounds_use_all_rows(spark):
-    """Training is plain Baum-Welch over all rows: the same as rounds in one process."""
+def test_op4_rounds_use_all_rows(spark, monkeypatch):
+    """Training is plain Baum-Welch over all rows: the same as rounds in one process, and each makes the texts likelier."""
     rng = np.random.default_rng(5)
-    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 12, 9) % (3 + k % 9))) for k in range(60)]
-    known = {w: i for i, w in enumerate(sorted({w for _, t in rows for w in hmm_score.words_of(t)}))}
-    overall = np.full(len(known) + 1, 1 / (len(known) + 1))
-    order = [r.text for r in spark.createDataFrame(rows, "doc_id long, text string").orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()]
-    want = hmm_score._start(order, known, len(known), overall)
-    seqs = [hmm_score._symbols(hmm_score.words_of(t), known, len(known)) for _, t in rows]
+    monkeypatch.setattr(hmm_score, "GROUP", 50)
+    monkeypatch.setattr(hmm_score, "MOVES", 0.0)
+    monkeypatch.setattr(hmm_score, "SMOOTH", 1e-9)
+    seqs = [rng.integers(0, 12, 9) % (3 + k % 9) for k in range(60)]
+    parts = list(hmm_score.grouped(seqs))
+    rows = [(True, symbols.astype(np.int32).tobytes(), live.astype(np.int32).tobytes()) for _, symbols, live in parts]
+    overall = np.full(13, 1 / 13)
+    has = np.stack([np.bincount(s, minlength=13) > 0 for s in seqs])[:, 1:12].astype(float)
+    groups = spark.createDataFrame(rows, "train boolean, symbols binary, live binary").repartition(3)
+    shared, texts = hmm_score.together(groups, 11)
+    assert texts == len(seqs) and (shared == has.T @ has).all()
+    want = hmm_score.starting(shared, texts, overall)
+    risen = [sum(plain_likelihood(want, s) for s in seqs)]
     for _ in range(hmm_score.ROUNDS):
-        start, move, emit = (sum(x) for x in zip(*(want.expected(ids, first) for _, ids, first in hmm_score.padded(seqs))))
-        start, move, emit = start + hmm_score.MOVES, move + hmm_score.MOVES, emit + hmm_score.SMOOTH * overall[:, None]
-        want = hmm_score.Hmm(start / start.sum(), move / move.sum(1)[:, None], emit / emit.sum(0))
-    got = hmm_score.train(spark.createDataFrame(rows, "doc_id long, text string"), known, len(known), overall)
+        want = hmm_score.improved(want, *(sum(x) for x in zip(*(plain_expected(want, s) for s in seqs))))
+        risen.append(sum(plain_likelihood(want, s) for s in seqs))
+    assert risen == sorted(risen) and risen[-1] > risen[0]
+    got = hmm_score.train(groups, overall)
     assert np.allclose(got.start, want.start) and np.allclose(got.move, want.move) and np.allclose(got.emit, want.emit)
 
 
+def test_op4_scores_are_those_of_the_model(spark, sf_dir, texts):
+    """Scores of the query from the model's parameters, by plain recursion over words."""
+    kept = {}
+    real = hmm_score.train
+    try:
+        hmm_score.train = lambda groups, overall: kept.setdefault("model", real(groups, overall))
+        got = by_id(spark, sf_dir, "op4_hmm_score")
+    finally:
+        hmm_score.train = real
+    words = {k: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), ""] for k, t in texts.items()}
+    c = collections.Counter(w for k, ws in words.items() if zlib.crc32(str(k).encode()) % 7 != 2 for w in ws)
+    own = sorted((w for w in c if c[w] >= hmm_score.LEAST or not w), key=lambda w: (w != "", -c[w], w.encode()))
+    symbol, n, v = {w: i for i, w in enumerate(own)}, sum(c.values()), len(c)
+    rest = n + v + 1 - sum(c[w] + 1 for w in own)
+    assert kept["model"].overall.size == len(own) + 1
+    for k in list(texts)[:40]:
+        want = sum(math.log10((c[w] + 1) / rest) for w in words[k] if w not in symbol)
+        a = None
+        for w in words[k]:
+            a = (kept["model"].start if a is None else a @ kept["model"].move) * kept["model"].emit[symbol.get(w, len(own))]
+            want += math.log10(a.sum())
+            a = a / a.sum()
+        assert math.isclose(got[k].score, want, rel_tol=1e-9)
+
+
 def test_op5(spark, sf_dir, texts):
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     got = by_id(spark, sf_dir, "op5_decontaminate")
@@ -284,15 +339,19 @@ def test_op9(spark, sf_dir, texts):
     assert all(r.n_bytes == len((texts[k] or "").encode()) and r.over_limit == (r.n_tokens > 2048) for k, r in got.items())
 
 
-def test_op10(spark, sf_dir, texts):
+def test_op10(spark, sf_dir, texts, monkeypatch):
     ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     hard = {-1: "a  b   c \n d\n\n e's !!!! ....... \t x\0y", -2: "q" * 500 + " " + "ab" * 40, -3: "İ Σς 漢字🙂👍🏽 é  x <|endoftext|>"}
     got = by_id(spark, sf_dir, "op10_byte_bpe")
-    for most in (0, 50, byte_bpe.DICTIONARY):  # nothing, little or all known beforehand: the same ids
-        df = byte_bpe.decode(byte_bpe.encode(spark.createDataFrame(list(hard.items()), "doc_id long, text string"), ranks, P.PATTERN, most), ranks)
-        for r in df.collect():
-            assert r.ids == lib.encode_ordinary(hard[r.doc_id]) and bytes(r.decoded) == hard[r.doc_id].encode()
+    hard |= {-4: "", -5: None, -6: " a", -7: "a ", -8: " ", -9: "  ", -10: "\n \n a\u00a0b\u2003c \u2003d", -11: "a\t b \tc\r\n d", -12: "xyz", -13: "xyz xyz zyx"}
+    for chunk in (0, byte_bpe.CHUNK):  # small chunks or all texts in one: the same ids
+        monkeypatch.setattr(byte_bpe, "CHUNK", chunk)
+        df = byte_bpe.decode(byte_bpe.encode(spark.createDataFrame(list(hard.items()), "doc_id long, text string"), ranks, P.PATTERN), ranks)
+        rows = df.collect()
+        assert len(rows) == len(hard)
+        for r in rows:
+            assert r.ids == lib.encode_ordinary(hard[r.doc_id] or "") and bytes(r.decoded) == (hard[r.doc_id] or "").encode()
     for k, r in got.items():
         ids = lib.encode_ordinary(texts[k] or "")
         assert tuple(r)[1:] == (len(ids), hexed(",".join(map(str, ids)).encode()), hexed((texts[k] or "").encode()))
