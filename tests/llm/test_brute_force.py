@@ -103,6 +103,27 @@ def test_op1_chains_and_groups(spark):
     assert got == linked(texts)
 
 
+def test_op1_ids_with_several_texts(spark):
+    """A document with two texts links with what either links with; the other orders and screens lose no link."""
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    rows = [(5, a), (5, b), (9, b), (12, b + " more"), (13, a + " more"), (20, "else"), (None, a), (None, b)]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 56): 5, (9, 56): 5, (12, 57): 5, (13, 57): 5, (20, 1): 20, (None, 56): None}
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(5, b), (20, "else"), (0, a), (0, b)])
+
+
+def test_op1_long_words_that_sums_confuse(spark):
+    """The Thue-Morse string and its complement have equal sums modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    x, y = ("".join("ab"[k ^ f] for k in bits) for f in (0, 1))
+    got = {r.doc_id: r.component_id for r in ngram_join.link(spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    df = spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in repeats.report(df).collect()} == {k: v[1] for k, v in repeated({1: x, 2: y}).items()}
+
+
 def test_op2(spark, sf_dir, texts):
     got, want = by_id(spark, sf_dir, "op2_repeats"), repeated(texts)
     assert {k: tuple(r)[1:5] for k, r in got.items()} == {k: v[:4] for k, v in want.items()}

@@ -1,9 +1,16 @@
-"""Polynomial fingerprints of byte ranges and sliding extremes, vectorised over a whole text."""
+"""Polynomial fingerprints of byte ranges and sliding extremes, vectorised over a whole text.
+
+Fingerprints are sums modulo 2^64, under which some long strings are known to collide (those of Thue and Morse, from 1,024 bytes). So
+ranges of more than ``STURDY`` bytes are told apart by another hash wherever equality counts; for anchors, which only say
+what is compared, fingerprints of any range will do.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Bytes up to which equal fingerprints may stand for equal ranges.
+STURDY = 64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: An odd 64-bit code for each byte.

@@ -6,10 +6,10 @@ floor((1 - t) n) + 1 of each, under any order of all tokens; so candidates have
 * Order 1 finds candidates. It puts tokens that many texts share last (rarest first among them), so that boilerplate
   hardly enters a prefix. Which tokens those are, at most ``DEMOTED``, comes from counts over the whole corpus; the order
   is a matter of speed only, any order gives the same links.
-* Orders 2 and 3 are hash orders; a candidate whose prefixes don't meet under both is dropped before verification.
-* Before that, and before any text is moved, a candidate is screened by the sizes of its sets and by bitmaps of their
-  tokens, which bound the intersection from above.
-* What is left is verified by the exact size of the intersection.
+* A candidate is screened by the sizes of its sets and by bitmaps of their tokens, which bound the intersection from above.
+* Orders 2 and 3 are hash orders. What two sets have among their first tokens under each (32 bits of them) is intersected
+  before anything of the texts is moved; a candidate stays only if the prefixes meet under both.
+* What is left is verified by the exact size of the intersection, of token sets that were made once for each of them.
 
 Equal sets are one class from the start, so copies are never paired. Pairs are not listed within a prefix list: first
 each member is compared with a few leaders of its list, and components are formed; only members of different components
@@ -17,7 +17,9 @@ that a length and position bound allows are then compared too. That finds the sa
 Lists are joined, not collected, so a hot one is split by the adaptive join.
 
 Null, empty and wordless texts have an empty set and link with nothing. Rows are kept one for one; rows that share a
-doc_id count as one document for links. A null doc_id is never a partner, its component is null.
+doc_id count as one document for links, whatever their texts are. A null doc_id is never a partner, its component is null. Sets
+are equal where 128-bit hashes are. A text of any length is read whole. Columns other than doc_id and text don't matter; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import small_batches, table, tidied
-from weftline.llm.hashing import fingerprints, mix, prefix_sums
+from weftline.llm.hashing import STURDY, fingerprints, mix, prefix_sums
 from weftline.operators.components import connected_components
 from weftline.session import cut, discard
 
@@ -61,7 +64,10 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     lo, hi = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
     if not lo.size:
         return np.zeros(0, np.uint64)
-    each = fingerprints(prefix_sums(_LOWER[raw]), lo, hi)
+    lowered = _LOWER[raw]
+    each = fingerprints(prefix_sums(lowered), lo, hi)
+    for i in np.flatnonzero(hi - lo > STURDY).tolist():  # sums over long ranges have known collisions
+        each[i] = xxhash.xxh3_64_intdigest(lowered[lo[i] : hi[i]].tobytes())
     k = min(words, each.size)
     n = each.size - k + 1
     total = np.full(n, np.uint64(k))
@@ -76,19 +82,22 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether 100 * intersection >= percent * union, once the prefixes meet under the other orders."""
+    """Whether 100 * intersection >= percent * union."""
     n, m = x.size, y.size
     if not n or not m or 100 * min(n, m) < percent * max(n, m):
         return False
-    for order in ORDERS:
-        a, b = prefix_size(n, percent), prefix_size(m, percent)
-        p, q = np.partition(x * order, a - 1)[:a], np.partition(y * order, b - 1)[:b]
-        if not np.isin(p, q).any():
-            return False
     both = np.intersect1d(x, y, assume_unique=True).size
     return 100 * both >= percent * (n + m - both)
 
 
+def first_tokens(tokens: np.ndarray, order: np.uint64, percent: int = PERCENT) -> np.ndarray:
+    """32 bits of each of the first tokens under a hash order."""
+    size = prefix_size(tokens.size, percent)
+    if not size:
+        return np.zeros(0, np.int32)
+    return (np.partition(tokens * order, size - 1)[:size] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def bitmap(tokens: np.ndarray) -> bytes:
     """A bit for each leading-bits value of the tokens: twice as many bits as tokens at least, 2^16 at most."""
     size = min(16, max(6, int(2 * tokens.size).bit_length()))
@@ -175,46 +184,50 @@ def _prefix(tokens: np.ndarray, last: np.ndarray, place: np.ndarray, percent: in
     return np.concatenate([rare, tokens[common][np.argsort(place[at[common]])][: size - rare.size]])
 
 
-def _sieved(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of docs whose id may be among wanted (doc_id): a bitmap of 2^SIEVE bits, whatever the number of ids, lets
-    few others through, so that the exact join moves few texts."""
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(id, tokens) of the classes wanted (id, doc_id, fp): a bitmap of 2^SIEVE bits, whatever the number of ids, lets few other
+    rows of docs through, so that few texts are cut into n-grams and the exact join moves few sets."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << SIEVE))
-    words = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).toArrow()
+    bits_of = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).toArrow()
     bits = np.zeros(1 << (SIEVE - 6), np.int64)
-    bits[words["word"].to_numpy().astype(np.int64)] = words["bits"].to_numpy()
+    bits[bits_of["word"].to_numpy().astype(np.int64)] = bits_of["bits"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for b in batches:
-            p = b.column(2).fill_null(0).to_numpy()
+            p = b.column(2).to_numpy()
             out = b.filter(pa.array((bits[p >> 6] >> (p & 63)) & 1 == 1))
             if out.num_rows:
-                yield pa.RecordBatch.from_arrays(out.columns[:2], ["doc_id", "text"])
+                sets = [shingles(t, words) for t in out.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([out.column(0), pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "fp", "tokens"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text", place.alias("p")).mapInArrow(tidied(run), "doc_id bigint, text string")
+    found = docs.where("doc_id is not null").select("doc_id", "text", place.alias("p")).mapInArrow(tidied(run), "doc_id bigint, fp binary, tokens binary")
+    return found.join(wanted, ["doc_id", "fp"]).select("id", "tokens").dropDuplicates(["id"])
+
 
+def _meeting(pairs: DataFrame, orders: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose prefixes meet under each of the other orders; orders has id, first2, first3."""
+    of = lambda c: orders.select(F.col("id").alias(c), F.col("first2").alias(f"{c}2"), F.col("first3").alias(f"{c}3"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
 
-def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose texts are similar. The texts of each pair meet by two joins."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = cut(wanted)
-    texts = cut(_sieved(docs, wanted).join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), [wanted])
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+
+def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose sets are similar. The sets of each pair meet by two joins."""
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = cut(wanted.join(classes.select("id", "doc_id", "fp"), "id"))
+    sets = cut(_sets(docs, wanted, words), [wanted])
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("tokens").alias(f"tokens_{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "tokens_a", "tokens_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tokens = None, None
         for b in batches:
-            ids, keep = b.column(0).to_pylist(), []
-            for a, x, y in zip(ids, b.column(2), b.column(3)):
-                if a != last:
-                    last, tokens = a, shingles(x.as_py(), words)
-                keep.append(similar(tokens, shingles(y.as_py(), words), percent))
+            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(both.mapInArrow(tidied(run), "a bigint, b bigint"), [texts])
+    return cut(both.mapInArrow(tidied(run), "a bigint, b bigint"), [sets])
 
 
 def _apart(pairs: DataFrame, part: DataFrame | None, tried: list[DataFrame]) -> DataFrame:
@@ -237,21 +250,34 @@ def _screened(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
             keep = [(100 + percent) * most_common(*v) >= percent * (v[0] + v[2]) for v in zip(n, x, m, y)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    of = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+    of = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return both.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(tidied(run), "a bigint, b bigint")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, part: DataFrame | None, words: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
+def _linked(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, part: DataFrame | None, classes: DataFrame, words: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
     """The links so far with those of pairs, and their components."""
-    pairs = cut(pairs)
+    screened = _screened(pairs, classes.select("id", "n", "bits"), percent)
+    pairs = cut(_meeting(screened, classes.select("id", "first2", "first3")))
     if pairs.isEmpty():
         return links, part
-    found = _verify(docs, pairs, words, percent)
+    found = _verify(docs, pairs, classes, words, percent)
     links = found if links is None else links.unionByName(found)
     return links, connected_components(links)
 
 
+def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, id) of each class, with its least document; the id is that document, or a hash where several classes have the
+    same one. And links (a, b) between classes that a doc_id with several texts has."""
+    own = rows.where("n > 0 and doc_id is not null")
+    least = own.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    first = least.groupBy("doc_id").agg(F.min("fp").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    classes = cut(least.join(first, "doc_id", "left").select("doc_id", "fp", F.when(F.col("first").isNull() | (F.col("first") == F.col("fp")), F.col("doc_id")).otherwise(F.xxhash64("fp")).alias("id")))
+    several = own.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
+    of = own.join(several, "doc_id", "left_semi").select("doc_id", "fp").distinct().join(classes.select("fp", "id"), "fp")
+    return classes, cut(of.join(of.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).where("a <> b"))
+
+
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for docs (doc_id, text), a row for each of its rows."""
     spark = docs.sparkSession
@@ -261,18 +287,19 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, place = shared.value
+        listed = lambda parts: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([f.size for f in parts])]).astype(np.int32)), pa.array(np.concatenate(parts)))
         for b in batches:
             sets = [shingles(t, words) for t in b.column(1).to_pylist()]
-            first = [_prefix(s, last, place, percent).view(np.int64) for s in sets]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([f.size for f in first])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(first)))], ["doc_id", "n", "fp", "bits", "prefix"])
+            first = listed([_prefix(s, last, place, percent).view(np.int64) for s in sets])
+            others = [listed([first_tokens(s, order, percent) for s in sets]) for order in ORDERS]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary()), first, *others], ["doc_id", "n", "fp", "bits", "prefix", "first2", "first3"])
 
     # one row a class of equal sets, by its least document
-    least = rows.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    numbered, linked = _numbered(rows)
     small_batches(spark)
-    found = docs.mapInArrow(tidied(prefixes), "doc_id bigint, n bigint, fp binary, bits binary, prefix array<bigint>")
-    classes = cut(found.join(least, ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"]))
-    tokens = classes.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("at", "token"))
+    found = docs.mapInArrow(tidied(prefixes), "doc_id bigint, n bigint, fp binary, bits binary, prefix array<bigint>, first2 array<int>, first3 array<int>")
+    classes = cut(found.join(numbered, ["doc_id", "fp"]).dropDuplicates(["id"]))
+    tokens = classes.select("id", "n", F.posexplode("prefix").alias("at", "token"))
     # lists of two at least, with three leaders each: the least, the greatest and one by scattered bits
     scattered = 0x5A5A5A5A5A5A5A5
     lists = cut(
@@ -282,15 +309,16 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         .withColumn("l3", F.col("l3").bitwiseXOR(scattered))
     )
     members = cut(tokens.join(lists.select("token", "l1", "l2", "l3"), "token"), [lists])
-    sizes = classes.select("doc_id", "n", "bits")
     links = part = None
+    if not linked.isEmpty():
+        links, part = linked, connected_components(linked)
     tried: list[DataFrame] = []
     for leader in ("l1", "l2", "l3"):
         pairs = members.select("id", F.col(leader).alias("leader")).where("id <> leader")
         pairs = pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         pairs = cut(_apart(pairs, part, tried))
         tried.append(pairs)
-        links, part = _linked(docs, _screened(pairs, sizes, percent), links, part, words, percent)
+        links, part = _linked(docs, pairs, links, part, classes, words, percent)
     # members of different components whose sizes and places in the list allow the similarity
     own = members.select("token", "id", "n", "at")
     known = cut((own.join(part.withColumnRenamed("node", "id"), "id", "left") if part is not None else own.withColumn("component", F.col("id"))).withColumn("component", F.coalesce("component", "id")), [members])
@@ -304,20 +332,25 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     fits = fits & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y")))
     more = x.join(y, "token").where(fits).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
     more = cut(_apart(more, None, tried), [rest, *tried])
-    links, part = _linked(docs, _screened(more, sizes, percent), links, part, words, percent)
+    links, part = _linked(docs, more, links, part, classes, words, percent)
     discard(more)
-    if part is None:
-        part = classes.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).where(F.lit(False))
-    of = classes.select("fp", "doc_id").join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("fp", F.coalesce("component", "doc_id").alias("component"))
-    return rows.join(cut(of), "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = classes.select("fp", "id", "doc_id")
+    if part is not None:  # the least document of each component
+        own = own.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        least = part.select(F.col("node").alias("id"), "component").join(classes.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("least"))
+        own = own.join(least, "component", "left").withColumn("doc_id", F.coalesce("least", "doc_id"))
+    of = cut(own.select("fp", F.col("doc_id").alias("component")))
+    return rows.join(of, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stand for their component, one for each; rows without a doc_id stay as they are."""
+    """The rows of docs that stand for their component, one for each (of several rows of one doc_id, one with the least text); rows
+    without a doc_id stay as they are."""
     linked = link(docs, words, percent)
     kept = cut(linked.where("doc_id = component_id").select("doc_id").distinct())
-    with_id = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where("doc_id is null"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    with_id = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("__weft_id")).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("__weft_row"))
+    return with_id.select(*(F.col("__weft_row").getField(c).alias(c) for c in docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
