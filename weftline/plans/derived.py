@@ -20,8 +20,7 @@ from weftline.plans.sql import both, duck, view
 # plain SQL for both engines
 both("k01_multi_key_sort", "SELECT c_mktsegment, c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) AS place FROM customer")
 both("k10_first_targets", "SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM pairs) x WHERE r <= 20", ("pairs",))
-both("j19_neighbour_expansion", "SELECT a.src AS seed, b.dst AS node, count(*) AS ways, CAST(sum(a.w * b.w) AS BIGINT) AS weight FROM pairs a JOIN pairs b ON a.dst = b.src WHERE a.src % 10 = 0 GROUP BY a.src, b.dst", ("pairs",))
-both("j19_neighbour_expansion_whole", "SELECT a.src AS seed, b.dst AS node, count(*) AS ways, CAST(sum(a.w * b.w) AS BIGINT) AS weight FROM pairs a JOIN pairs b ON a.dst = b.src GROUP BY a.src, b.dst", ("pairs",))
+both("j19_neighbour_expansion", "SELECT a.src AS seed, b.dst AS node, count(*) AS ways, CAST(sum(a.w * b.w) AS BIGINT) AS weight FROM pairs a JOIN pairs b ON a.dst = b.src GROUP BY a.src, b.dst", ("pairs",))
 both("a14_pivot", "SELECT u, max(CASE WHEN kind = 'view' THEN n END) AS n_view, max(CASE WHEN kind = 'click' THEN n END) AS n_click, max(CASE WHEN kind = 'error' THEN n END) AS n_error FROM (SELECT u, kind, count(*) AS n FROM post GROUP BY u, kind) x GROUP BY u", ("post",))
 both("a24_quantile_summary", "SELECT kind, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round($pct(value; 0.5)$, 6) AS median, round($pct(value; 0.75)$ - $pct(value; 0.25)$, 6) AS iqr FROM post GROUP BY kind", ("post",))
 both("w13_running_max", "SELECT kind, week, max(n) OVER (PARTITION BY kind ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM (SELECT kind, week, count(*) AS n FROM post GROUP BY kind, week) x", ("post",))
@@ -164,14 +163,8 @@ def t13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labels(spark, sf_dir).select("u", "m", F.nullif(F.array_join(before, ","), F.lit("")).alias("before"))
 
 
-@query("t16_unique_seeds", duck("SELECT seed, max(n) AS n FROM (SELECT src AS seed, count(*) AS n FROM pairs WHERE src % 10 = 0 GROUP BY src UNION ALL SELECT src, count(*) FROM pairs WHERE src % 15 = 0 GROUP BY src) x GROUP BY seed", ("pairs",)))
+@query("t16_unique_seeds", duck("SELECT seed, max(n) AS n FROM (SELECT src AS seed, count(*) AS n FROM pairs GROUP BY src UNION ALL SELECT src, count(*) FROM pairs GROUP BY src) x GROUP BY seed", ("pairs",)))
 def t16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = view(spark, sf_dir, "pairs").groupBy(F.col("src").alias("seed")).agg(F.count("*").alias("n"))
-    return d.where("seed % 10 = 0").unionByName(d.where("seed % 15 = 0")).dropDuplicates(["seed"])
-
-
-@query("t16_unique_seeds_whole", duck("SELECT seed, max(n) AS n FROM (SELECT src AS seed, count(*) AS n FROM pairs GROUP BY src UNION ALL SELECT src, count(*) FROM pairs GROUP BY src) x GROUP BY seed", ("pairs",)))
-def t16_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = view(spark, sf_dir, "pairs").groupBy(F.col("src").alias("seed")).agg(F.count("*").alias("n"))
     return d.unionByName(d).dropDuplicates(["seed"])
 
@@ -332,7 +325,10 @@ def ml22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.join(done.unionByName(todo), "job", "left_anti").agg(F.count("*").alias("unfinished"))
 
 
-@query("t15_reach_ratio")
+_RATIO = "e AS (SELECT DISTINCT src, dst, $epoch(ts)$ AS tm FROM ix), r(seed, node, tm) USING KEY (seed, node) AS (SELECT src, dst, min(tm) FROM e GROUP BY src, dst UNION SELECT r.seed, e.dst, min(e.tm) FROM r JOIN e ON e.src = r.node AND e.tm >= r.tm LEFT JOIN recurring.r c ON c.seed = r.seed AND c.node = e.dst WHERE c.tm IS NULL OR e.tm < c.tm GROUP BY r.seed, e.dst), g AS (SELECT DISTINCT src, dst FROM e), s(seed, node) AS (SELECT src, dst FROM g UNION SELECT s.seed, g.dst FROM s JOIN g ON g.src = s.node), a AS (SELECT seed, count(*) AS n FROM r WHERE node <> seed GROUP BY seed), b AS (SELECT seed, count(*) AS n FROM s WHERE node <> seed GROUP BY seed) SELECT x.src AS seed, coalesce(a.n, 0) / CAST(b.n AS DOUBLE) AS ratio FROM (SELECT DISTINCT src FROM e) x LEFT JOIN a ON a.seed = x.src LEFT JOIN b ON b.seed = x.src"
+
+
+@query("t15_reach_ratio", duck(f"WITH {_RATIO}", ("ix",)).replace("WITH ix", "WITH RECURSIVE ix", 1))
 def t15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes reached in time as a share of those reached at all, by seed; null for a seed that reaches none."""
     ix = view(spark, sf_dir, "ix").select("src", "dst", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))

@@ -10,17 +10,11 @@ from weftline.operators.components import connected_components
 from weftline.plans.registry import query
 from weftline.plans.sql import both, duck, view
 
-#: A sparse graph of orders' customers, with several components.
-SPARSE = "(SELECT DISTINCT o_custkey AS src, CAST(o_orderkey % 500 AS BIGINT) AS dst FROM orders WHERE o_orderkey % 16 = 0)"
-
-
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 16 = 0")
-    return orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 500).alias("dst")).distinct()
+#: The graph of orders: from customers to the last digits of orders' keys.
+ORDERS = "(SELECT DISTINCT o_custkey AS src, CAST(o_orderkey % 500 AS BIGINT) AS dst FROM orders)"
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same graph over all orders."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 500).alias("dst")).distinct()
 
@@ -60,12 +54,12 @@ def g06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumns({c: F.round(c, 9) for c in got.columns if c.startswith(("density", "recip"))})
 
 
-_WCC = f"""WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM {SPARSE} x UNION SELECT dst, src FROM {SPARSE} y), r(node, low) AS (SELECT a, a FROM e UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node WHERE r.low < e.b) SELECT node, min(low) AS component FROM r GROUP BY node"""
+_WCC = f"""WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM {ORDERS} x UNION SELECT dst, src FROM {ORDERS} y), r(node, low) AS (SELECT a, a FROM e UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node WHERE r.low < e.b) SELECT node, min(low) AS component FROM r GROUP BY node"""
 
 
 @query("g08_weak_components", duck(_WCC))
 def g08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weak(_sparse(spark, sf_dir))
+    return _weak(_orders(spark, sf_dir))
 
 
 def _weak(edges: DataFrame) -> DataFrame:
@@ -89,13 +83,13 @@ def g11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g08(spark, sf_dir).agg((F.countDistinct("component") == 1).alias("weakly_connected"), F.countDistinct("component").alias("components"))
 
 
-_REACH = f"e AS (SELECT DISTINCT src, dst FROM {SPARSE} x), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)"
+_REACH = f"e AS (SELECT DISTINCT src, dst FROM {ORDERS} x), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)"
 _SCC = f"WITH RECURSIVE {_REACH} SELECT n.node, least(n.node, coalesce((SELECT min(x.b) FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a = n.node), n.node)) AS component FROM {_ends('e')} n"
 
 
 @query("g10_strong_components", duck(_SCC))
 def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.strong_components(_sparse(spark, sf_dir))
+    return paths.strong_components(_orders(spark, sf_dir))
 
 
 _BOW = f"""WITH RECURSIVE {_REACH}, s AS (SELECT n.node, least(n.node, coalesce((SELECT min(x.b) FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a = n.node), n.node)) AS component FROM {_ends('e')} n),
@@ -105,50 +99,11 @@ _BOW = f"""WITH RECURSIVE {_REACH}, s AS (SELECT n.node, least(n.node, coalesce(
 
 @query("g17_bow_tie", duck(_BOW))
 def g17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.bow_tie(_sparse(spark, sf_dir))
-
-
-@query("g18_descendants", duck(f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {SPARSE} x), r(seed, node) AS (SELECT src, dst FROM e WHERE src % 7 = 0 UNION SELECT r.seed, e.dst FROM r JOIN e ON e.src = r.node) SELECT seed, count(*) AS descendants FROM r WHERE node <> seed GROUP BY seed"))
-def g18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _sparse(spark, sf_dir)
-    seeds = edges.where("src % 7 = 0").select(F.col("src").alias("seed")).distinct()
-    return paths.reachable(edges, seeds).groupBy("seed").agg(F.count("*").alias("descendants"))
-
-
-# The queries above over all orders, from all seeds. The SQL of those is recursive and too slow for that.
-@query("g08_weak_components_whole")
-def g08_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weak(_orders(spark, sf_dir))
-
-
-@query("g09_largest_component_whole")
-def g09_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g08_whole(spark, sf_dir).groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
-
-
-@query("g36_component_sizes_whole")
-def g36_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = g08_whole(spark, sf_dir).groupBy("component").agg(F.count("*").alias("size"))
-    return sizes.groupBy("size").agg(F.count("*").alias("components"))
-
-
-@query("g11_connectivity_whole")
-def g11_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g08_whole(spark, sf_dir).agg((F.countDistinct("component") == 1).alias("weakly_connected"), F.countDistinct("component").alias("components"))
-
-
-@query("g10_strong_components_whole")
-def g10_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.strong_components(_orders(spark, sf_dir))
-
-
-@query("g17_bow_tie_whole")
-def g17_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.bow_tie(_orders(spark, sf_dir))
 
 
-@query("g18_descendants_whole")
-def g18_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("g18_descendants", duck(f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {ORDERS} x), r(seed, node) AS (SELECT src, dst FROM e UNION SELECT r.seed, e.dst FROM r JOIN e ON e.src = r.node) SELECT seed, count(*) AS descendants FROM r WHERE node <> seed GROUP BY seed"))
+def g18(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _orders(spark, sf_dir)
     return paths.reachable(edges, edges.select(F.col("src").alias("seed")).distinct()).groupBy("seed").agg(F.count("*").alias("descendants"))
 
@@ -257,18 +212,11 @@ def v08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "component", "full").where(F.coalesce(F.abs(F.col("radius") - F.col("other")) > 1e-6, F.lit(True))).agg(F.count("*").alias("violations"))
 
 
-_ARRIVAL = "WITH e AS (SELECT src, dst, $epoch(ts)$ AS tm FROM ix), r(seed, node, tm) AS (SELECT src, dst, tm FROM e WHERE src % 50 = 0 AND tm >= 1704672000 UNION SELECT r.seed, e.dst, e.tm FROM r JOIN e ON e.src = r.node WHERE e.tm >= r.tm) SELECT seed, node, min(tm) AS reached FROM r WHERE node <> seed GROUP BY seed, node"
+_ARRIVAL = "e AS (SELECT DISTINCT src, dst, $epoch(ts)$ AS tm FROM ix), r(seed, node, tm) USING KEY (seed, node) AS (SELECT src, dst, min(tm) FROM e WHERE tm >= 1704672000 GROUP BY src, dst UNION SELECT r.seed, e.dst, min(e.tm) FROM r JOIN e ON e.src = r.node AND e.tm >= r.tm LEFT JOIN recurring.r c ON c.seed = r.seed AND c.node = e.dst WHERE c.tm IS NULL OR e.tm < c.tm GROUP BY r.seed, e.dst)"
 
 
-@query("t14_earliest_arrival", duck(_ARRIVAL, ("ix",)).replace("WITH ix", "WITH RECURSIVE ix", 1))
+@query("t14_earliest_arrival", duck(f"WITH {_ARRIVAL} SELECT seed, node, tm AS reached FROM r WHERE node <> seed", ("ix",)).replace("WITH ix", "WITH RECURSIVE ix", 1))
 def t14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = view(spark, sf_dir, "ix").select("src", "dst", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
-    seeds = events.where("src % 50 = 0").select(F.col("src").alias("seed")).distinct().withColumn("start", F.lit(1704672000).cast("long"))
-    return paths.earliest_arrival(events, seeds).withColumnRenamed("at", "reached")
-
-
-@query("t14_earliest_arrival_whole")
-def t14_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From all sources."""
     events = view(spark, sf_dir, "ix").select("src", "dst", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
     seeds = events.select(F.col("src").alias("seed")).distinct().withColumn("start", F.lit(1704672000).cast("long"))
@@ -279,7 +227,7 @@ def t14_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds that reach more nodes in time than by any path: none."""
     ix = view(spark, sf_dir, "ix")
-    temporal = t14_whole(spark, sf_dir).groupBy("seed").agg(F.count("*").alias("t"))
+    temporal = t14(spark, sf_dir).groupBy("seed").agg(F.count("*").alias("t"))
     static = paths.reachable(ix, ix.select(F.col("src").alias("seed")).distinct()).groupBy("seed").agg(F.count("*").alias("s"))
     return temporal.join(static, "seed", "left").where("t > coalesce(s, 0)").agg(F.count("*").alias("violations"))
 

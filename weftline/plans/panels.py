@@ -188,14 +188,8 @@ def st13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("kind", "n", "k", F.round(lo, 9).alias("lo"), F.round(hi, 9).alias("hi"))
 
 
-@query("st08_holm", duck("WITH p AS (SELECT kind, u, (u * 37 % 101 + 1) / 2000.0E0 AS p FROM (SELECT DISTINCT kind, u FROM post WHERE u % 10 = 0) x), s AS (SELECT kind, u, p, p * (count(*) OVER (PARTITION BY kind) - row_number() OVER (PARTITION BY kind ORDER BY p, u) + 1) AS a FROM p) SELECT kind, u, p, round(least(1, max(a) OVER (PARTITION BY kind ORDER BY p, u ROWS UNBOUNDED PRECEDING)), 9) AS holm_p FROM s", ("post",)))
+@query("st08_holm", duck("WITH p AS (SELECT kind, u, (u * 37 % 101 + 1) / 2000.0E0 AS p FROM (SELECT DISTINCT kind, u FROM post) x), s AS (SELECT kind, u, p, p * (count(*) OVER (PARTITION BY kind) - row_number() OVER (PARTITION BY kind ORDER BY p, u) + 1) AS a FROM p) SELECT kind, u, p, round(least(1, max(a) OVER (PARTITION BY kind ORDER BY p, u ROWS UNBOUNDED PRECEDING)), 9) AS holm_p FROM s", ("post",)))
 def st08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "post").where("u % 10 = 0").select("kind", "u").distinct().withColumn("p", (F.col("u") * 37 % 101 + 1) / 2000.0)
-    return stats.holm(rows, "p", "kind").withColumn("holm_p", F.round("holm_p", 9))
-
-
-@query("st08_holm_whole", duck("WITH p AS (SELECT kind, u, (u * 37 % 101 + 1) / 2000.0E0 AS p FROM (SELECT DISTINCT kind, u FROM post) x), s AS (SELECT kind, u, p, p * (count(*) OVER (PARTITION BY kind) - row_number() OVER (PARTITION BY kind ORDER BY p, u) + 1) AS a FROM p) SELECT kind, u, p, round(least(1, max(a) OVER (PARTITION BY kind ORDER BY p, u ROWS UNBOUNDED PRECEDING)), 9) AS holm_p FROM s", ("post",)))
-def st08_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "post").select("kind", "u").distinct().withColumn("p", (F.col("u") * 37 % 101 + 1) / 2000.0)
     return stats.holm(rows, "p", "kind").withColumn("holm_p", F.round("holm_p", 9))
 
