@@ -130,3 +130,67 @@ def mean_messages(edges: DataFrame, features: DataFrame, columns: list[str]) ->
     x = features.select(F.col("node").alias("src"), *columns)
     got = edges.select("src", "dst", F.col("w").alias("_w")).join(x, "src").groupBy(F.col("dst").alias("node")).agg(*((F.sum(F.col("_w") * F.col(c)) / F.sum("_w")).alias(c) for c in columns))
     return features.select("node").join(got.withColumn("mass", F.lit(1.0)), "node", "left").na.fill(0.0)
+
+
+def edge_contributions(edges: DataFrame, vector: DataFrame) -> DataFrame:
+    """(src, dst, w, contribution): each edge's weight times its target's part in a vector (node, mass)."""
+    return edges.join(vector.select(F.col("node").alias("dst"), "mass"), "dst").select("src", "dst", "w", (F.col("w") * F.col("mass")).alias("contribution"))
+
+
+def scaled_messages(messages: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
+    """Messages (node, columns, mass) of features that are scaled: (message - mass * mean) / scale, nodes without mass zeroed.
+
+    fitted is one row of mean_<c> and scale_<c>; a scale of 0 counts as 1.
+    """
+    both = messages.crossJoin(F.broadcast(fitted))  # one row
+    value = lambda c: (F.col(c) - F.col("mass") * F.col(f"mean_{c}")) / F.when(F.col(f"scale_{c}") > 0, F.col(f"scale_{c}")).otherwise(1.0)
+    return both.select("node", *(F.when(F.col("mass") > 0, value(c)).otherwise(0.0).alias(c) for c in columns), "mass")
+
+
+def gini(values: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, gini) of non-negative values, from counts by value: ranks run over distinct values."""
+    from pyspark.sql import Window
+
+    counts = values.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_k"))
+    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("_last", F.sum("_k").over(upto)).withColumn("_places", F.col("_k") * F.col("_last") - F.col("_k") * (F.col("_k") - 1) / 2)
+    sums = placed.groupBy(*keys).agg(F.sum(F.col("_v") * F.col("_places")).alias("_a"), F.sum(F.col("_v") * F.col("_k")).alias("_t"), F.sum("_k").alias("_n"))
+    return sums.select(*keys, F.try_divide(2 * F.col("_a") - (F.col("_n") + 1) * F.col("_t"), F.col("_n") * F.col("_t")).alias("gini"))
+
+
+def top_share(values: DataFrame, value: str, share: float, *keys: str) -> DataFrame:
+    """(keys, top_share): what the largest ceil(share * n) values, one at least, have of the sum."""
+    from pyspark.sql import Window
+
+    counts = values.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_k"))
+    upto = Window.partitionBy(*keys).orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*keys)
+    placed = counts.withColumn("_last", F.sum("_k").over(upto)).withColumn("_top", F.greatest(F.lit(1).cast("long"), F.ceil(share * F.sum("_k").over(whole))))
+    used = F.greatest(F.lit(0).cast("long"), F.least("_k", F.col("_top") - (F.col("_last") - F.col("_k"))))
+    return placed.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_v") * used), F.sum(F.col("_v") * F.col("_k"))).alias("top_share"))
+
+
+def layer_statistics(edges: DataFrame, *keys: str) -> DataFrame:
+    """A row of statistics for each key: sizes, density, reciprocity, weak and strong components and bow tie of each key's graph in
+    one run (a node of a key is a node of its own), degrees, strengths and their concentration."""
+    from weftline.operators.components import connected_components
+    from weftline.operators.paths import bow_tie_by, strong_components
+    from weftline.session import cut
+
+    name = F.concat_ws("\x1f", *(F.col(k).cast("string") for k in keys), F.col("node").cast("string"))
+    nodes = vertices(edges, *keys)
+    ids = cut(numbered(nodes.withColumn("_name", name), ["_name"]).select(*keys, "node", F.col("place").alias("id")))
+    at = lambda c: ids.select(*keys, F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
+    own = cut(edges.join(at("src"), [*keys, "src"]).join(at("dst"), [*keys, "dst"]).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")))
+    weak = connected_components(own.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    weak = ids.join(weak.withColumnRenamed("node", "id"), "id", "left").groupBy(*keys, F.coalesce("component", "id").alias("c")).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias("largest_weak"))
+    strong = cut(strong_components(own).join(ids.select(*keys, F.col("id").alias("node")), "node"))
+    tie = bow_tie_by(own, strong, *keys)
+    regions = tie.groupBy(*keys).agg(*(F.count_if(F.col("region") == r).alias(f"bow_tie_{r}") for r in ("core", "in", "out", "other")))
+    d = cut(degrees(edges, None, *keys))
+    ends = d.groupBy(*keys).agg(*(f(c).alias(f"{n}_{c}") for c in ("in_degree", "out_degree", "in_strength", "out_strength") for n, f in (("mean", F.avg), ("max", F.max))))
+    out = summary(edges, *keys).join(weak, list(keys)).join(regions, list(keys)).join(ends, list(keys))
+    for c in ("in_strength", "out_strength"):
+        out = out.join(gini(d, c, *keys).withColumnRenamed("gini", f"gini_{c}"), list(keys))
+    out = out.join(top_share(d, "in_strength", 0.01, *keys).withColumnRenamed("top_share", "top_1pct_in_strength"), list(keys))
+    return out.withColumn("core_share", F.col("bow_tie_core") / F.col("nodes"))

@@ -56,3 +56,14 @@ def best_threshold(df: DataFrame, *keys: str) -> DataFrame:
     scored = scores(c, *keys, "p")
     order = Window.partitionBy(*keys).orderBy(F.desc(F.round("macro_f1", 12)), F.desc(F.round("balanced_accuracy", 12)), "p")
     return scored.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*keys, F.col("p").alias("threshold"), "macro_f1")
+
+
+def replayed(saved: DataFrame, predictions: DataFrame, *keys: str, tolerance: float = 1e-12) -> DataFrame:
+    """Saved scores, and whether each row comes out of the saved predictions (keys, y, p) again; a key that only one side has doesn't."""
+    again = scores(confusion(predictions, *keys), *keys)
+    names = [c for c in saved.columns if c not in keys]
+    both = saved.withColumn("_saved", F.lit(True)).join(again.select(*keys, *(F.col(c).alias(f"_{c}") for c in names)).withColumn("_again", F.lit(True)), list(keys), "full")
+    same = F.col("_saved").isNotNull() & F.col("_again").isNotNull()
+    for c in names:
+        same = same & F.coalesce(F.abs(F.col(c) - F.col(f"_{c}")) <= tolerance, F.col(c).isNull() & F.col(f"_{c}").isNull())
+    return both.select(*keys, *names, same.alias("replayed"))

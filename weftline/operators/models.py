@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -136,6 +139,28 @@ def train_jobs(rows: DataFrame, features: list[str], label: str, part: str, *key
     return rows.groupBy(*keys).applyInPandas(one, schema)
 
 
+def resumed(rows: DataFrame, run: Callable[[DataFrame], DataFrame], path: str, *keys: str) -> int:
+    """Run the jobs (keys) of rows that have no results below path yet, and add theirs as one table; how many jobs that were.
+
+    A table is there as a whole or not at all (its success marker), so that a run that was cut off is done again.
+    """
+    spark = rows.sparkSession
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = [s.getPath().toString() for s in fs.listStatus(where)] if fs.exists(where) else []
+    whole = [p for p in there if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS"))]
+    for p in set(there) - set(whole):
+        fs.delete(jvm.org.apache.hadoop.fs.Path(p), True)
+    todo = rows
+    if whole:
+        todo = rows.join(spark.read.parquet(*whole).select(*keys).distinct(), list(keys), "left_anti")
+    jobs = todo.select(*keys).distinct().count()
+    if jobs:
+        run(todo).write.parquet(f"{path}/part={len(whole)}-{uuid.uuid4().hex}")
+    return jobs
+
+
 def gru(sequences: np.ndarray, lengths: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
     """Last states of a gated recurrent unit over padded sequences; padding changes nothing, an empty one is zeros."""
     h = np.zeros((sequences.shape[0], weights["uz"].shape[0]))

@@ -278,3 +278,18 @@ def bow_tie(edges: DataFrame) -> DataFrame:
     into = reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seed).select("node").join(members, "node", "left_anti").withColumn("i", F.lit(True))
     marked = part.select("node").join(members.withColumn("c", F.lit(True)), "node", "left").join(out, "node", "left").join(into, "node", "left")
     return marked.select("node", F.when(F.col("c"), "core").when(F.col("i"), "in").when(F.col("o"), "out").otherwise("other").alias("region"))
+
+
+def bow_tie_by(edges: DataFrame, strong: DataFrame, *keys: str) -> DataFrame:
+    """(keys, node, region) for several graphs at once: strong has (node, component, keys), nodes being distinct among graphs."""
+    from pyspark.sql import Window
+
+    sizes = strong.groupBy(*keys, "component").agg(F.count("*").alias("n"))
+    first = Window.partitionBy(*keys).orderBy(F.desc("n"), F.desc("component"))
+    core = cut(sizes.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("component", F.col("component").alias("seed")))  # a row for each key
+    members = cut(strong.join(F.broadcast(core), "component").select("node", "seed"))
+    seeds = members.groupBy("seed").agg(F.min("node").alias("s")).select(F.col("s").alias("seed"))  # all members reach the same nodes
+    out = reachable(edges, seeds).select("node").distinct().join(members, "node", "left_anti").withColumn("o", F.lit(True))
+    into = reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds).select("node").distinct().join(members, "node", "left_anti").withColumn("i", F.lit(True))
+    marked = strong.join(members.select("node", F.lit(True).alias("c")), "node", "left").join(out, "node", "left").join(into, "node", "left")
+    return marked.select(*keys, "node", F.when(F.col("c"), "core").when(F.col("i"), "in").when(F.col("o"), "out").otherwise("other").alias("region"))

@@ -50,10 +50,81 @@ def holm(df: DataFrame, p: str, *keys: str) -> DataFrame:
 
 
 def sign_flip(values: list[float]) -> float:
-    """Exact two-sided p-value of a mean under all sign assignments."""
+    """Exact two-sided p-value of a mean under all sign assignments.
+
+    Sums of the signed values of either half meet: each sum of one half needs those of the other beyond the distance that is
+    left, which are counted in order. So memory grows with 2^(n/2).
+    """
     x = np.asarray(values, float)
-    signs = 1 - 2 * ((np.arange(1 << x.size)[:, None] >> np.arange(x.size)) & 1)
-    return float(np.mean(np.abs(signs @ x) >= abs(x.sum()) - 1e-12))
+
+    def sums(part: np.ndarray) -> np.ndarray:
+        out = np.zeros(1)
+        for v in part:
+            out = np.concatenate([out - v, out + v])
+        return np.sort(out)
+
+    least = abs(x.sum()) - 1e-12
+    if least <= 0:
+        return 1.0
+    a, b = sums(x[: x.size // 2]), sums(x[x.size // 2 :])
+    beyond = (b.size - np.searchsorted(b, least - a, "left")).sum() + np.searchsorted(b, -least - a, "right").sum()
+    return float(beyond / 2.0**x.size)
+
+
+def t_quantile(p: float, df: int) -> float:
+    """Of Student's distribution, by bisection on its density's integral."""
+    if df < 1:
+        return math.nan
+    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    nodes, weights = np.polynomial.legendre.leggauss(200)
+
+    def below(x: float) -> float:  # over the angle whose tangent is t / sqrt(df), where the density is smooth
+        top = math.atan(x / math.sqrt(df))
+        angle = top / 2 * (nodes + 1)
+        return 0.5 + scale * math.sqrt(df) * top / 2 * float((weights * np.cos(angle) ** (df - 1)).sum())
+
+    lo, hi = 0.0, 1e6
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if below(mid) < p else (lo, mid)
+    return (lo + hi) / 2
+
+
+def t_interval(df: DataFrame, value: str, *keys: str, level: float = 0.95) -> DataFrame:
+    """(keys, n, mean, lo, hi): mean and Student's interval of each group; null limits for a single row."""
+    sums = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_s"))
+
+    @F.pandas_udf("double")
+    def quantile(n: pd.Series) -> pd.Series:
+        each = {k: t_quantile((1 + level) / 2, int(k) - 1) for k in n.unique()}
+        return n.map(each)
+
+    half = F.when(F.col("n") > 1, quantile("n") * F.col("_s") / F.sqrt("n"))
+    return sums.select(*keys, "n", "mean", (F.col("mean") - half).alias("lo"), (F.col("mean") + half).alias("hi"))
+
+
+def joint_bootstrap(df: DataFrame, value: str, seed_column: str, week_column: str, *keys: str, draws: int = 2000, seed: int = 42) -> DataFrame:
+    """(keys, mean, lo, hi): seeds and weeks are drawn apart, with replacement, and all their cells are averaged.
+
+    A draw is a count for each seed and each week, so all draws are two small products with the table of cells. Cells that are missing are left
+    out of the averages. A group (seeds x weeks) is what one task can hold.
+    """
+    schema = df.select(*keys).schema
+    for c in ("mean", "lo", "hi"):
+        schema = schema.add(c, "double")
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        table = frame.pivot_table(index=seed_column, columns=week_column, values=value, aggfunc="mean").to_numpy(float)
+        there = np.isfinite(table)
+        rng = np.random.default_rng(seed)
+        rows = rng.multinomial(table.shape[0], np.full(table.shape[0], 1 / table.shape[0]), draws)
+        weeks = rng.multinomial(table.shape[1], np.full(table.shape[1], 1 / table.shape[1]), draws)
+        total = np.einsum("dw,dw->d", rows @ np.where(there, table, 0.0), weeks)
+        count = np.einsum("dw,dw->d", rows @ there.astype(float), weeks)
+        means = total[count > 0] / count[count > 0]
+        return pd.DataFrame({k: [frame[k].iloc[0]] for k in keys} | {"mean": [float(np.nanmean(table))], "lo": [float(np.quantile(means, 0.025))], "hi": [float(np.quantile(means, 0.975))]})
+
+    return df.groupBy(*keys).applyInPandas(one, schema)
 
 
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -108,27 +179,28 @@ def permutation_test(df: DataFrame, x: str, y: str, *keys: str, stratum: str | N
     """Spearman correlation against shuffles of y (within strata if given); p with +1, null if a draw is undefined."""
     schema = df.select(*keys).schema.add("observed", "double").add("null_mean", "double").add("null_sd", "double").add("p", "double")
 
-    def ranks(a: np.ndarray) -> np.ndarray:
-        return pd.Series(a).rank().to_numpy()
-
-    def corr(a: np.ndarray, b: np.ndarray) -> float:
-        a, b = a - a.mean(), b - b.mean()
-        d = math.sqrt((a * a).sum() * (b * b).sum())
-        return float((a * b).sum() / d) if d > 0 else math.nan
-
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        rng, a, b = np.random.default_rng(seed), ranks(frame[x].to_numpy(float)), ranks(frame[y].to_numpy(float))
-        groups = [np.arange(len(b))] if stratum is None else [np.asarray(g) for g in frame.reset_index(drop=True).groupby(stratum).indices.values()]
-        observed, null = corr(a, b), np.empty(draws)
-        for k in range(draws):
-            c = b.copy()
-            for g in groups:
-                c[g] = rng.permutation(c[g])
-            null[k] = corr(a, c)
-        fine = np.isfinite(null).all() and math.isfinite(observed)
-        mean = float(np.nanmean(null)) if np.isfinite(null).any() else math.nan
-        middle = mean if centred else 0.0
-        p = (1 + np.sum(np.abs(null - middle) >= abs(observed - middle))) / (draws + 1) if fine else None
-        return pd.DataFrame({k: [frame[k].iloc[0]] for k in keys} | {"observed": [observed], "null_mean": [mean], "null_sd": [float(np.nanstd(null, ddof=1))], "p": [p]})
+        rng = np.random.default_rng(seed)
+        a, b = (frame[c].rank().to_numpy(float) for c in (x, y))
+        a, b = a - a.mean(), b - b.mean()
+        scale = math.sqrt(float(a @ a) * float(b @ b))
+        parts = [np.arange(b.size)] if stratum is None else list(frame.reset_index(drop=True).groupby(stratum).indices.values())
+        observed, null = float(a @ b) / scale if scale > 0 else math.nan, []
+        together = max(1, 4_000_000 // max(b.size, 1))  # draws that are shuffled at once
+        for k in range(0, draws, together):
+            dealt = np.tile(b, (min(together, draws - k), 1))
+            for part in parts:
+                dealt[:, part] = rng.permuted(dealt[:, part], axis=1)
+            null.append(dealt @ a / scale if scale > 0 else np.full(len(dealt), math.nan))
+        null = np.concatenate(null)
+        middle = float(null.mean()) if centred else 0.0
+        p = (1 + int((np.abs(null - middle) >= abs(observed - middle)).sum())) / (draws + 1) if scale > 0 else None
+        return pd.DataFrame({k: [frame[k].iloc[0]] for k in keys} | {"observed": [observed], "null_mean": [float(null.mean())], "null_sd": [float(null.std(ddof=1))], "p": [p]})
 
     return df.groupBy(*keys).applyInPandas(one, schema)
+
+
+def log10_tail(z: Column) -> Column:
+    """log10 of the two-sided normal tail beyond z (8 and more), by its asymptotic series; it doesn't run out as the tail itself does."""
+    series = 1 - F.pow(z, -2) + 3 * F.pow(z, -4) - 15 * F.pow(z, -6) + 105 * F.pow(z, -8)
+    return F.log10(F.lit(2.0)) - z * z / (2 * math.log(10)) - F.log10(z * math.sqrt(2 * math.pi)) + F.log10(series)

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from weftline.plans import derived, graphs, io, panels, relational  # noqa: F401
+from weftline.plans import derived, graphs, io, more, panels, relational  # noqa: F401

@@ -119,11 +119,17 @@ def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of one folder, written in order of time so that it has several files."""
+    """The events as a stream of one folder, written in order of time into several files, of which a micro-batch reads one."""
     path = _place(spark)
     ordered = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("u"), F.col("event_type").alias("kind"), F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"), "event_id")
-    ordered.repartitionByRange(4, "ts").write.parquet(path)
-    return weekly.event_stream(spark, path, "ts timestamp, u bigint, kind string, k int, event_id bigint", 10)
+    _in_order(ordered, path, "ts")
+    return weekly.event_stream(spark, path, "ts timestamp, u bigint, kind string, k int, event_id bigint")
+
+
+def _in_order(df: DataFrame, path: str, *by: str, files: int = 4) -> None:
+    """Write files one after the other, as a source that grows with time would."""
+    most = max(1, -(-df.count() // files))
+    df.coalesce(1).sortWithinPartitions(*by).write.option("maxRecordsPerFile", most).parquet(path)
 
 
 def _drain(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
@@ -153,6 +159,7 @@ def ss06(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ss02(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _place(spark)
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    events.groupBy(F.col("user_id").alias("node"), F.date_trunc("week", F.col("ts").cast("timestamp")).alias("week")).agg(F.count("*").alias("n")).coalesce(1).write.parquet(path)
-    stream = spark.readStream.schema("node bigint, week timestamp, n bigint").parquet(path)
+    totals = events.groupBy(F.col("user_id").alias("node"), F.date_trunc("week", F.col("ts").cast("timestamp")).alias("week")).agg(F.count("*").alias("n"))
+    _in_order(totals, path, "week", "node")
+    stream = weekly.event_stream(spark, path, "node bigint, week timestamp, n bigint")
     return _drain(spark, weekly.lagged_totals(stream), "append").select("node", "week", "before")

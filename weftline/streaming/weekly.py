@@ -61,3 +61,28 @@ def lagged_totals(weekly: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["node", "week", "before"])
 
     return weekly.groupBy("node").applyInPandasWithState(step, "node bigint, week timestamp, before bigint", "total bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def flagged_weeks(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """Monday weeks so far, in update mode, with the first and last time seen in each; a week beyond them is partial."""
+    week = F.window("ts", "7 days", "7 days", "4 days")
+    return events.withWatermark("ts", late).groupBy(week.alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).select(F.col("w.start").alias("week"), "n", "first", "last")
+
+
+def sliding(events: DataFrame, length: str, step: str, late: str = "1 day") -> DataFrame:
+    """Events by kind in closed windows that overlap; rows later than the watermark allows are dropped."""
+    w = F.window("ts", length, step)
+    return events.withWatermark("ts", late).groupBy(w.alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "kind", "n")
+
+
+def sessions(events: DataFrame, gap: str, late: str = "1 day") -> DataFrame:
+    """Closed sessions of each user: events less than a gap apart."""
+    w = F.session_window("ts", gap)
+    return events.withWatermark("ts", late).groupBy(w.alias("w"), "u").agg(F.count("*").alias("n")).select("u", F.col("w.start").alias("start"), "n")
+
+
+def matched(left: DataFrame, right: DataFrame, within: str, late: str = "1 day") -> DataFrame:
+    """Rows of two streams (u, ts, ...) of one user, right at most so long before left; state older than the watermarks need goes."""
+    a = left.withWatermark("ts", late).withColumnRenamed("u", "a_u").withColumnRenamed("ts", "a_ts")
+    b = right.withWatermark("ts", late).withColumnRenamed("u", "b_u").withColumnRenamed("ts", "b_ts")
+    return a.join(b, F.expr(f"a_u = b_u AND b_ts <= a_ts AND b_ts >= a_ts - INTERVAL {within}"))
