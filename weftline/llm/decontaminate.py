@@ -3,11 +3,13 @@
 The normalised benchmark items are cut into windows of 13 words; all windows form one automaton, and each normalised
 text is scanned once. Matches are mapped back to words, and to offsets of the original text.
 
-The automaton's size is checked: items are dealt into shards of at most ``SHARD_BYTES`` of window text, and texts are
-scanned once for each shard. A usual benchmark is one shard; then nothing is shuffled.
+The automaton's size is checked: items are dealt into shards of at most ``SHARD_BYTES`` of window text. A usual benchmark is one
+shard, which is broadcast, and texts are scanned once. Of a larger one a shard is broadcast at a time: a row passes one scan after
+the other and gathers its hits, with a table between two scans. Nothing is shuffled.
 
 Null, empty and wordless texts have no words, no hits and aren't contaminated; null or wordless items have no window.
-Repeated items count once each; repeated documents are kept one for one.
+Repeated items count once each; repeated documents are kept one for one. A text of any length is scanned whole. Other columns are kept by
+``drop_contaminated``, whatever their names; an empty table, or an empty benchmark, hits nothing.
 """
 
 from __future__ import annotations
@@ -19,15 +21,16 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import small_batches, table, tidied
+from weftline.session import cut
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 
 #: Bytes of words: digits, small letters (after lower-casing A-Z) and all beyond ASCII.
 WORDS = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -95,86 +98,79 @@ def shards(benchmark: DataFrame, most: int = SHARD_BYTES) -> Iterator[dict[bytes
     yield windows(part)
 
 
-def scan(docs: DataFrame, found: dict[bytes, set[str]]) -> DataFrame:
-    """row, doc_id, n_words, runs, items, spans (byte offsets) of each text, for one shard; docs has row, doc_id, text."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(found)
-    small_batches(spark)
+PAIRS = "array<struct<lo: bigint, hi: bigint>>"
+_PAIRS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(shared.value)
-        for b in batches:
-            n, runs, items, spans = [], [], [], []
-            for text in b.column(2).to_pylist():
-                words = words_of(text)
-                r, i = hit_words(words, a) if words and len(a) else ([], set())
-                n.append(len(words))
-                runs.append([{"lo": x, "hi": y} for x, y in r])
-                items.append(sorted(i))
-                spans.append([{"lo": x, "hi": y} for x, y in spans_in(text, r)] if r else [])
-            pairs = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(runs, pairs), pa.array(items, pa.list_(pa.string())), pa.array(spans, pairs)], ["row", "doc_id", "n_words", "runs", "items", "spans"])
-
-    pair = "array<struct<lo: bigint, hi: bigint>>"
-    return docs.select("row", "doc_id", "text").mapInArrow(tidied(run), f"row bigint, doc_id bigint, n_words bigint, runs {pair}, items array<string>, spans {pair}")
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted ids), spans (byte offsets of hits), contaminated of each text."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scans = [scan(rows, found) for found in shards(benchmark, most)]
-    every = scans[0]
-    if len(scans) > 1:
-        for s in scans[1:]:
-            every = every.unionByName(s)
-        flat = lambda c: F.flatten(F.collect_list(c))  # noqa: E731  as many lists as shards
-        every = every.groupBy("row", "doc_id", "n_words").agg(flat("runs").alias("runs"), F.array_distinct(flat("items")).alias("items"), flat("spans").alias("spans"))
-        every = every.withColumns({c: _united(c) for c in ("runs", "spans")})
-    hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"])
-    return every.select("doc_id", "n_words", hit.alias("n_hit"), F.array_sort("items").alias("items"), "spans").withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
 
+def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping runs made one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(runs):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns; nothing is shuffled.
 
-    With several shards a row passes one scan after the other and gathers its hit words on the way.
-    """
+def scanned(docs: DataFrame, benchmark: DataFrame, most: int = SHARD_BYTES) -> tuple[DataFrame, list[str]]:
+    """All rows and columns of docs (text, ...), and columns with names of their own: number of words, runs of hit words, ids
+    of items with occurring windows."""
     spark, at, columns = docs.sparkSession, docs.columns.index("text"), docs.columns
-    runs = "_hit_runs"
-    rows = docs.withColumn(runs, F.array().cast("array<struct<lo: bigint, hi: bigint>>")).withColumn("_n_words", F.lit(0).cast("long"))
-    for found in shards(benchmark, most):
-        if not found:
-            continue
+    names = []
+    for name in ("words", "runs", "items"):
+        while name.lower() in (c.lower() for c in columns):
+            name = f"_{name}"
+        names.append(name)
+    rows = docs.select(*(F.col(f"`{c}`") for c in columns), F.lit(0).cast("long").alias(names[0]), F.array().cast(PAIRS).alias(names[1]), F.array().cast("array<string>").alias(names[2]))
+    before = None
+    for k, found in enumerate(shards(benchmark, most)):
+        if k:  # the scan of the shard before ends here, and its automaton isn't needed any longer
+            rows = cut(rows, [before] if before is not None else [])
+            shared.destroy()  # noqa: F821
+            before = rows
         shared = spark.sparkContext.broadcast(found)
         small_batches(spark)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            a = automaton(shared.value)
+            a, n = automaton(shared.value), len(columns)
             for b in batches:
-                n, hits = [], []
-                for text, had in zip(b.column(at).to_pylist(), b.column(len(columns)).to_pylist()):
-                    words = words_of(text)
-                    n.append(len(words))
-                    hits.append(had + [{"lo": lo, "hi": hi} for lo, hi in (hit_words(words, a)[0] if words else [])])
-                last = len(columns)
-                yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(hits, b.schema.field(last).type), pa.array(n, pa.int64())], schema=b.schema)
+                words, runs, items = [], [], []
+                for text, had, known in zip(b.column(at).to_pylist(), b.column(n + 1).to_pylist(), b.column(n + 2).to_pylist()):
+                    own = words_of(text)
+                    hit, found = hit_words(own, a) if own and len(a) else ([], set())
+                    words.append(len(own))
+                    runs.append([{"lo": lo, "hi": hi} for lo, hi in (united([*hit, *((x["lo"], x["hi"]) for x in had)]) if had else hit)])
+                    items.append(sorted(found.union(known)) if known else sorted(found))
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(words, pa.int64()), pa.array(runs, _PAIRS), pa.array(items, pa.list_(pa.string()))], names=b.schema.names)
 
         rows = rows.mapInArrow(tidied(run), rows.schema)
-    hit = F.aggregate(_united(runs), F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"])
-    return rows.where(~((hit > 0) & (hit * SHARE >= F.col("_n_words")))).select(*(F.col(f"`{c}`") for c in columns))
+    return rows, names
 
 
-def _united(column: str):
-    """Overlapping runs made one."""
-    pair = F.col(column)
-    start = F.array().cast("array<struct<lo: bigint, hi: bigint>>")
+def _contaminated(words: str, runs: str) -> tuple[Column, Column]:
+    hit = F.aggregate(runs, F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"])
+    return hit, (hit > 0) & (hit * SHARE >= F.col(words))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted ids), spans (byte offsets of hits in the original), contaminated of each text."""
+    rows, _ = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, most)
 
-    def add(runs, x):
-        last = F.element_at(runs, -1)
-        joined = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi"))))
-        return F.when(F.size(runs) == 0, F.array(x)).when(x["lo"] <= F.get(runs, F.size(runs) - 1)["hi"], joined).otherwise(F.concat(runs, F.array(x)))
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [[{"lo": lo, "hi": hi} for lo, hi in spans_in(t, [(x["lo"], x["hi"]) for x in r])] if r else [] for t, r in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(spans, _PAIRS)], ["doc_id", "n_words", "runs", "items", "spans"])
+
+    got = rows.mapInArrow(tidied(located), f"doc_id bigint, n_words bigint, runs {PAIRS}, items array<string>, spans {PAIRS}")
+    hit, contaminated = _contaminated("n_words", "runs")
+    return got.select("doc_id", "n_words", hit.alias("n_hit"), "items", "spans", contaminated.alias("contaminated"))
 
-    return F.aggregate(F.array_sort(pair), start, add)
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns."""
+    rows, (words, runs, _) = scanned(docs, benchmark, most)
+    return rows.where(~_contaminated(words, runs)[1]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
