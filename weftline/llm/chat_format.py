@@ -1,12 +1,14 @@
 """Chat formatting by schema fingerprint.
 
-A record's nested field paths, sorted and hashed, select a declarative mapping; the mapping makes canonical turns of it
-(role, text), and one template writes them. Control strings inside roles and texts are broken up by an escape character,
+A record's nested field paths, those that any mapping knows, sorted and hashed, select a declarative mapping; the mapping makes
+canonical turns of it (role, text), and one template writes them. Further fields of a record, such as an id, don't matter. Control strings inside roles and texts are broken up by an escape character,
 reversibly, so that the written form can be read back and no text can start or end a turn.
 
-Records are JSON, a layout of its own in each row. Nulls inside records are empty strings; a record that is null, no
-object or of an unknown layout has no layout, no turns and an empty text. Rows of the same conversation and turn (ties)
-are ordered by role, then text. A null conversation id is a conversation too.
+Records are JSON, a layout of its own in each row. Nulls inside records are empty strings, and half surrogates are replaced; a record that is
+null, no JSON object, nested too deeply to be read or of an unknown layout (such as a list of turns that are no objects) has no layout, no
+turns and an empty text. Rows of the same conversation and turn (ties)
+are ordered by role, then text. A null conversation id is a conversation too. Repeated
+rows are turns of their own, a text of any length is kept whole, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,26 +53,58 @@ def paths(value: object, at: str = "") -> set[str]:
     return {at}
 
 
+def _own_paths(mapping: dict) -> list[set[str]]:
+    """What a mapping maps: all its fields, or an empty list."""
+    if "list" in mapping:
+        return [{f"{mapping['list']}[].{mapping['role']}", f"{mapping['list']}[].{mapping['text']}"}, {f"{mapping['list']}[]"}]
+    return [{f for _, names in mapping["fields"] for f in names}]
+
+
+KNOWN = frozenset().union(*(x for m in MAPPINGS for x in _own_paths(m)))
+
+
 def fingerprint(found: set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(found & KNOWN)).encode()).hexdigest()[:16]
 
 
 def fingerprints() -> dict[str, dict]:
     """Mappings by the fingerprint of what they map."""
-    out = {}
+    out: dict[str, dict] = {}
     for m in MAPPINGS:
-        own = [{f"{m['list']}[].{m['role']}", f"{m['list']}[].{m['text']}"}, {f"{m['list']}[]"}] if "list" in m else [{f for _, names in m["fields"] for f in names}]
-        for x in own:
+        for x in _own_paths(m):
             out.setdefault(fingerprint(x), m)
     return out
 
 
+def _said(x: object) -> str:
+    text = x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False)
+    try:
+        text.encode()
+    except UnicodeEncodeError:  # half of a surrogate pair
+        text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
+
+
 def canonical(record: dict, mapping: dict) -> list[tuple[str, str]]:
-    said = lambda x: x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False)
     if "list" in mapping:
         roles = mapping.get("roles", {})
-        return [(roles.get(said(t.get(mapping["role"])), said(t.get(mapping["role"]))), said(t.get(mapping["text"]))) for t in record[mapping["list"]]]
-    return [(role, "\n\n".join(x for n in names if (x := said(record.get(n))) or len(names) == 1)) for role, names in mapping["fields"]]
+        said = [(_said(t.get(mapping["role"])), _said(t.get(mapping["text"]))) for t in record[mapping["list"]]]
+        return [(roles.get(role, role), text) for role, text in said]
+    return [(role, "\n\n".join(x for n in names if (x := _said(record.get(n))) or len(names) == 1)) for role, names in mapping["fields"]]
+
+
+def turns_of(raw: str | None, known: dict[str, dict]) -> tuple[str | None, list[tuple[str, str]]]:
+    """A record's layout and turns; none if it can't be read."""
+    try:
+        record = json.loads(raw) if raw is not None else None
+        found = paths(record) if isinstance(record, dict) else set()
+        if (mapping := known.get(fingerprint(found))) is None:
+            return None, []
+        if "list" in mapping and not all(isinstance(t, dict) for t in record[mapping["list"]]):
+            return None, []
+        return mapping["name"], canonical(record, mapping)
+    except (ValueError, RecursionError):
+        return None, []
 
 
 def escape(text: str) -> str:
@@ -112,13 +146,9 @@ def format_chats(records: DataFrame) -> DataFrame:
         for b in batches:
             layouts, texts, loss = [], [], []
             for raw in b.column(1).to_pylist():
-                try:
-                    record = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    record = None
-                mapping = known.get(fingerprint(paths(record))) if isinstance(record, dict) and record else None
-                text, spans = write(canonical(record, mapping)) if mapping else ("", [])
-                layouts.append(mapping and mapping["name"])
+                layout, turns = turns_of(raw, known)
+                text, spans = write(turns) if layout else ("", [])
+                layouts.append(layout)
                 texts.append(text)
                 loss.append([{"lo": lo, "hi": hi} for lo, hi in spans])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(layouts, pa.string()), pa.array(texts, pa.string()), pa.array(loss, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], ["conv_id", "layout", "formatted", "loss"])
