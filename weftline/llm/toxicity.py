@@ -1,22 +1,23 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text; each window of a text is compressed with
-both, and what the toxic dictionary saves is the evidence. The toxic dictionary is trained on what toxic texts say again
-and again and ordinary ones never do, and carries the ordinary dictionary behind it, so that ordinary windows come out
-alike and only toxic ones differ. A logistic curve, fitted on labelled rows that trained no dictionary, turns savings
-into a score.
+Two dictionaries are trained by zstandard, one on ordinary text and one on toxic text; each window of a text is compressed with
+both, and what the toxic dictionary saves is the evidence. The toxic dictionary's samples are those words of toxic texts that
+hold letters which ordinary texts never have side by side, as all else that toxic texts say is ordinary; it carries the
+ordinary dictionary behind its own, so that ordinary windows come out alike and only toxic ones differ. A logistic curve, fitted on
+labelled rows that trained no dictionary, calibrates savings into a score, whose threshold is ``THRESHOLD``.
 
 The model is fitted on a bounded sample: at most ``SAMPLE`` labelled rows of each class, in the order of a hash of their
-id, of texts up to ``SAMPLE_BYTES``. Every window of every text is scored.
+id; of a text of over ``SAMPLE_CHARS`` characters, pieces from all over it. Every window of every text is scored.
 
-Null and empty texts have no window and get the score of texts without evidence. Without rows of both classes every
-score is the smoothed share of toxic rows. Of several labels of a row any toxic one counts; repeated documents are kept
-one for one.
+Null and empty texts have no window and get the score of texts without evidence; a text of any length is scored whole. Without rows
+of both classes every score is the smoothed share of toxic rows. Of several labels of a row any toxic one counts; repeated
+documents are kept one for one, whatever their ids. Other columns are kept by ``keep_ordinary``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,17 +30,17 @@ from pyspark.sql import functions as F
 from weftline.llm.common import crc_mod, small_batches, table, tidied
 from weftline.session import trim
 
-#: Labelled rows of each class that the model is fitted on, and the most bytes of one of their texts.
-SAMPLE, SAMPLE_BYTES = 3000, 60_000
+#: Labelled rows of each class that the model is fitted on, and the most characters of one of them, in pieces of so many.
+SAMPLE, SAMPLE_CHARS, PIECE = 3000, 60_000, 200
 WINDOW, OVERLAP = 80, 24
 LEVEL = 12
-#: Passages that make the toxic dictionary at most.
-PASSAGES = 400
 DICT_BYTES = 16_384
 #: Bytes that a window may save by chance.
 NOISE = 3
 #: Bytes of a passage that is compared with ordinary text, and the toxic rows that have to share it.
 GRAM, SHARED = 5, 6
+#: Words of a sample that the toxic dictionary is trained on, and the lengths that zstandard looks for there.
+TOGETHER, SEGMENT, MATCH = 8, 64, 8
 THRESHOLD = 0.7
 HELD_OUT = (3, 1)
 
@@ -83,21 +84,22 @@ def _inside(text: bytes) -> np.ndarray:
     return ~np.logical_or.reduce([gap[k : k + max(n, 0)] for k in range(1, GRAM - 1)]) if n > 0 else np.zeros(0, bool)
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
+def _trained(samples: list[bytes], size: int, **lengths: int) -> bytes:
     """The content that zstandard picks from the samples; all of them where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **lengths).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
 
-def _most_shared(passages: list[bytes]) -> bytes:
-    """The passages by rising number of uses, so that the most used are nearest to the window; few of them are needed."""
-    counted: dict[bytes, int] = {}
-    for p in passages:
-        counted[p] = counted.get(p, 0) + 1
-    best = sorted((p for p in counted if len(p) > GRAM and counted[p] >= min(SHARED, max(counted.values()) // 4)), key=lambda p: (counted[p], p))[-PASSAGES:]
-    return b"\n".join(best)[-DICT_BYTES:] + b"\n"
+def _telling_words(text: bytes, telling: np.ndarray) -> list[bytes]:
+    """The words of a text, with the spaces around them, that hold a telling passage."""
+    out, end = [], 0
+    for i in np.flatnonzero(telling[_grams(text)] & _inside(text)).tolist():
+        if i + GRAM > end:
+            lo, end = text.rfind(b" ", 0, i + 1), text.find(b" ", i + GRAM - 1) + 1
+            out.append(text[lo:end])
+    return out
 
 
 class Scorer:
@@ -138,18 +140,16 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     for x in t:
         shared[np.unique(_grams(x))] += 1
     telling = (shared >= min(SHARED, max(2, len(t) // 50))) & ~usual
-    passages = []
-    for x in t:
-        at = np.flatnonzero(telling[_grams(x)] & _inside(x))
-        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if at.size else []:
-            passages.append(x[run[0] : run[-1] + GRAM])
+    words = [w for x in t for w in _telling_words(x, telling)]
+    counted = Counter(words)
+    words = [w for w in words if counted[w] >= min(SHARED, max(counted.values()) // 4)]
     plain = _trained([w for x in o[::2] for w in (x[i : i + 256] for i in range(0, len(x), 256))][:40_000], DICT_BYTES)
-    telling_content = _most_shared(passages)
-    model = Model(plain, telling_content + plain, constant)
+    toxic_content = _trained([b"".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)], DICT_BYTES, k=SEGMENT, d=MATCH) + plain
+    model = Model(plain, toxic_content, constant)
     scorer = Scorer(model)
     x = np.array([scorer.features(d) for d in [*toxic[1::2], *ordinary[1::2]]])
     y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
-    return Model(plain, telling_content + plain, _logistic(x, y))
+    return Model(plain, toxic_content, _logistic(x, y))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -170,7 +170,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     m, out = HELD_OUT
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", m) != out)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     got: dict[int, list[str]] = {}
-    short = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
+    pieces = SAMPLE_CHARS // PIECE
+    size = F.char_length("text")
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substr("text", (i * size / pieces).cast("int") + 1, F.lit(PIECE))), " ")
+    short = docs.select("doc_id", F.when(size > SAMPLE_CHARS, spread).otherwise(F.col("text")).alias("text")).where("text is not null")
     for kind in (0, 1):
         # a row of each class and id: which ids are taken is settled before any text is moved
         ids = known.where(F.col("toxic") == kind).join(short.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id")
