@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import zstandard
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -338,6 +339,23 @@ def test_op7_recall(spark):
     assert all(r.component_id <= k and r.kept == (r.component_id == k) for k, r in got.items())
 
 
+@pytest.mark.parametrize("n", [64, 388, 3873, 12248])
+def test_op7_recall_by_points(n):
+    """Pairs just over the threshold meet in a list and share points enough, up to the points of 100 million rows."""
+    rng = np.random.default_rng(9)
+    x, other = rng.normal(size=(2, 400, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    other -= (other * x).sum(1)[:, None] * x
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    a, b = (embedding_dedup.nearest(v, n) for v in (x, 0.951 * x + math.sqrt(1 - 0.951**2) * other))
+    far = -x @ embedding_dedup.points(n, 64).T
+    assert (a == np.argsort(far, axis=1, kind="stable")[:, : embedding_dedup.NEAREST]).all()
+    meet = (embedding_dedup.list_keys(a)[:, :, None] == embedding_dedup.list_keys(b)[:, None, :]).any((1, 2))
+    shared = np.array([len(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist())])
+    assert (np.diag(embedding_dedup.shared_points(a, b)) == shared).all()
+    assert (meet & (shared >= embedding_dedup.SHARED)).mean() >= 0.9
+
+
 def test_op8_held_out(spark):
     sf_dir = "/root/testdata/sf0.01"
     marked = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
@@ -349,6 +367,38 @@ def test_op8_held_out(spark):
     assert toxicity.fit(["x"] * 5, []).weights[1:] == (0.0,) * 5
 
 
+def test_op8_scores_are_savings_of_windows(spark):
+    """Scores from plain compression of each window with either dictionary, and the curve written out."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmno"), int(rng.integers(2, 8))))
+    plain = [" ".join(word() for _ in range(60)) for _ in range(160)]
+    bad = ["zwzqwx", "qxzwvvy", "wvzzqxw"]
+    toxic = [" ".join(bad[int(rng.integers(0, 3))] if rng.random() < 0.15 else word() for _ in range(60)) for _ in range(120)]
+    model = toxicity.fit(toxic, plain)
+    assert model.toxic.endswith(model.ordinary) and all(w.encode() in model.toxic and w.encode() not in model.ordinary for w in bad)
+
+    def score(text):
+        raw = re.sub(rb"[^a-z\x80-\xff]+", b" ", b" " + text.lower().encode() + b" ") if text else b""
+        saved = []
+        for i in range(0, len(raw), toxicity.WINDOW):
+            size = []
+            for content in (model.ordinary, model.toxic):
+                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                size.append(len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw[i : i + toxicity.WINDOW + toxicity.OVERLAP])))
+            saved.append(size[0] - size[1])
+        saved = sorted(saved, reverse=True) or [0]
+        over = lambda s: max(s - toxicity.NOISE, 0)
+        second = saved[1] if len(saved) > 1 else 0
+        x = (1, max(saved[0], 0) / 4, over(saved[0]) / 4, over(second) / 4, math.log1p(sum(map(over, saved))), math.log1p(len(saved)) / 4)
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(model.weights, x))))
+
+    texts = [*plain[:10], *toxic[:10], "", "A " + bad[0].upper(), "x" * 5000]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string"), model).collect()}
+    for k, t in enumerate([*texts, None]):
+        assert math.isclose(got[k].score, score(t or ""), rel_tol=1e-6) and got[k].predicted == int(got[k].score >= 0.7)
+    assert all(got[k].predicted == 0 for k in range(10)) and sum(got[k].predicted for k in range(10, 20)) >= 9
+
+
 def test_op9(spark, sf_dir, texts):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     hard = {-1: "a<|endoftext|>b <|STARTOFTEXT|> Σας ΑΣ İstanbul é   x's 12³½ _a_ 漢字🙂👍🏽", -2: "q" * 300 + "!" * 90}
@@ -366,9 +416,9 @@ def test_op10(spark, sf_dir, texts, monkeypatch):
     hard = {-1: "a  b   c \n d\n\n e's !!!! ....... \t x\0y", -2: "q" * 500 + " " + "ab" * 40, -3: "İ Σς 漢字🙂👍🏽 é  x <|endoftext|>"}
     got = by_id(spark, sf_dir, "op10_byte_bpe")
     hard |= {-4: "", -5: None, -6: " a", -7: "a ", -8: " ", -9: "  ", -10: "\n \n a\u00a0b\u2003c \u2003d", -11: "a\t b \tc\r\n d", -12: "xyz", -13: "xyz xyz zyx"}
-    for chunk in (0, byte_bpe.CHUNK):  # small chunks or all texts in one: the same ids
+    for chunk, most in ((0, 0), (0, 50), (byte_bpe.CHUNK, 0), (byte_bpe.CHUNK, byte_bpe.DICTIONARY)):  # small chunks or one, nothing, little or all known beforehand: the same ids
         monkeypatch.setattr(byte_bpe, "CHUNK", chunk)
-        df = byte_bpe.decode(byte_bpe.encode(spark.createDataFrame(list(hard.items()), "doc_id long, text string"), ranks, P.PATTERN), ranks)
+        df = byte_bpe.decode(byte_bpe.encode(spark.createDataFrame(list(hard.items()), "doc_id long, text string"), ranks, P.PATTERN, most), ranks)
         rows = df.collect()
         assert len(rows) == len(hard)
         for r in rows:

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, for every text operator."""
 
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from weftline.llm import byte_bpe, chat_format, decontaminate, embedding_dedup,
 RANKS = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
 LONG = "lorem ipsum dolor " * 20_000
 ROWS = [(1, None), (2, ""), (3, "a"), (4, "a"), (4, "a"), (5, LONG), (None, "no id here at all"), (6, "  \n\t "), (7, "ÄÖ漢字🙂 İß Σς")]
-EXTRA = "id long, n long, token string, row long, text_a string, component string, at long"
+EXTRA = "id long, n long, token string, row long, text_a string, component string, at long, words string, runs long, Items string, _runs long, _hit_runs string, _n_words string, removed string, spans string, score string, held_out string"
 
 
 def docs(spark, rows=ROWS, more=()):
@@ -118,6 +119,24 @@ def test_chats(spark):
     assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, record string")).count() == 0
 
 
+def test_every_mapping_and_odd_records(spark):
+    """All layouts, with further fields; records that can't be read have none."""
+    said = {"list": lambda m: {m["list"]: [{m["role"]: "user", m["text"]: "q", "more": 1}, {m["role"]: "assistant", m["text"]: "a"}]}}
+    records, want = [], []
+    for m in chat_format.MAPPINGS:
+        body = said["list"](m) if "list" in m else {n: f"{role} {n}" for role, names in m["fields"] for n in names}
+        for extra in ({}, {"id": 7, "meta": {"source": ["x", {"y": None}]}}):
+            records.append(json.dumps(body | extra))
+            turns = [("user", "q"), ("assistant", "a")] if "list" in m else [(role, "\n\n".join(f"{role} {n}" for n in names)) for role, names in m["fields"]]
+            want.append((m["name"], turns))
+    odd = ["[" * 200_000, '{"prompt": ' + "[" * 50_000 + "]" * 50_000 + ', "response": "r"}', '{"messages": ["x"]}', '{"messages": [1, {"role": "user", "text": "t"}]}', '{"prompt": "p", "response": "r", "completion": "c"}', "1" * 5000, '{"id": 1}']
+    df = spark.createDataFrame(list(enumerate([*records, *odd, '{"prompt": "\\ud800x", "response": 5}'])), "conv_id long, record string")
+    got = {r.conv_id: r for r in chat_format.format_chats(df).collect()}
+    assert [(got[k].layout, chat_format.read(got[k].formatted)) for k in range(len(want))] == want
+    assert {(got[len(want) + k].layout, got[len(want) + k].formatted) for k in range(len(odd))} == {(None, "")}
+    assert chat_format.read(got[len(want) + len(odd)].formatted) == [("user", "\ufffdx"), ("assistant", "5")]
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, []), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (2, [2.0, 0.0]), (10, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("x") for c in ("id", "key", "vec", "n")})
