@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HANDLE = "([A-Za-z0-9_]{1,15})(?![A-Za-z0-9_])"
+# The patterns of mentions, reshares and leading handles; they have to be these for equal results.
+MENTION = r"(?<![A-Za-z0-9_@])@([A-Za-z0-9_]{1,15})(?![A-Za-z0-9_])"
+RESHARE = r"(?i)(?<![A-Za-z0-9_])RT\s+@([A-Za-z0-9_]{1,15})(?![A-Za-z0-9_])"
+LEADING = r"^\s*@([A-Za-z0-9_]{1,15})(?![A-Za-z0-9_])"
 
 # A small lexicon, score by word.
 LEXICON = {"good": 0.7, "great": 0.8, "love": 0.5, "nice": 0.6, "happy": 0.8, "bad": -0.7, "worst": -1.0, "hate": -0.8, "sad": -0.5, "poor": -0.4}
@@ -23,16 +26,16 @@ def handle_one(c: Column) -> Column:
 
 def mentions(text: Column) -> Column:
     """Handles of up to 15 characters that stand alone: no e-mail, no longer word."""
-    return F.regexp_extract_all(text, F.lit("(?<![A-Za-z0-9_@])@" + HANDLE), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(MENTION), F.lit(1))
 
 
 def reshares(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("(?i)(?<![A-Za-z0-9_])RT\\s+@" + HANDLE), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(RESHARE), F.lit(1))
 
 
 def leading(text: Column) -> Column:
     """The handle that a text begins with, or null."""
-    return F.nullif(F.regexp_extract(text, "^\\s*@" + HANDLE, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, LEADING, 1), F.lit(""))
 
 
 def interactions(posts: DataFrame, text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -36,10 +37,13 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors share; only where it is unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir, which all executors share; only where it is unset and there is but one machine
+    (tests), one of our own. On a cluster it has to be set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="weftline-"))
     return _own[0]
