@@ -2,6 +2,10 @@
 
 Toxic documents go, then all but one of each group of near copies, then passages that repeat, then documents that hold
 benchmark passages; what is left becomes tokens.
+
+Every stage takes any table with the columns doc_id and text, and all but the last give back all its columns. Null and empty
+texts pass every filter and have no tokens; rows without a doc_id are never anybody's copy and stay. Repeated rows are exact copies:
+one is kept. Texts of any length are read whole. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -15,10 +19,12 @@ from weftline.session import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the rows whose score reaches the threshold; learnt from the labelled rows among docs that aren't held out."""
     return toxicity.keep_ordinary(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of documents that link: that of its least doc_id."""
     return ngram_join.one_of_each(docs)
 
 
@@ -28,6 +34,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the rows of which benchmark windows hit a word in twenty or more."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
