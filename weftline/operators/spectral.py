@@ -66,4 +66,4 @@ def dominant_vector(edges: DataFrame) -> DataFrame:
             x = y
         return pd.DataFrame({"node": names, "mass": y})
 
-    return block.groupBy(F.lit(0)).applyInPandas(solve, "node bigint, mass double")
+    return block.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(solve, "node bigint, mass double")
