@@ -3,9 +3,11 @@
 Ranked merges are folded over byte arrays of distinct words by Spark's higher-order functions, with the vocabulary's
 merges as one literal rank map; decoding concatenates binary pieces.
 
-Shape: texts are gathered into chunks of at most ``CHUNK`` bytes (or one text). The distinct words of a chunk that are no
-vocabulary entry themselves are folded once, in the row of their chunk, so no text is shuffled, nothing is sent to the driver and
-nothing that grows with the corpus is broadcast. Words of more than ``LONG`` bytes, where a fold takes quadratic time, are
+Shape: texts are gathered into chunks of at most ``CHUNK`` bytes (or one text), of which each distinct stretch between spaces is
+looked at once. A count over the whole corpus finds the words that are no vocabulary entry themselves and that most stretches
+have (at most ``DICTIONARY``, the bound of what the driver and a broadcast hold); these are folded once each. All other distinct words
+of a chunk are folded in the row of their chunk, so no text is shuffled, and nothing is dropped whatever the size of the corpus.
+Words are found by hash and then compared. Words of more than ``LONG`` bytes, where a fold takes quadratic time, are
 merged with a heap in the worker: the same merges, hence the same ids.
 
 Null texts count as empty: no ids, the digests of nothing. Rows are kept one for one, repeated ids too; other columns
@@ -21,21 +23,24 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import small_batches, table, tidied
+from weftline.session import cut, trim
 
 #: Words of more bytes than this are merged in the worker.
 LONG = 64
-#: Bytes of text in a chunk.
-CHUNK = 16 << 20
+#: Bytes of text in a chunk, and words whose ids are broadcast at most, about 50 bytes each.
+CHUNK, DICTIONARY = 6 << 20, 1_500_000
+#: Stretches whose ids a worker remembers from chunk to chunk.
+REMEMBERED = 150_000
 #: Texts that are assembled together.
 TOGETHER = 256
 #: Buckets of the literal rank map.
@@ -148,12 +153,15 @@ class Words:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.vocabulary, self.ids = pa.array(list(ranks), pa.binary()), np.fromiter(ranks.values(), np.int32, len(ranks))
         self.number: dict[bytes, int] = {}
+        self.ready: dict[str, list[int]] = {}
 
     def codes(self, stretch: str) -> list[int]:
+        if (out := self.ready.get(stretch)) is not None:
+            return out
         out = []
-        # letters alone, after a space, are one word
-        for x in (stretch,) if stretch[1:].isalpha() and stretch[0] == " " else self.find(stretch):
+        for x in self.find(stretch):
             w = x.encode()
             if (rank := self.ranks.get(w)) is not None:
                 out.append(rank)
@@ -161,6 +169,8 @@ class Words:
                 out += heap_merge(w, self.ranks)
             else:
                 out.append(self.number.setdefault(w, -1 - len(self.number)))
+        if len(self.ready) < REMEMBERED and len(stretch) < LONG and min(out, default=0) >= 0:  # the same in any chunk
+            self.ready[stretch] = out
         return out
 
     def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -178,47 +188,138 @@ class Words:
         # the stretch at the begin of a text has no space before it
         which[first] = len(coded.dictionary) + np.arange(lengths.size)
         begins = [t if whole else t.split(" ", 1)[0] for t, whole in zip(texts.to_pylist(), uncut.tolist())]
-        flat, sizes = array("i"), array("q")
-        for stretch in chain((" " + x for x in coded.dictionary.to_pylist()), begins):
+        stretches = pa.concat_arrays([pc.binary_join_element_wise(" ", coded.dictionary, ""), pa.array(begins, pa.string())])
+        # letters alone after a space are one word, mostly of the vocabulary
+        single = np.zeros(len(stretches), bool)
+        single[: len(coded.dictionary)] = pc.utf8_is_alpha(coded.dictionary).to_numpy(zero_copy_only=False)
+        single &= pc.binary_length(stretches).to_numpy() <= LONG
+        one = stretches.cast(pa.binary()).filter(pa.array(single))
+        found = pc.index_in(one, value_set=self.vocabulary)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        code = self.ids[found.fill_null(0).to_numpy()]
+        code[new] = [self.number.setdefault(w, -1 - len(self.number)) for w in one.filter(pa.array(new)).to_pylist()]
+        more, many = array("i"), array("q")
+        for stretch in stretches.filter(pa.array(~single)).to_pylist():
             codes = self.codes(stretch) if stretch else []
-            flat.extend(codes)
-            sizes.append(len(codes))
-        flat, sizes = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), np.frombuffer(sizes, np.int64)
+            more.extend(codes)
+            many.append(len(codes))
+        sizes = np.ones(single.size, np.int64)
+        sizes[~single] = many
+        flat = np.empty(sizes.sum(), np.int32)
+        at = np.repeat(single, sizes)
+        flat[at], flat[~at] = code, more
         start = np.cumsum(sizes) - sizes
         each = sizes[which]
         inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         return flat[np.repeat(start[which], each) + inside], np.bincount(row, weights=each, minlength=lengths.size).astype(np.int64)
 
 
-def folded_chunks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """A row a chunk: doc_id and size (number of codes) of each text, codes (int32 as bytes; -1, -2 ... for words to fold), and
-    folded (the ids of these words)."""
+def gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[pa.RecordBatch]]:
+    """Rows in chunks of so many bytes of text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        for lo in range(0, b.num_rows, 32):
+            held.append(b.slice(lo, 32))
+            size += pc.sum(pc.binary_length(held[-1].column(column))).as_py() or 0
+            if size > CHUNK:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int) -> DataFrame:
+    """(word, n): words of the corpus that are no vocabulary entry, so many at most, those of most stretches."""
+    small_batches(docs.sparkSession)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in gathered(batches, 0):
+            counts = pc.value_counts(pc.list_flatten(pc.split_pattern(pa.concat_arrays([b.column(0) for b in held]).fill_null(""), " ")))
+            for lo in range(0, len(counts), 20_000):
+                some = counts.slice(lo, 20_000)
+                yield pa.RecordBatch.from_arrays([some.field("values"), some.field("counts")], ["stretch", "n"])
+
+    def cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, find = vocabulary.value, regex.compile(pattern).findall
+        for b in batches:
+            words = [(w, n) for stretch, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in find(" " + stretch) if (w := x.encode()) not in ranks and len(w) <= LONG]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.binary()), pa.array([n for _, n in words], pa.int64())], ["word", "n"])
+
+    # stretches are counted first, so that each is cut into words once; one that occurs once has no frequent words
+    found = docs.select("text").mapInArrow(tidied(count), "stretch string, n bigint").groupBy("stretch").agg(F.sum("n").alias("n")).where("n > 1")
+    found = cut(found.mapInArrow(tidied(cut_words), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    total, least = 0, 1 << 62
+    for r in found.groupBy(F.floor(F.log2("n") * 8).alias("size")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("size")).collect():
+        total += r["words"]
+        if total > most:
+            break
+        least = r["n"]
+    return found.where(F.col("n") >= least).select("word")
+
+
+class Known:
+    """Ids of many words in flat arrays, by the words' hashes."""
+
+    def __init__(self, words: pa.Array, ids: pa.ListArray):
+        prints = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+        by = np.argsort(prints)
+        size = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.flat, self.prints, self.words = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), prints[by], words.take(pa.array(by))
+        self.first, self.size = (np.cumsum(size) - size)[by], size[by]
+
+    def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's ids begin and how many they are; 0 for an unknown word."""
+        if not self.prints.size or not words:
+            return np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        at = np.minimum(np.searchsorted(self.prints, own), self.prints.size - 1)
+        same = pc.equal(self.words.take(pa.array(at)), pa.array(words, pa.binary())).to_numpy(zero_copy_only=False)
+        return self.first[at], np.where(same, self.size[at], 0)
+
+
+def folded_chunks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int) -> DataFrame:
+    """A row a chunk: doc_id and size (number of codes) of each text, codes (int32 as bytes; -1, -2 ... for words that are
+    folded here), and folded (the ids of these words)."""
     spark = docs.sparkSession
     merges, to_id = rank_map(ranks), _byte_ids(ranks)
-    shared = spark.sparkContext.broadcast(ranks)
     small_batches(spark)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+    def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _bytes_of(b.column(0).to_pylist(), to_id)], ["word", "bytes"])
+
+    words = frequent_words(docs, ranks, pattern, most).mapInArrow(tidied(as_bytes), "word binary, bytes array<bigint>")
+    table = words.select("word", F.get(fold_merges(F.array("bytes"), merges), F.lit(0)).cast("array<int>").alias("ids")).toArrow()
+    columns = [table[c].combine_chunks() for c in ("word", "ids")]
+    del table
+    shared = spark.sparkContext.broadcast((Known(*(c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks) for c in columns)), ranks))
+    del columns
+    trim()  # the driver has done with the words
 
-        def passed() -> pa.RecordBatch:
-            words = Words(shared.value, pattern)
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ranks = shared.value
+        words = Words(ranks, pattern)
+        for held in gathered(batches, 1):
+            words.number = {}
             codes, sizes = words.coded(pa.concat_arrays([b.column(1) for b in held]))
+            new = list(words.number)
+            first, size = known.find(new)
+            number = -np.cumsum(size == 0)  # what is left is numbered anew
+            at = np.flatnonzero(codes < 0)
+            word = -1 - codes[at]
+            row, each = np.repeat(np.arange(sizes.size), sizes), np.ones(codes.size, np.int64)
+            each[at] = np.maximum(size[word], 1)
+            codes = codes.copy()
+            codes[at] = number[word]
+            found = size[word] > 0
+            codes = filled(codes, at[found], first[word[found]], size[word[found]], known.flat)
+            sizes = np.bincount(row, weights=each, minlength=sizes.size).astype(np.int64)
             ids = pa.concat_arrays([b.column(0) for b in held]).to_pylist()
-            left = _bytes_of(list(words.number), to_id)
+            left = _bytes_of([w for w, n in zip(new, size.tolist()) if not n], to_id)
             columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([codes.tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, len(left)], pa.int32()), left)], ["doc_id", "size", "codes", "bytes"])
-
-        for b in batches:
-            for lo in range(0, b.num_rows, 32):
-                held.append(b.slice(lo, 32))
-                size += pc.sum(pc.binary_length(held[-1].column(1))).as_py() or 0
-                if size > CHUNK:
-                    yield passed()
-                    held, size = [], 0
-        if held:
-            yield passed()
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, len(left)], pa.int32()), left)], ["doc_id", "size", "codes", "bytes"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(gather), "doc_id array<bigint>, size array<bigint>, codes binary, bytes array<array<bigint>>")
     small_batches(spark, 1)
@@ -262,7 +363,7 @@ def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY) -> DataFrame:
     """doc_id, ids (array<int>): the ids of each text, each match of the pattern merged by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +371,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             for doc_id, ids, sizes in assembled(b):
                 yield pa.RecordBatch.from_arrays([doc_id, _lists(ids, sizes)], ["doc_id", "ids"])
 
-    return folded_chunks(docs, ranks, pattern).mapInArrow(tidied(run), "doc_id bigint, ids array<int>")
+    return folded_chunks(docs, ranks, pattern, most).mapInArrow(tidied(run), "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -286,7 +387,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id bigint, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False, most: int = DICTIONARY) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text, and its ids if asked for: encoded, decoded and digested."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
@@ -303,7 +404,7 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bo
                 columns = [doc_id, pa.array(sizes, pa.int64()), *[_lists(flat, sizes)] * with_ids]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(ids_sha), pa.array(decoded_sha)], ["doc_id", "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"])
 
-    return folded_chunks(docs, ranks, pattern).mapInArrow(tidied(run), f"doc_id bigint, n_tokens bigint, {'ids array<int>, ' * with_ids}ids_sha256 string, decoded_sha256 string")
+    return folded_chunks(docs, ranks, pattern, most).mapInArrow(tidied(run), f"doc_id bigint, n_tokens bigint, {'ids array<int>, ' * with_ids}ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from weftline.session import trim
 
-#: Rows in an Arrow batch handed to Python: bounds a worker's memory with texts of up to megabytes.
+#: Rows in an Arrow batch handed to Python: bounds a worker's memory with texts of up to megabytes. More rows take longer each,
+#: as Spark sizes the whole batch at every row.
 BATCH_ROWS = 256
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
