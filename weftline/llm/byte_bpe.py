@@ -38,7 +38,7 @@ from weftline.session import cut, trim
 #: Words of more bytes than this are merged in the worker.
 LONG = 64
 #: Bytes of text in a chunk, and words whose ids are broadcast at most, about 50 bytes each.
-CHUNK, DICTIONARY = 6 << 20, 1_500_000
+CHUNK, DICTIONARY = 6 << 20, 1_000_000
 #: Stretches whose ids a worker remembers from chunk to chunk.
 REMEMBERED = 150_000
 #: Texts that are assembled together.
