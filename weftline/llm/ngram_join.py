@@ -230,10 +230,10 @@ def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, p
     return cut(both.mapInArrow(tidied(run), "a bigint, b bigint"), [sets])
 
 
-def _apart(pairs: DataFrame, part: DataFrame | None, tried: list[DataFrame]) -> DataFrame:
+def _apart(pairs: DataFrame, part: DataFrame | None, tried: DataFrame | None) -> DataFrame:
     """Pairs that are not in one component yet and haven't been tried."""
-    for t in tried:
-        pairs = pairs.join(t, ["a", "b"], "left_anti")
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
     if part is None:
         return pairs
     of = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
@@ -312,13 +312,10 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     links = part = None
     if not linked.isEmpty():
         links, part = linked, connected_components(linked)
-    tried: list[DataFrame] = []
-    for leader in ("l1", "l2", "l3"):
-        pairs = members.select("id", F.col(leader).alias("leader")).where("id <> leader")
-        pairs = pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        pairs = cut(_apart(pairs, part, tried))
-        tried.append(pairs)
-        links, part = _linked(docs, pairs, links, part, classes, words, percent)
+    # all leaders at once: rounds cost more than the pairs that a component of the round before would spare
+    pairs = members.select("id", F.explode(F.array_distinct(F.array("l1", "l2", "l3"))).alias("leader")).where("id <> leader")
+    tried = cut(_apart(pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), part, None))
+    links, part = _linked(docs, tried, links, part, classes, words, percent)
     # members of different components whose sizes and places in the list allow the similarity
     own = members.select("token", "id", "n", "at")
     known = cut((own.join(part.withColumnRenamed("node", "id"), "id", "left") if part is not None else own.withColumn("component", F.col("id"))).withColumn("component", F.coalesce("component", "id")), [members])
@@ -331,7 +328,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     most = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
     fits = fits & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y")))
     more = x.join(y, "token").where(fits).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
-    more = cut(_apart(more, None, tried), [rest, *tried])
+    more = cut(_apart(more, None, tried), [rest, tried])
     links, part = _linked(docs, more, links, part, classes, words, percent)
     discard(more)
     own = classes.select("fp", "id", "doc_id")
