@@ -99,14 +99,6 @@ def m07(spark: SparkSession, sf_dir: str) -> DataFrame:
 # graphs
 
 
-@query("g24_layer_statistics")
-def g24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = view(spark, sf_dir, "typed")
-    d = graph.degrees(typed, None, "kind")
-    tops = d.groupBy("kind").agg(F.avg("in_degree").alias("mean_in_degree"), F.avg("in_strength").alias("mean_in_strength"), F.max("in_degree").alias("max_in_degree"), F.max("out_degree").alias("max_out_degree"), F.max("in_strength").alias("max_in_strength"))
-    return graph.summary(typed, "kind").join(tops, "kind")
-
-
 @query("g25_layer_overlap_spearman", duck("WITH a AS (SELECT dst AS node, CAST(sum(w) AS DOUBLE) AS s FROM typed WHERE kind = 'view' GROUP BY dst), b AS (SELECT dst AS node, CAST(sum(w) AS DOUBLE) AS s FROM typed WHERE kind = 'click' GROUP BY dst), j AS (SELECT a.s AS x, b.s AS y FROM a JOIN b USING (node)), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS x, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS y FROM j) SELECT round(corr(x, y), 9) AS spearman, count(*) AS n FROM r", ("typed",)))
 def g25(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = view(spark, sf_dir, "typed").groupBy("kind", F.col("dst").alias("node")).agg(F.sum("w").cast("double").alias("s"))
@@ -234,10 +226,10 @@ def st11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.permutation_test(rows, "x", "share", "kind", stratum="s", draws=500, centred=False)
 
 
-@query("st12_st15_run_intervals")
-def st12(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("st15_paired_run_bootstrap")
+def st15(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = x06(spark, sf_dir).select("cell", (F.col("secondary_0") - F.col("secondary_1")).cast("double").alias("d"))
-    return stats.bootstrap(runs, "d", "cell", draws=1000)
+    return stats.bootstrap(runs, "d", "cell", draws=5000)
 
 
 # models
@@ -266,13 +258,6 @@ def ml20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.confusion(every, "model").join(n, "model").select("model", "n", F.round("brier", 7).alias("brier"))
 
 
-@query("ml24_reconciled_models")
-def ml24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _forecasts(spark, sf_dir)
-    cohort = lambda name, d: metrics.scores(metrics.confusion(d)).select(F.lit(name).alias("cohort"), "macro_f1", "accuracy", "brier")
-    return cohort("all", rows).unionByName(cohort("later", rows.where("m >= DATE '1996-01-01'")))
-
-
 @query("ml08_ml12_sequence_states")
 def ml08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last recurrent states over each user's padded label sequences, with fixed weights from a seed."""
@@ -316,15 +301,6 @@ def ml11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.mapInPandas(attend, "node bigint, state array<double>")
 
 
-@query("ml22_resumed_jobs", "SELECT CAST(0 AS BIGINT) AS unfinished")
-def ml22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs without a result once what was missing has been run again: none."""
-    jobs = spark.range(12).withColumnRenamed("id", "job")
-    done = jobs.where("job % 3 <> 0").withColumn("result", F.col("job") * 2)
-    todo = jobs.join(done, "job", "left_anti").withColumn("result", F.col("job") * 2)
-    return jobs.join(done.unionByName(todo), "job", "left_anti").agg(F.count("*").alias("unfinished"))
-
-
 _RATIO = "e AS (SELECT DISTINCT src, dst, $epoch(ts)$ AS tm FROM ix), r(seed, node, tm) USING KEY (seed, node) AS (SELECT src, dst, min(tm) FROM e GROUP BY src, dst UNION SELECT r.seed, e.dst, min(e.tm) FROM r JOIN e ON e.src = r.node AND e.tm >= r.tm LEFT JOIN recurring.r c ON c.seed = r.seed AND c.node = e.dst WHERE c.tm IS NULL OR e.tm < c.tm GROUP BY r.seed, e.dst), g AS (SELECT DISTINCT src, dst FROM e), s(seed, node) AS (SELECT src, dst FROM g UNION SELECT s.seed, g.dst FROM s JOIN g ON g.src = s.node), a AS (SELECT seed, count(*) AS n FROM r WHERE node <> seed GROUP BY seed), b AS (SELECT seed, count(*) AS n FROM s WHERE node <> seed GROUP BY seed) SELECT x.src AS seed, coalesce(a.n, 0) / CAST(b.n AS DOUBLE) AS ratio FROM (SELECT DISTINCT src FROM e) x LEFT JOIN a ON a.seed = x.src LEFT JOIN b ON b.seed = x.src"
 
 

@@ -102,7 +102,7 @@ def ml19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.average_precision(_forecasts(spark, sf_dir), "m").select("m", F.round("average_precision", 9).alias("average_precision"))
 
 
-@query("ml15_best_threshold")
+@query("ml15_best_threshold", duck(f"WITH {_FC}, s AS (SELECT m, p, sum(y) AS k, count(*) AS n FROM fc GROUP BY m, p), c AS (SELECT m, p, CAST(sum(k) OVER w AS DOUBLE) AS tp, CAST(sum(n - k) OVER w AS DOUBLE) AS fp, CAST(sum(k) OVER (PARTITION BY m) AS DOUBLE) AS n1, CAST(sum(n - k) OVER (PARTITION BY m) AS DOUBLE) AS n0 FROM s WINDOW w AS (PARTITION BY m ORDER BY p DESC ROWS UNBOUNDED PRECEDING)), f AS (SELECT m, p, (coalesce(2 * (n0 - fp) / nullif(2 * (n0 - fp) + fp + n1 - tp, 0), 0) + coalesce(2 * tp / nullif(2 * tp + fp + n1 - tp, 0), 0)) / 2 AS macro_f1, (tp / nullif(n1, 0) + (n0 - fp) / nullif(n0, 0)) / 2 AS balanced FROM c) SELECT m, threshold, macro_f1 FROM (SELECT m, p AS threshold, macro_f1, row_number() OVER (PARTITION BY m ORDER BY round(macro_f1, 12) DESC, round(balanced, 12) DESC NULLS LAST, p) AS r FROM f) q WHERE r = 1", ("lab",)))
 def ml15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.best_threshold(_forecasts(spark, sf_dir), "m")
 
