@@ -1,8 +1,8 @@
 """Scores of texts by a hidden Markov language model.
 
 Texts become chunks: token numbers in a dictionary of the chunk's own words, found by Arrow. Each word of a chunk with its
-number of training tokens is a row; their sums over the corpus are its counts, which come back to the chunks by a join,
-so counts of all words are used and nothing that grows with the vocabulary is broadcast.
+number of training tokens is a row; rows of a word meet once (one for each chunk that has it), which gives its count, and
+go back to their chunks, so counts of all words are used and nothing that grows with the vocabulary is broadcast.
 
 The model emits every word that is seen ``LEAST`` times by itself, the most frequent ``EMITTED`` at most (a bound on the
 parameters that are broadcast), and so the end of a text; all other words through one class, inside which a word has its smoothed
@@ -28,22 +28,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import crc_mod, small_batches, table, tidied
-from weftline.session import cut, discard
+from weftline.session import cut, discard, trim
 
 STATES, ROUNDS = 6, 4
 #: Words with an emission of their own: seen so often at least, and so many at most.
-LEAST, EMITTED = 10, 65_536
+LEAST, EMITTED = 10, 32_768
 PROBES = 128
 #: How much likelier a state's own probes are at the start, and the chance to stay in a state.
 LEANING, STAY = 8.0, 0.9
 #: Pseudo-counts: of the overall distribution in each state's emissions, and of each transition.
 SMOOTH, MOVES = 50.0, 1.0
 #: Bytes of text in a chunk, and tokens of a group of texts that recursions go through together.
-CHUNK, GROUP = 8 << 20, 1_000_000
+CHUNK, GROUP = 12 << 20, 400_000
 #: Steps after which recursions are scaled.
 SCALED = 8
 HELD_OUT = (7, 2)
@@ -148,26 +148,29 @@ def grouped(seqs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds from docs (doc_id, text, held_out): a chunk with its tokens, and each word of a chunk with n of them in training."""
+    """Rows of two kinds from docs (doc_id, text, held_out): a chunk with its tokens and its words' training counts (int32 as
+    bytes), and each word of a chunk with n of them in training."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("chunk", pa.int64()), ("place", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()), ("sizes", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_()))])
+    kinds = {"chunk": pa.int64(), "place": pa.int64(), "word": pa.binary(), "n": pa.int64(), "tokens": pa.binary(), "own": pa.binary(), "sizes": pa.list_(pa.int64()), "doc_id": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_())}
+    schema = pa.schema(list(kinds.items()))
+
+    def batch(size: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(size, t) for k, t in kinds.items()], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        number = TaskContext.get().partitionId() << 32
+        size, number = 0, TaskContext.get().partitionId() << 32
 
         def passed() -> Iterator[pa.RecordBatch]:
             ids, texts, out = (pa.concat_arrays([b.column(k) for b in held]) for k in range(3))
             words, tokens, sizes = numbered(texts)
-            training = ~out.to_numpy(zero_copy_only=False)
-            n = np.bincount(tokens[np.repeat(training, sizes)], minlength=len(words))
-            listed = lambda v, t: pa.array([v], pa.list_(t))
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.nulls(1, schema.field(k).type) for k in ("place", "word", "n")), pa.array([tokens.astype(np.int32).tobytes()], pa.binary()), listed(sizes, pa.int64()), listed(ids.to_pylist(), pa.int64()), listed(out.to_pylist(), pa.bool_())], schema=schema)
+            n = np.bincount(tokens[np.repeat(~out.to_numpy(zero_copy_only=False), sizes)], minlength=len(words))
+            whole = {"tokens": tokens.astype(np.int32).tobytes(), "own": n.astype(np.int32).tobytes(), "sizes": sizes, "doc_id": ids.to_pylist(), "held_out": out.to_pylist()}
+            yield batch(1, chunk=pa.array([number]), **{k: pa.array([v], kinds[k]) for k, v in whole.items()})
             for lo in range(0, len(words), 20_000):
                 w = words.slice(lo, 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), number)), pa.array(np.arange(lo, lo + len(w))), w, pa.array(n[lo : lo + len(w)]), *(pa.nulls(len(w), schema.field(k).type) for k in ("tokens", "sizes", "doc_id", "held_out"))], schema=schema)
+                yield batch(len(w), chunk=pa.array(np.full(len(w), number)), place=pa.array(np.arange(lo, lo + len(w))), word=w, n=pa.array(n[lo : lo + len(w)]))
 
-        size = 0
         for b in batches:
             if b.num_rows:
                 held.append(b)
@@ -178,64 +181,68 @@ def chunks(docs: DataFrame) -> DataFrame:
         if held:
             yield from passed()
 
-    rows = docs.select("doc_id", "text", "held_out").mapInArrow(tidied(run), "chunk bigint, place bigint, word binary, n bigint, tokens binary, sizes array<bigint>, doc_id array<bigint>, held_out array<boolean>")
+    rows = docs.select("doc_id", "text", "held_out").mapInArrow(tidied(run), "chunk bigint, place bigint, word binary, n bigint, tokens binary, own binary, sizes array<bigint>, doc_id array<bigint>, held_out array<boolean>")
     return cut(rows)
 
 
-def most_frequent(counts: DataFrame, least: int = LEAST, most: int = EMITTED) -> list[tuple[bytes, int]]:
-    """Words with their counts, seen so often and so many at most, by falling count; the end is always among them, first."""
+def counted(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """(chunk, place, n, c, first, word) of each word of a chunk: c of them in training, first in one row of each word; the word only if
+    it is seen so often, or is the end."""
+    w = Window.partitionBy("word")
+    rows = rows.where("word is not null").select("chunk", "place", "word", "n")
+    rows = rows.withColumns({"c": F.sum("n").over(w), "first": F.min("chunk").over(w) == F.col("chunk")})
+    return cut(rows.withColumn("word", F.when((F.col("c") >= least) | (F.length("word") == 0), F.col("word"))))
+
+
+def most_frequent(counts: DataFrame, most: int = EMITTED) -> list[tuple[bytes, int]]:
+    """Of (word, c): so many at most, by falling count; the end is always among them, first, if it is there."""
     total, lowest = 0, 1 << 62
-    for r in counts.where(F.col("c") >= least).groupBy(F.floor(F.log2("c") * 8).alias("size")).agg(F.count("*").alias("k"), F.min("c").alias("c")).orderBy(F.desc("size")).collect():
+    for r in counts.groupBy(F.floor(F.log2("c") * 8).alias("size")).agg(F.count("*").alias("k"), F.min("c").alias("c")).orderBy(F.desc("size")).collect():
         total += r["k"]
         if total > most:
             break
         lowest = r["c"]
-    got = counts.where(((F.col("c") >= lowest) | (F.length("word") == 0)) & (F.col("c") > 0)).toArrow()
+    got = counts.where((F.col("c") >= lowest) | (F.length("word") == 0)).toArrow()
     return sorted(zip(got["word"].to_pylist(), got["c"].to_pylist()), key=lambda x: (x[0] != END, -x[1], x[0]))
 
 
-def prepared(rows: DataFrame, counts: DataFrame, symbols: DataFrame, emitted: int) -> DataFrame:
-    """Groups of texts, some for training and others held out: train, symbols, live, and what is known of each text."""
-    words = rows.where("word is not null").select("chunk", "place", "word", "n")
-    found = words.join(counts, "word").join(F.broadcast(symbols), "word", "left")
-    found = found.where("c <> n or symbol is not null").groupBy("chunk").agg(F.collect_list(F.struct("place", "c", "symbol")).alias("found"))
-    own = words.groupBy("chunk").agg(F.collect_list(F.when(F.col("n") > 0, F.struct("place", "n"))).alias("own"))
-    texts = rows.where("tokens is not null").select("chunk", "tokens", "sizes", "doc_id", "held_out")
-    texts = texts.join(own, "chunk").join(found, "chunk", "left")
+def prepared(rows: DataFrame, words: DataFrame, symbols: dict[bytes, int]) -> DataFrame:
+    """Groups of texts, some for training and others held out: train, symbols, live, and what is known of each text.
+
+    A chunk meets a list of those of its words that are seen elsewhere too, or often.
+    """
+    emitted, shared = len(symbols), rows.sparkSession.sparkContext.broadcast(symbols)
+    back = words.where("c <> n or word is not null").groupBy("chunk").agg(F.collect_list(F.struct("place", "c", "word")).alias("found"))  # no more than a chunk's words
+    both = rows.where("tokens is not null").select("chunk", "tokens", "own", "sizes", "doc_id", "held_out").join(back, "chunk", "left")
     lists = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "other": pa.float64()}
 
-    def fields(array: pa.Array) -> list[np.ndarray]:
-        flat = array.flatten()
-        return [flat.field(k).to_numpy(zero_copy_only=False) for k in range(flat.type.num_fields)] if len(flat) else []
+    def groups(first: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        tokens, sizes = np.frombuffer(first.column("tokens")[0].as_py(), np.int32), first.column("sizes").flatten().to_numpy()
+        c = np.frombuffer(first.column("own")[0].as_py(), np.int32).astype(np.int64)
+        symbol, found, get = np.full(c.size, emitted), first.column("found").flatten(), shared.value.get
+        if len(found):
+            place = found.field("place").to_numpy()
+            c[place] = found.field("c").to_numpy()
+            symbol[place] = [get(w, emitted) for w in found.field("word").to_pylist()]
+        logs, row = np.log10(c + 1.0), np.repeat(np.arange(sizes.size), sizes)
+        add = lambda x: np.bincount(row, weights=x[tokens], minlength=sizes.size)
+        known = {"doc_id": first.column("doc_id").flatten(), "held_out": first.column("held_out").flatten(), "n_tokens": pa.array(sizes), "n_known": pa.array(add(c > 0).astype(np.int64)), "base": pa.array(add(logs)), "other": pa.array(add(np.where(symbol == emitted, logs, 0)))}
+        begin, out, of = np.cumsum(sizes) - sizes, known["held_out"].to_numpy(zero_copy_only=False), symbol[tokens].astype(np.int32)
+        for train in (True, False):
+            some = np.flatnonzero(out != train)
+            for places, flat, live in grouped([of[begin[i] : begin[i] + sizes[i]] for i in some]):
+                at = pa.array(some[places])
+                columns = [pa.array([train]), pa.array([flat.astype(np.int32).tobytes()], pa.binary()), pa.array([live.astype(np.int32).tobytes()], pa.binary())]
+                columns += [pa.array([known[x].take(at).to_pylist()], pa.list_(t)) for x, t in lists.items()]
+                yield pa.RecordBatch.from_arrays(columns, ["train", "symbols", "live", *lists])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                b = batch.slice(k, 1)
-                tokens, sizes = np.frombuffer(b.column(1)[0].as_py(), np.int32), b.column(2).flatten().to_numpy()
-                c, symbol = np.zeros(int(tokens.max()) + 1, np.int64), np.full(int(tokens.max()) + 1, emitted)
-                if own := fields(b.column(5)):
-                    c[own[0]] = own[1]
-                if found := fields(b.column(6)):
-                    c[found[0]] = found[1]
-                    has = ~np.isnan(found[2].astype(float))
-                    symbol[found[0][has]] = found[2][has].astype(np.int64)
-                logs, row = np.log10(c + 1.0), np.repeat(np.arange(sizes.size), sizes)
-                add = lambda x: np.bincount(row, weights=x[tokens], minlength=sizes.size)
-                known = {"doc_id": b.column(3).flatten(), "held_out": b.column(4).flatten(), "n_tokens": pa.array(sizes), "n_known": pa.array(add(c > 0).astype(np.int64)), "base": pa.array(add(logs)), "other": pa.array(add(np.where(symbol == emitted, logs, 0)))}
-                first = np.cumsum(sizes) - sizes
-                out = known["held_out"].to_numpy(zero_copy_only=False)
-                of = symbol[tokens].astype(np.int32)
-                for train in (True, False):
-                    some = np.flatnonzero(out != train)
-                    for places, flat, live in grouped([of[first[i] : first[i] + sizes[i]] for i in some]):
-                        at = pa.array(some[places])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([train]), pa.array([flat.astype(np.int32).tobytes()], pa.binary()), pa.array([live.astype(np.int32).tobytes()], pa.binary()), *(pa.array([known[x].take(at).to_pylist()], pa.list_(t)) for x, t in lists.items())], ["train", "symbols", "live", *lists]
-                        )
+        for b in batches:
+            for k in range(b.num_rows):
+                yield from groups(b.slice(k, 1))
 
     small_batches(rows.sparkSession, 1)
-    return cut(texts.mapInArrow(tidied(run), "train boolean, symbols binary, live binary, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, other array<double>"))
+    return cut(both.mapInArrow(tidied(run), "train boolean, symbols binary, live binary, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, other array<double>"))
 
 
 def _ints(raw: bytes) -> np.ndarray:
@@ -331,16 +338,16 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     m, out = HELD_OUT
     rows = chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_mod("doc_id", m) == out).alias("held_out")))
-    counts = cut(rows.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
-    n, v = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = most_frequent(counts)
-    emitted = len(top)
+    words = counted(rows)
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("first") & (F.col("c") > 0))).first()
+    top = most_frequent(words.where("first and word is not null and c > 0").select("word", "c"))
     c = np.array([x for _, x in top], np.int64)
     rest = float(n + v + 1 - (c + 1).sum())  # of words without an emission, unseen ones included
     overall = np.append(c + 1, rest) / (n + v + 1)
-    symbols = spark.createDataFrame(pa.table({"word": pa.array([w for w, _ in top], pa.binary()), "symbol": pa.array(range(emitted), pa.int64())}))
-    groups = prepared(rows, counts, symbols, emitted)
-    discard(rows, counts)
+    groups, emitted = prepared(rows, words, {w: i for i, (w, _) in enumerate(top)}), len(top)
+    discard(rows, words)
+    del top
+    trim()  # the driver has done with the words
     shared = spark.sparkContext.broadcast(train(groups, overall))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
