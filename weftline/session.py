@@ -61,7 +61,7 @@ def cut(df: DataFrame, drop: Iterable[DataFrame] = ()) -> DataFrame:
     spark.conf.set(freed, "true")  # a table's shuffle files go once it is written
     path = f"{shared_folder(spark)}/weftline-{uuid.uuid4().hex}"
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(freed, before) if before is not None else spark.conf.unset(freed)
     out = spark.read.schema(df.schema).parquet(path)
