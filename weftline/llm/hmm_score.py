@@ -43,7 +43,7 @@ LEANING, STAY = 8.0, 0.9
 #: Pseudo-counts: of the overall distribution in each state's emissions, and of each transition.
 SMOOTH, MOVES = 50.0, 1.0
 #: Bytes of text in a chunk, and tokens of a group of texts that recursions go through together.
-CHUNK, GROUP = 12 << 20, 400_000
+CHUNK, GROUP = 8 << 20, 400_000
 #: Steps after which recursions are scaled.
 SCALED = 8
 HELD_OUT = (7, 2)
