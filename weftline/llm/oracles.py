@@ -3,6 +3,7 @@
 from weftline.llm.chat_format import CONTROLS, END, ESCAPE, TURN
 from weftline.llm.common import LOWER, UPPER
 from weftline.llm.ngram_join import PERCENT, WORDS
+from weftline.llm.quality_rules import BULLETS, ELLIPSES, MARKS, MEASURES, RULES, SPACE, STOP_WORDS, SYMBOLS, Rule
 
 _LINKED = "reach(id, low) AS (SELECT a, a FROM links UNION SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.id WHERE r.low < l.b), least AS (SELECT id, min(low) AS component FROM reach GROUP BY id)"
 
@@ -49,9 +50,34 @@ links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y
 {_LINKED}
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN least ON id = vec_id"""
 
+
+
+def _holds(rule: Rule) -> str:
+    """A quality rule as a condition."""
+    top, bottom = (rule.top, "1") if rule.bottom is None else (f"1000 * {rule.top}", rule.bottom)
+    return " AND ".join([f"{top} >= {rule.least} * {bottom}"] * (rule.least is not None) + [f"{top} <= {rule.most} * {bottom}"] * (rule.most is not None))
+
+
+def _listed(words: list[str] | tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+QUALITY_RULES = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT k, doc_id, t, regexp_extract_all(t, '[^{SPACE}]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) AS ls FROM d),
+win AS (SELECT k, i, array_to_string(ws[i : i + 2], ' ') AS g FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2) x),
+rep AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM win) x WHERE c > 1) y GROUP BY k),
+m AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[{SPACE}]+', '', 'g')) AS word_chars, len(regexp_extract_all(t, '[{SYMBOLS}]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+ len(list_filter(ws, lambda x: list_contains({_listed(STOP_WORDS)}, rtrim(lower(x), '{MARKS}')))) AS n_stop_words, len(ls) AS n_lines,
+ len(list_filter(ls, lambda x: list_bool_or([starts_with(ltrim(x, ' '), b) FOR b IN {_listed(BULLETS)}]))) AS n_bullet_lines, len(list_filter(ls, lambda x: list_bool_or([suffix(rtrim(x, ' '), b) FOR b IN {_listed(ELLIPSES)}]))) AS n_ellipsis_lines
+ FROM w LEFT JOIN rep USING (k))
+SELECT doc_id, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in MEASURES)}, NOT ({" AND ".join(_holds(r) for r in RULES if r.base)}) AS base_failed, {" AND ".join(map(_holds, RULES))} AS kept,
+ array_to_string(list_filter([{", ".join(f"CASE WHEN NOT ({_holds(r)}) THEN '{r.name}' END" for r in RULES)}], lambda x: x IS NOT NULL), ',') AS broken FROM m"""
+
 ORACLE_SQL = {
     "op1_ngram_join": NGRAM_JOIN,
     "op5_decontaminate": DECONTAMINATE,
     "op6_chat_format": CHAT_FORMAT,
     "op7_embedding_dedup": EMBEDDING_DEDUP,
+    "op13_quality_rules": QUALITY_RULES,
 }

@@ -9,6 +9,7 @@ from weftline.llm.embedding_dedup import op7_embedding_dedup
 from weftline.llm.hmm_score import op4_hmm_score
 from weftline.llm.ngram_join import op1_ngram_join
 from weftline.llm.oracles import ORACLE_SQL
+from weftline.llm.quality_rules import op13_quality_rules
 from weftline.llm.repeats import op2_repeats
 from weftline.llm.token_counts import op9_token_counts
 from weftline.llm.toxicity import op8_toxicity
@@ -27,4 +28,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_quality_rules": op13_quality_rules,
 }
