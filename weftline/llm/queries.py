@@ -11,6 +11,7 @@ from weftline.llm.ngram_join import op1_ngram_join
 from weftline.llm.oracles import ORACLE_SQL
 from weftline.llm.quality_rules import op13_quality_rules
 from weftline.llm.repeats import op2_repeats
+from weftline.llm.token_align import op12_token_align
 from weftline.llm.token_counts import op9_token_counts
 from weftline.llm.toxicity import op8_toxicity
 from weftline.llm.url_filter import op3_url_filter
@@ -28,5 +29,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_token_align": op12_token_align,
     "op13_quality_rules": op13_quality_rules,
 }
