@@ -2,6 +2,7 @@
 
 from weftline.llm.chat_format import CONTROLS, END, ESCAPE, TURN
 from weftline.llm.common import LOWER, UPPER
+from weftline.llm.hard_negatives import BUCKETS, EVERY, HIGH, LOW, MOVED, NEGATIVES, POSITIVES, SCALE
 from weftline.llm.ngram_join import PERCENT, WORDS
 from weftline.llm.quality_rules import BULLETS, ELLIPSES, MARKS, MEASURES, RULES, SPACE, STOP_WORDS, SYMBOLS, Rule
 
@@ -74,10 +75,20 @@ m AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[{SPACE}]+',
 SELECT doc_id, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in MEASURES)}, NOT ({" AND ".join(_holds(r) for r in RULES if r.base)}) AS base_failed, {" AND ".join(map(_holds, RULES))} AS kept,
  array_to_string(list_filter([{", ".join(f"CASE WHEN NOT ({_holds(r)}) THEN '{r.name}' END" for r in RULES)}], lambda x: x IS NOT NULL), ',') AS broken FROM m"""
 
+HARD_NEGATIVES = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % {MOVED} = 0 THEN (label + 1) % {BUCKETS} ELSE label END AS label, [floor({SCALE} * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % {EVERY} = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {POSITIVES}),
+n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+ FROM p JOIN s USING (anchor_id) WHERE NOT same AND {LOW} * positive_score <= 100 * score AND 100 * score <= {HIGH} * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {NEGATIVES}"""
+
 ORACLE_SQL = {
     "op1_ngram_join": NGRAM_JOIN,
     "op5_decontaminate": DECONTAMINATE,
     "op6_chat_format": CHAT_FORMAT,
     "op7_embedding_dedup": EMBEDDING_DEDUP,
+    "op11_hard_negatives": HARD_NEGATIVES,
     "op13_quality_rules": QUALITY_RULES,
 }

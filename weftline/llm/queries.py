@@ -6,6 +6,7 @@ from weftline.llm.byte_bpe import op10_byte_bpe
 from weftline.llm.chat_format import op6_chat_format
 from weftline.llm.decontaminate import op5_decontaminate
 from weftline.llm.embedding_dedup import op7_embedding_dedup
+from weftline.llm.hard_negatives import op11_hard_negatives
 from weftline.llm.hmm_score import op4_hmm_score
 from weftline.llm.ngram_join import op1_ngram_join
 from weftline.llm.oracles import ORACLE_SQL
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_token_align": op12_token_align,
     "op13_quality_rules": op13_quality_rules,
 }
