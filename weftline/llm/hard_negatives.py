@@ -16,7 +16,7 @@ First pass: an anchor's positives, its best other rows of the same label. Second
 of other labels are returned. Ties go to the smaller vec_id.
 
 Rows with a null vec_id or label, a null vector, or a null or non-finite component take no part. Rows of one vec_id count once, by the
-least (label, vector). Vectors of different lengths aren't compared; empty ones have the score 0. Components saturate at 2^25 in size
+least label, then the least bytes of the vector. Vectors of different lengths aren't compared; empty ones have the score 0. Components saturate at 2^25 in size
 (|x| of 131,072), so scores fit a long. Columns other than vec_id, embedding and label don't matter; an empty table gives an empty result.
 """
 
