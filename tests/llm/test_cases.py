@@ -58,6 +58,16 @@ def test_empty_tables(spark, name):
     assert RUNS[name](spark, docs(spark, [])).count() == 0
 
 
+NAMES = ("a.b", "c0", "__weft_sha", "__weft_salt", "__weft_removed0", "__weft_row", "x`y", "Words")
+
+
+@pytest.mark.parametrize("name", sorted(FILTERS | {"without_repeats"}))
+def test_columns_of_any_name_pass_through(spark, name):
+    df = spark.createDataFrame([(1, "some words here", *range(8)), (2, LONG, *range(8))], ["doc_id", "text", *NAMES])
+    got = RUNS[name](spark, df)
+    assert got.columns == df.columns and all(tuple(r)[2:] == tuple(range(8)) for r in got.collect())
+
+
 def test_defined_results(spark):
     d = docs(spark)
     link = {r.doc_id: r for r in ngram_join.link(d).collect()}

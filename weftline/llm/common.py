@@ -36,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain_names(df: DataFrame, *kept: str) -> DataFrame:
+    """df with all but the columns kept renamed by place, so that no name (with a dot, or one that an operator uses) is in the way."""
+    return df.toDF(*(c if c in kept else f"c{k}" for k, c in enumerate(df.columns)))
+
+
 def crc_mod(col: str, m: int) -> Column:
     """crc32 of the column as text, modulo m; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % m, F.lit(0))

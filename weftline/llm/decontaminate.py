@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import small_batches, table, tidied
+from weftline.llm.common import plain_names, small_batches, table, tidied
 from weftline.session import cut
 
 WINDOW = 13
@@ -169,8 +169,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most: int = SHARD_BYTES
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
-    rows, (words, runs, _) = scanned(docs, benchmark, most)
-    return rows.where(~_contaminated(words, runs)[1]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    plain = plain_names(docs, "text")
+    rows, (words, runs, _) = scanned(plain, benchmark, most)
+    return rows.where(~_contaminated(words, runs)[1]).select(*plain.columns).toDF(*docs.columns)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

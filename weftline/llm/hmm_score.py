@@ -195,14 +195,10 @@ def counted(rows: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, most: int = EMITTED) -> list[tuple[bytes, int]]:
-    """Of (word, c): so many at most, by falling count; the end is always among them, first, if it is there."""
-    total, lowest = 0, 1 << 62
-    for r in counts.groupBy(F.floor(F.log2("c") * 8).alias("size")).agg(F.count("*").alias("k"), F.min("c").alias("c")).orderBy(F.desc("size")).collect():
-        total += r["k"]
-        if total > most:
-            break
-        lowest = r["c"]
-    got = counts.where((F.col("c") >= lowest) | (F.length("word") == 0)).toArrow()
+    """Of (word, c): so many, by falling count, ties to the lesser word; the end is one of them, first, if it is there."""
+    end = counts.where(F.length("word") == 0)
+    top = counts.where(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(most - 1)
+    got = end.unionByName(top).toArrow()
     return sorted(zip(got["word"].to_pylist(), got["c"].to_pylist()), key=lambda x: (x[0] != END, -x[1], x[0]))
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import small_batches, table, tidied
+from weftline.llm.common import plain_names, small_batches, table, tidied
 from weftline.llm.hashing import STURDY, fingerprints, mix, prefix_sums
 from weftline.operators.components import connected_components
 from weftline.session import cut, discard
@@ -343,11 +343,12 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stand for their component, one for each (of several rows of one doc_id, one with the least text); rows
     without a doc_id stay as they are."""
+    names, docs = docs.columns, plain_names(docs, "doc_id", "text")
     linked = link(docs, words, percent)
     kept = cut(linked.where("doc_id = component_id").select("doc_id").distinct())
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    row = F.struct(*docs.columns)
     with_id = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("__weft_id")).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("__weft_row"))
-    return with_id.select(*(F.col("__weft_row").getField(c).alias(c) for c in docs.columns)).unionByName(docs.where("doc_id is null"))
+    return with_id.select("__weft_row.*").unionByName(docs.where("doc_id is null")).toDF(*names)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

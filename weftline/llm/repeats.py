@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import small_batches, table, tidied
+from weftline.llm.common import plain_names, small_batches, table, tidied
 from weftline.llm.hashing import fingerprints, prefix_sums, slide
 from weftline.session import cut
 
@@ -377,6 +377,7 @@ def whole_characters(raw: bytes, spans: list[list[int]] | None) -> list[list[int
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """All rows of docs with what repeats cut out of their texts (whole characters only), n_chars following if there."""
+    names, docs = docs.columns, plain_names(docs, "doc_id", "text", "n_chars")
     columns = docs.columns
     at = columns.index("text")
 
@@ -395,8 +396,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     out = rows.mapInArrow(tidied(run), docs.schema)
     if "n_chars" in columns:
         size = F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType))
-        out = out.select(*(F.coalesce(size, F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns))
-    return out
+        out = out.withColumn("n_chars", F.coalesce(size, F.col("n_chars")))
+    return out.toDF(*names)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import crc_mod, small_batches, table, tidied
+from weftline.llm.common import crc_mod, plain_names, small_batches, table, tidied
 from weftline.session import trim
 
 #: Labelled rows of each class that the model is fitted on, and the most characters of one of them, in pieces of so many.
@@ -213,7 +213,8 @@ def keep_ordinary(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([scorer.score(t) < THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(tidied(run), docs.schema)
+    rows = plain_names(docs)
+    return rows.mapInArrow(tidied(run), rows.schema).toDF(*docs.columns)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
