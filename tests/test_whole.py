@@ -7,7 +7,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import paths, stats
+from weftline.operators import arrival, paths, stats
 from weftline.plans import registry
 from weftline.plans.sql import view
 
@@ -93,6 +93,32 @@ def test_arrival_by_blocks_and_slabs(spark, block, slab):
     assert paths.earliest_arrival(spark.createDataFrame([], "src long, dst long, at long"), spark.createDataFrame(seeds, "seed long, start long")).count() == 0
 
 
+def fewest_hops(events, seed, times):
+    """By levels over the events that come at their target's own time."""
+    times, hops, level = {**times, seed: min(times.values(), default=0) - 1}, {seed: 0}, 0
+    while True:
+        level += 1
+        new = {b for a, b, t in events if a in hops and hops[a] < level and times.get(b) == t and times[a] <= t and b not in hops}
+        if not new:
+            return {b: h for b, h in hops.items() if b != seed}
+        hops |= dict.fromkeys(new, level)
+
+
+@pytest.mark.parametrize("block, size", [(3, 6), (100, 10**6)])
+def test_arrival_with_hops(spark, block, size):
+    """Nodes split over buckets, many rounds, events of one instant in chains and circles."""
+    rng = np.random.default_rng(9)
+    events = [(int(a), int(b), int(t)) for a, b, t in zip(rng.integers(0, 14, 80) * rng.integers(0, 2, 80), rng.integers(0, 14, 80), rng.integers(0, 9, 80))]
+    seeds = [(k, int(rng.integers(0, 4))) for k in range(14)]
+    want = []
+    for k, start in seeds:
+        times = arrivals(events, k, start)
+        hops = fewest_hops(events, k, times)
+        want += [(k, b, t, hops[b]) for b, t in times.items()]
+    got = arrival.arrivals(spark.createDataFrame(events, "src long, dst long, at long"), spark.createDataFrame(seeds, "seed long, start long"), block, size)
+    assert len(want) > 60 and max(r[3] for r in want) > 3 and rows(got) == sorted(want)
+
+
 def test_all_seeds_and_users(spark, sf_dir):
     for whole, of in (("j19_neighbour_expansion", "pairs"), ("t16_unique_seeds", "pairs"), ("st08_holm", "post")):
         key = "u" if of == "post" else "src"

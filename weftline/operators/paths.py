@@ -10,16 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.arrival import BLOCK, BUCKET, arrivals
 from weftline.session import cut, discard
 
 #: Edges up to which strong components are found in one task; beyond, by colouring.
 SMALL = 200_000
-#: Seeds that go through the events together, and events that are broadcast at once.
-BLOCK, SLAB = 2048, 1_000_000
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
@@ -38,112 +36,9 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -
     return seen.where("hops > 0")
 
 
-def _sweep(reach: dict[int, int], waiting: list[tuple[int, int, int]], src: list[int], dst: list[int], at: list[int]) -> Iterator[tuple[int, int, int]]:
-    """(node, seeds that reach it now, time) of events in the order of time. reach has the seeds that have reached each node, as
-    bits; waiting has (start, node, bit) of seeds to come, the earliest last. Both go on being used."""
-    k, n = 0, len(at)
-    while k < n:
-        t, end = at[k], k + 1
-        while end < n and at[end] == t:
-            end += 1
-        while waiting and waiting[-1][0] <= t:
-            _, node, bit = waiting.pop()
-            reach[node] = reach.get(node, 0) | bit
-        changed = True
-        while changed:  # events of one instant follow each other in any order
-            changed = False
-            for i in range(k, end):
-                if here := reach.get(src[i]):
-                    there = reach.get(dst[i], 0)
-                    if new := (here | there) ^ there:
-                        reach[dst[i]] = there | new
-                        changed = end - k > 1
-                        yield dst[i], new, t
-        k = end
-
-
-def earliest_arrival(events: DataFrame, seeds: DataFrame, block: int = BLOCK, slab: int = SLAB) -> DataFrame:
-    """(seed, node, at) from events (src, dst, at: bigint) and seeds (seed, start): least time by a path of non-decreasing times.
-
-    One pass over the events in the order of time settles ``block`` seeds at once: a node's seeds are the bits of a number, and
-    an event passes on those that its target hasn't met. Blocks of seeds are tasks of their own. The events are broadcast in
-    slabs of about ``slab``, between which blocks keep their nodes' bits in a table; so the number of rounds follows the
-    number of events, not the length of paths, and no task holds more than a slab (an instant's events stay together) and
-    its block's bits. The seed is left out; rows with nulls count for nothing.
-    """
-    spark = events.sparkSession
-    e = cut(events.select("src", "dst", F.col("at").cast("long").alias("at")).where("src is not null and dst is not null and at is not null").distinct())
-    starts = seeds.where("seed is not null and start is not null").groupBy("seed").agg(F.min("start").cast("long").alias("start"))
-    blocks = max(1, -(-starts.count() // block))
-    starts = cut(starts.withColumn("block", F.pmod(F.xxhash64("seed"), F.lit(blocks))))
-    slabs = max(1, -(-e.count() // slab))
-    bounds = sorted(set(e.approxQuantile("at", [k / slabs for k in range(1, slabs)], 0.1 / slabs))) if slabs > 1 else []
-    schema = "block bigint, node bigint, bits binary, seed bigint, at bigint"
-    state, found = None, []
-    for lo, hi in zip([None, *bounds], [*bounds, None]):
-        part = e.where(F.lit(True) if lo is None else F.col("at") > lo).where(F.lit(True) if hi is None else F.col("at") <= hi).toArrow().sort_by("at")
-        shared = spark.sparkContext.broadcast(tuple(part[c].to_pylist() for c in ("src", "dst", "at")))
-        last = hi is None
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, lo=lo, hi=hi, last=last) -> Iterator[pa.RecordBatch]:
-            def settled(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-                own = sorted((r["seed"], r["at"]) for r in rows if r["seed"] is not None)
-                reach = {r["node"]: int.from_bytes(r["bits"], "little") for r in rows if r["bits"] is not None}
-                # those that started in a former slab are in the bits already
-                waiting = sorted(((t, s, 1 << k) for k, (s, t) in enumerate(own) if lo is None or t > lo), reverse=True)
-                names, wide = np.array([s for s, _ in own]), -(-len(own) // 8)
-                held, size = [], 0
-
-                def passed() -> pa.RecordBatch:
-                    seed = np.concatenate([x for x, _, _ in held])
-                    each = [x.size for x, _, _ in held]
-                    node, at = (np.repeat(np.array([h[c] for h in held]), each) for c in (1, 2))
-                    return _batch(rows[0]["block"], node, None, seed, at)
-
-                for node, new, t in _sweep(reach, waiting, *shared.value):
-                    some = names[np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(wide, "little"), np.uint8), bitorder="little"))]
-                    held.append((some[some != node], node, t))
-                    size += some.size
-                    if size > 100_000:
-                        yield passed()
-                        held, size = [], 0
-                if held:
-                    yield passed()
-                if not last:
-                    for t, node, bit in waiting:  # those that start before the next slab does
-                        if t <= hi:
-                            reach[node] = reach.get(node, 0) | bit
-                    nodes = list(reach)
-                    for k in range(0, len(nodes), 10_000):
-                        some = nodes[k : k + 10_000]
-                        yield _batch(rows[0]["block"], some, [reach[x].to_bytes(wide, "little") for x in some], None, None)
-
-            held: list[dict] = []
-            for b in batches:
-                for r in b.to_pylist():
-                    if held and held[0]["block"] != r["block"]:
-                        yield from settled(held)
-                        held = []
-                    held.append(r)
-            if held:
-                yield from settled(held)
-
-        rows = starts.select("block", F.lit(None).cast("long").alias("node"), F.lit(None).cast("binary").alias("bits"), "seed", F.col("start").alias("at"))
-        if state is not None:
-            rows = rows.unionByName(state)
-        out = cut(rows.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(run, schema))
-        found.append(out.where("seed is not null").select("seed", "node", "at"))
-        state = out.where("bits is not null")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every
-
-
-def _batch(block: int, node, bits, seed, at) -> pa.RecordBatch:
-    n = len(node)
-    column = lambda v, t: pa.nulls(n, t) if v is None else pa.array(v, t)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), column(node, pa.int64()), column(bits, pa.binary()), column(seed, pa.int64()), column(at, pa.int64())], ["block", "node", "bits", "seed", "at"])
+def earliest_arrival(events: DataFrame, seeds: DataFrame, block: int = BLOCK, size: int = BUCKET) -> DataFrame:
+    """(seed, node, at) of ``arrival.arrivals``, without hop counts."""
+    return arrivals(events, seeds, block, size, hops=False).drop("hops")
 
 
 def pagerank(edges: DataFrame, *keys: str, nodes: DataFrame | None = None, alpha: float = 0.85, rounds: int = 10, tolerance: float | None = None) -> DataFrame:

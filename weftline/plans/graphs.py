@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import graph, paths, simulate, spectral
+from weftline.operators import arrival, graph, paths, simulate, spectral
 from weftline.operators.components import connected_components
 from weftline.plans.registry import query
 from weftline.plans.sql import both, duck, view
@@ -223,6 +223,17 @@ def t14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.earliest_arrival(events, seeds).withColumnRenamed("at", "reached")
 
 
+@query(
+    "t14_arrival_hops",
+    duck(f"WITH {_ARRIVAL}, l(seed, node, tm) AS (SELECT seed, node, tm FROM r WHERE node <> seed UNION ALL SELECT DISTINCT src, src, CAST(1704672000 AS BIGINT) FROM e), t AS (SELECT DISTINCT a.seed, a.node AS s, b.node AS t FROM l b JOIN e ON e.dst = b.node AND e.tm = b.tm JOIN l a ON a.seed = b.seed AND a.node = e.src AND a.tm <= b.tm WHERE b.node <> b.seed), h(seed, node, hops) USING KEY (seed, node) AS (SELECT DISTINCT src, src, 0 FROM e UNION SELECT h.seed, t.t, min(h.hops + 1) FROM h JOIN t ON t.seed = h.seed AND t.s = h.node LEFT JOIN recurring.h c ON c.seed = h.seed AND c.node = t.t WHERE c.hops IS NULL OR h.hops + 1 < c.hops GROUP BY h.seed, t.t) SELECT l.seed, l.node, l.tm AS reached, CAST(h.hops AS INTEGER) AS hops FROM l JOIN h ON h.seed = l.seed AND h.node = l.node WHERE l.node <> l.seed", ("ix",)).replace("WITH ix", "WITH RECURSIVE ix", 1),
+)
+def t14_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From all sources, with the hop counts of paths of earliest arrival."""
+    events = view(spark, sf_dir, "ix").select("src", "dst", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    seeds = events.select(F.col("src").alias("seed")).distinct().withColumn("start", F.lit(1704672000).cast("long"))
+    return arrival.arrivals(events, seeds).withColumnRenamed("at", "reached")
+
+
 @query("v_t15_temporal_within_static", duck("SELECT CAST(0 AS BIGINT) AS violations"))
 def t15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds that reach more nodes in time than by any path: none."""
