@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import checks, text
-from weftline.operators import communities, graph, metrics, models, panel, paths, simulate, spectral, stats
+from weftline.operators import arrival, communities, graph, metrics, models, panel, simulate, spectral, stats
 from weftline.operators.components import connected_components
 from weftline.plans.graphs import _grid, x06
 from weftline.plans.panels import _FC, _LAB, _forecasts, _labels, _posts, t11
@@ -310,11 +310,41 @@ def t15(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = view(spark, sf_dir, "ix").select("src", "dst", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
     seeds = ix.select(F.col("src").alias("seed")).distinct()
     start = ix.agg(F.min("at").alias("start"))
-    timed = paths.earliest_arrival(ix, seeds.crossJoin(start)).groupBy("seed").agg(F.count("*").alias("t"))
-    static = paths.reachable(ix, seeds).groupBy("seed").agg(F.count("*").alias("s"))
+    timed = arrival.reach_sizes(ix, seeds.crossJoin(start)).withColumnRenamed("n", "t")  # a start for all
+    static = arrival.reach_sizes(ix.select("src", "dst"), seeds).withColumnRenamed("n", "s")
     return seeds.join(timed, "seed", "left").join(static, "seed", "left").select("seed", F.try_divide(F.coalesce("t", F.lit(0)), F.nullif("s", F.lit(0))).alias("ratio"))
 
 
+_STRENGTH = duck("SELECT src AS seed, count(*) AS w FROM ix GROUP BY src", ("ix",))
+_RATIOS = duck(f"WITH {_RATIO}", ("ix",)).replace("WITH ix", "WITH RECURSIVE ix", 1)
+#: Seeds of a stratum at most.
+STRATUM = 500
+
+
+def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stratum, seed, ratio): seeds by hash, and those with most events; a seed may be in both."""
+    strength = view(spark, sf_dir, "ix").groupBy(F.col("src").alias("seed")).agg(F.count("*").alias("w"))
+    drawn = strength.orderBy(F.sha2(F.concat(F.lit("42|"), F.col("seed").cast("string")), 256)).limit(STRATUM)
+    strong = strength.orderBy(F.desc("w"), "seed").limit(STRATUM)
+    both = drawn.select(F.lit("random").alias("stratum"), "seed").unionByName(strong.select(F.lit("high_out_strength").alias("stratum"), "seed"))
+    return both.join(t15(spark, sf_dir), "seed")
+
+
+@query(
+    "t15_reach_by_stratum",
+    f"WITH w AS ({_STRENGTH}), z AS (SELECT 'random' AS stratum, seed FROM (SELECT seed FROM w ORDER BY sha256('42|' || CAST(seed AS VARCHAR)) LIMIT {STRATUM}) x UNION ALL SELECT 'high_out_strength', seed FROM (SELECT seed FROM w ORDER BY w DESC, seed LIMIT {STRATUM}) y) SELECT stratum, count(*) AS seeds, count(*) - count(ratio) AS zero_static, round(avg(ratio), 9) AS mean_ratio, round(median(ratio), 9) AS median_ratio, round(min(ratio), 9) AS least_ratio FROM z JOIN ({_RATIOS}) q USING (seed) GROUP BY stratum",
+)
+def t15_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratio = F.col("ratio")
+    return _strata(spark, sf_dir).groupBy("stratum").agg(F.count("*").alias("seeds"), F.count_if(ratio.isNull()).alias("zero_static"), F.round(F.avg(ratio), 9).alias("mean_ratio"), F.round(F.median(ratio), 9).alias("median_ratio"), F.round(F.min(ratio), 9).alias("least_ratio"))
+
+
+@query("t15_stratum_bootstrap")
+def t15_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and median of a stratum's ratios with intervals of 2000 draws of its seeds, STRATUM at most."""
+    return stats.bootstrap(_strata(spark, sf_dir).where("ratio is not null"), "ratio", "stratum", draws=2000)
+
+
 @query("t09_conservation", "SELECT CAST(0 AS BIGINT) AS violations")
 def t09c(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panel.cohorts(t11(spark, sf_dir), "m", "y", "previous_available")

@@ -105,7 +105,7 @@ def g17(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("g18_descendants", duck(f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {ORDERS} x), r(seed, node) AS (SELECT src, dst FROM e UNION SELECT r.seed, e.dst FROM r JOIN e ON e.src = r.node) SELECT seed, count(*) AS descendants FROM r WHERE node <> seed GROUP BY seed"))
 def g18(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _orders(spark, sf_dir)
-    return paths.reachable(edges, edges.select(F.col("src").alias("seed")).distinct()).groupBy("seed").agg(F.count("*").alias("descendants"))
+    return arrival.reach_sizes(edges, edges.select(F.col("src").alias("seed")).distinct()).where("n > 0").withColumnRenamed("n", "descendants")
 
 
 both("g12_isolates_and_loops", "SELECT c_custkey AS node, p.n IS NULL AS isolated, coalesce(p.loops, 0) AS loops FROM customer LEFT JOIN (SELECT node, count(*) AS n, CAST(sum(l) AS BIGINT) AS loops FROM (SELECT src AS node, CASE WHEN src = dst THEN 1 ELSE 0 END AS l FROM pairs UNION ALL SELECT dst, 0 FROM pairs) x GROUP BY node) p ON c_custkey = p.node", ("pairs",))
@@ -239,7 +239,7 @@ def t15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds that reach more nodes in time than by any path: none."""
     ix = view(spark, sf_dir, "ix")
     temporal = t14(spark, sf_dir).groupBy("seed").agg(F.count("*").alias("t"))
-    static = paths.reachable(ix, ix.select(F.col("src").alias("seed")).distinct()).groupBy("seed").agg(F.count("*").alias("s"))
+    static = arrival.reach_sizes(ix.select("src", "dst"), ix.select(F.col("src").alias("seed")).distinct()).withColumnRenamed("n", "s")
     return temporal.join(static, "seed", "left").where("t > coalesce(s, 0)").agg(F.count("*").alias("violations"))
 
 
