@@ -119,6 +119,22 @@ def test_arrival_with_hops(spark, block, size):
     assert len(want) > 60 and max(r[3] for r in want) > 3 and rows(got) == sorted(want)
 
 
+@pytest.mark.parametrize("block, size", [(3, 6), (100, 10**6)])
+def test_reach_sizes(spark, block, size):
+    """In any order and in that of time, over small buckets and large ones, from seeds without events too."""
+    rng = np.random.default_rng(7)
+    events = [(int(a), int(b), int(t)) for a, b, t in zip(rng.integers(0, 20, 40), rng.integers(0, 20, 40), rng.integers(0, 9, 40))]
+    after = collections.defaultdict(set)
+    for a, b, _ in events:
+        after[a].add(b)
+    seeds = [*range(20), 77]
+    df = spark.createDataFrame(events, "src long, dst long, at long")
+    got = arrival.reach_sizes(df.drop("at"), spark.createDataFrame([(k,) for k in seeds], "seed long"), block, size)
+    assert rows(got) == [(k, len(reach(after, k) - {k}) if k in after else 0) for k in seeds]
+    got = arrival.reach_sizes(df, spark.createDataFrame([(k, 2) for k in seeds], "seed long, start long"), block, size)
+    assert rows(got) == [(k, len(arrivals(events, k, 2))) for k in seeds]
+
+
 def test_all_seeds_and_users(spark, sf_dir):
     for whole, of in (("j19_neighbour_expansion", "pairs"), ("t16_unique_seeds", "pairs"), ("st08_holm", "post")):
         key = "u" if of == "post" else "src"

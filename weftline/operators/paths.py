@@ -6,19 +6,17 @@ layers run in one loop, keyed by further columns.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.arrival import BLOCK, BUCKET, arrivals
+from weftline.operators.arrival import BLOCK, BUCKET, _labels, arrivals
 from weftline.session import cut, discard
 
-#: Edges up to which strong components are found in one task; beyond, by colouring.
-SMALL = 200_000
-
 
 def reachable(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(seed, node, hops) for all nodes reached from seeds (seed); the seed itself is left out, even on a cycle."""
@@ -69,98 +67,67 @@ def pagerank(edges: DataFrame, *keys: str, nodes: DataFrame | None = None, alpha
     return rank.select(*ks, "node", "rank")
 
 
-def _tarjan(src: np.ndarray, dst: np.ndarray) -> dict[int, int]:
-    """Least member of the strong component of each node, without recursion."""
-    after: dict[int, list[int]] = {}
-    for a, b in zip(src.tolist(), dst.tolist()):
-        after.setdefault(a, []).append(b)
-        after.setdefault(b, [])
-    index: dict[int, int] = {}
-    low: dict[int, int] = {}
-    stack, on, out = [], set(), {}
-    for start in after:
-        if start in index:
-            continue
-        work = [(start, iter(after[start]))]
-        index[start] = low[start] = len(index)
-        stack.append(start)
-        on.add(start)
-        while work:
-            v, more = work[-1]
-            for x in more:
-                if x not in index:
-                    index[x] = low[x] = len(index)
-                    stack.append(x)
-                    on.add(x)
-                    work.append((x, iter(after[x])))
-                    break
-                if x in on:
-                    low[v] = min(low[v], index[x])
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, part, root, next) from rows (node, part, side, bits) in the order of nodes: root is the least pivot that a node reaches and is
+    reached by, next the part that it is in if there is none."""
+    every = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("node", "part", "side", "bits"))))
+    out: list[tuple] = []
+
+    def passed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int32(), pa.string()))], ["node", "part", "root", "next"])
+
+    for node, rows in groupby(every, key=lambda r: r[0]):
+        own, sides = None, [0, 0]
+        for _, part, side, bits in rows:
+            if side is None:
+                own = part
             else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
-                if low[v] == index[v]:
-                    members = []
-                    while True:
-                        x = stack.pop()
-                        on.discard(x)
-                        members.append(x)
-                        if x == v:
-                            break
-                    out |= dict.fromkeys(members, min(members))
-    return out
-
-
-def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+                sides[side] |= int.from_bytes(bits, "little")
+        common = sides[0] & sides[1]
+        digest = hashlib.sha256(repr((own, *sides)).encode()).hexdigest()[:32]
+        out.append((node, own, (common & -common).bit_length() - 1 if common else None, digest))
+        if len(out) >= 20_000:
+            yield passed()
+            out = []
+    if out:
+        yield passed()
+
+
+def strong_components(edges: DataFrame, pivots: int = BLOCK, size: int = BUCKET) -> DataFrame:
     """(node, component): least member of each strong component, singletons too.
 
-    Nodes without an edge in or out are trimmed round by round. What is left of up to ``small`` edges is settled in one
-    task; more is coloured: labels flow forward, and what flows back to a label's own node within it is a component.
+    Forward and backward search from many pivots at once. Nodes that the same pivots reach, and that reach the same pivots, are one part: a
+    strong component never lies in two, so edges between parts go, and a pivot's bit serves in every part. Parts of up to ``pivots`` nodes are
+    settled by the next search, as all of their nodes are pivots; larger ones are split some ``pivots`` times, so rounds follow the logarithm
+    of the number of nodes to that base.
     """
     every = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     left = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    n = left.count()
-    while n:
-        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        kept = cut(kept, [left])
-        m = kept.count()
-        left = kept
-        if m == n:
-            break
-        n = m
-    found = None
-    while n > small:
-        colour = cut(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", F.col("node")))
-        while True:  # the greatest label that reaches a node
-            flow = left.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("new"))
-            up = cut(colour.join(flow, "node", "left").select("node", F.greatest("colour", F.coalesce("new", "colour")).alias("colour"), (F.coalesce("new", "colour") > F.col("colour")).alias("moved")), [colour])
-            colour = up.select("node", "colour")
-            if up.where("moved").isEmpty():
-                break
-        colour = cut(colour)
-        inside = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst").where("cs = cd")
-        back = reachable(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.where("node = colour").select(F.col("colour").alias("seed")))
-        part = back.select("node", F.col("seed").alias("root")).unionByName(colour.where("node = colour").select("node", F.col("colour").alias("root")))
-        least = part.groupBy("root").agg(F.min("node").alias("component"))
-        part = cut(part.join(least, "root").select("node", "component"))
-        found = part if found is None else cut(found.unionByName(part))
-        left = cut(left.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti"), [left])
-        n = left.count()
-
-    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(frames)
-        if held:
-            whole = pd.concat(held)
-            got = _tarjan(whole["src"].to_numpy(), whole["dst"].to_numpy())
-            yield pd.DataFrame({"node": list(got), "component": list(got.values())})
-
-    if n:
-        last = left.coalesce(1).mapInPandas(settle, "node bigint, component bigint")
-        found = last if found is None else found.unionByName(last)
-    if found is None:
+    parts, found = None, []
+    while not left.isEmpty():
+        nodes = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
+        nodes = cut(nodes.withColumn("part", F.lit("")) if parts is None else nodes.join(parts, "node"))
+        order = Window.partitionBy("part").orderBy(F.xxhash64("node"), "node")
+        chosen = nodes.withColumn("bit", F.row_number().over(order) - 1).where(F.col("bit") < pivots)
+        chosen = cut(chosen.select(F.col("node").alias("seed"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("block"), "bit"))
+        left = cut(left.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").withColumn("at", F.lit(0)), [left])
+        rows = nodes.select("node", "part", F.lit(None).cast("int").alias("side"), F.lit(None).cast("binary").alias("bits"))
+        for side, (a, b) in enumerate((("src", "dst"), ("dst", "src"))):
+            labels, *others = _labels(left.select(F.col(a).alias("src"), F.col(b).alias("dst"), "at"), chosen, size)
+            discard(*others)
+            rows = rows.unionByName(labels.select("node", F.lit(None).cast("string").alias("part"), F.lit(side).alias("side"), "bits"))
+        split = cut(rows.repartition("node").sortWithinPartitions("node").mapInArrow(_split, "node bigint, part string, root int, next string"))
+        least = split.where("root is not null").groupBy("part", "root").agg(F.min("node").alias("component"))
+        found.append(cut(split.join(least, ["part", "root"]).select("node", "component")))
+        parts = split.where("root is null").select("node", F.col("next").alias("part"))
+        ends = lambda c: parts.select(F.col("node").alias(c), F.col("part").alias(f"part_{c}"))
+        left = cut(left.select("src", "dst").join(ends("src"), "src").join(ends("dst"), "dst").where("part_src = part_dst").select("src", "dst"), [left])
+    if not found:
         return every.withColumn("component", F.col("node"))
-    return every.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    all_found = found[0]
+    for more in found[1:]:
+        all_found = all_found.unionByName(more)
+    return every.join(all_found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def bow_tie(edges: DataFrame) -> DataFrame:
@@ -177,8 +144,6 @@ def bow_tie(edges: DataFrame) -> DataFrame:
 
 def bow_tie_by(edges: DataFrame, strong: DataFrame, *keys: str) -> DataFrame:
     """(keys, node, region) for several graphs at once: strong has (node, component, keys), nodes being distinct among graphs."""
-    from pyspark.sql import Window
-
     sizes = strong.groupBy(*keys, "component").agg(F.count("*").alias("n"))
     first = Window.partitionBy(*keys).orderBy(F.desc("n"), F.desc("component"))
     core = cut(sizes.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("component", F.col("component").alias("seed")))  # a row for each key
