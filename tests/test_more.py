@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators import metrics, models, neural, spectral, stats
 from weftline.plans import more, registry
@@ -150,3 +151,21 @@ def test_directions_share_their_draws(spark, sf_dir):
     got = more.x11(spark, sf_dir, runs=3).collect()
     assert len(got) == len(more.CONFIGURATIONS) * len(more.DIRECTIONS) and {r.runs for r in got} == {3}
     assert {r.contrast for r in got if r.direction == "recorded"} == {0.0}
+
+
+@pytest.mark.parametrize("keys", [(), ("g",)])
+def test_running_sums_over_many_ranges(spark, keys):
+    """Against numpy; a key that is null and nulls to sum; no window without a partition in the plan."""
+    from weftline.operators import scan
+
+    rng = np.random.default_rng(4)
+    rows = [(None if g == 0 else int(g), int(v), None if x < 3 else int(x)) for g, v, x in zip(rng.integers(0, 3, 400), rng.permutation(400), rng.integers(0, 30, 400))]
+    df = spark.createDataFrame(rows, "g long, v long, x long").repartition(7)
+    got = scan.running(df, [F.desc("v")], {"n": F.lit(1), "sum": F.col("x")}, *keys)
+    want, total = [], {}
+    for g, v, x in sorted(rows, key=lambda r: -r[1]):
+        n, s = total.get(g if keys else 0, (0, 0))
+        total[g if keys else 0] = n + 1, s + (x or 0)
+        want.append((g, v, x, n + 1, s + (x or 0)))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
+    assert scan.running(df.where("v < 0"), [F.col("v")], {"n": F.lit(1)}, *keys).count() == 0

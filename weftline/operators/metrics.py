@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.scan import running
+
 
 def confusion(df: DataFrame, *keys: str, threshold: float = 0.5) -> DataFrame:
     hit = F.col("p") >= threshold
@@ -32,8 +34,8 @@ def _by_score(df: DataFrame, *keys: str) -> DataFrame:
 def roc_auc(df: DataFrame, *keys: str) -> DataFrame:
     """From average ranks over distinct scores; null if only one class is there."""
     s = _by_score(df, *keys)
-    w = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rank = F.sum("n").over(w) - (F.col("n") - 1) / 2
+    s = running(s, [F.col("p")], {"upto": F.col("n")}, *keys)
+    rank = F.col("upto") - (F.col("n") - 1) / 2
     sums = s.withColumn("r", rank * F.col("ones")).groupBy(*keys).agg(F.sum("r").alias("r"), F.sum("ones").alias("n1"), F.sum(F.col("n") - F.col("ones")).alias("n0"))
     return sums.select(*keys, F.try_divide(F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0")).alias("roc_auc"))
 
@@ -41,21 +43,21 @@ def roc_auc(df: DataFrame, *keys: str) -> DataFrame:
 def average_precision(df: DataFrame, *keys: str) -> DataFrame:
     """Sum of precision times the step in recall, tied scores as one step; null without ones."""
     s = _by_score(df, *keys)
-    w = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = s.withColumns({"precision": F.sum("ones").over(w) / F.sum("n").over(w)})
+    down = running(s, [F.desc("p")], {"hit": F.col("ones"), "flagged": F.col("n")}, *keys)
+    steps = down.withColumn("precision", F.col("hit") / F.col("flagged"))
     return steps.groupBy(*keys).agg(F.try_divide(F.sum(F.col("precision") * F.col("ones")), F.sum("ones")).alias("average_precision"))
 
 
 def best_threshold(df: DataFrame, *keys: str) -> DataFrame:
     """The score with the best macro-F1 as threshold, then balanced accuracy, then the smaller one."""
     s = _by_score(df, *keys)
-    down = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    counts = s.select(*keys, "p", F.sum("ones").over(down).alias("tp"), F.sum(F.col("n") - F.col("ones")).over(down).alias("fp"), F.sum("ones").over(whole).alias("n1"), F.sum(F.col("n") - F.col("ones")).over(whole).alias("n0"))
+    down = running(s, [F.desc("p")], {"tp": F.col("ones"), "fp": F.col("n") - F.col("ones")}, *keys)
+    whole = s.groupBy(*keys).agg(F.sum("ones").alias("n1"), F.sum(F.col("n") - F.col("ones")).alias("n0"))
+    counts = down.join(whole, list(keys)) if keys else down.crossJoin(F.broadcast(whole))  # one row
     c = counts.select(*keys, "p", "tp", "fp", (F.col("n1") - F.col("tp")).alias("fn"), (F.col("n0") - F.col("fp")).alias("tn"), F.lit(None).cast("double").alias("brier"))
     scored = scores(c, *keys, "p")
-    order = Window.partitionBy(*keys).orderBy(F.desc(F.round("macro_f1", 12)), F.desc(F.round("balanced_accuracy", 12)), "p")
-    return scored.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*keys, F.col("p").alias("threshold"), "macro_f1")
+    best = F.max(F.struct(F.round("macro_f1", 12).alias("f"), F.coalesce(F.round("balanced_accuracy", 12), F.lit(-1.0)).alias("b"), (-F.col("p")).alias("p"), "macro_f1"))
+    return scored.groupBy(*keys).agg(best.alias("best")).select(*keys, (-F.col("best.p")).alias("threshold"), "best.macro_f1")
 
 
 def replayed(saved: DataFrame, predictions: DataFrame, *keys: str, tolerance: float = 1e-12) -> DataFrame:

@@ -10,15 +10,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.scan import running
+
 
 def average_rank(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Adds rank_<value>, ties averaged, from counts by value: the window runs over distinct values only."""
+    """Adds rank_<value>, ties averaged, from running counts of distinct values."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = counts.select(*keys, value, (F.sum("_n").over(w) - (F.col("_n") - 1) / 2).cast("double").alias(f"rank_{value}"))
+    up = running(counts, [F.col(value)], {"_upto": F.col("_n")}, *keys)
+    ranks = up.select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / 2).cast("double").alias(f"rank_{value}"))
     return df.join(ranks, [*keys, value])
 
 
+def gini(df: DataFrame, value: str) -> DataFrame:
+    """Gini coefficient of a column of sizes: equal values have ranks that add up to their number times the average."""
+    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
+    up = running(counts, [F.col(value)], {"_upto": F.col("_n")})
+    n, x = F.sum("_n"), F.col(value).cast("double")
+    weighted = F.sum(x * F.col("_n") * (F.col("_upto") - (F.col("_n") - 1) / 2))
+    return up.agg((2 * weighted / (n * F.sum(x * F.col("_n"))) - (n + 1) / n).alias("gini"))
+
+
 def pearson(x: str | Column, y: str | Column) -> Column:
     """Null for a single row or a constant column."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

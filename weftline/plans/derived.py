@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import checks, text
 from weftline.operators import arrival, communities, graph, metrics, models, panel, simulate, spectral, stats
+from weftline.operators.scan import running
 from weftline.operators.components import connected_components
 from weftline.plans.graphs import _grid, x06
 from weftline.plans.panels import _FC, _LAB, _forecasts, _labels, _posts, t11
@@ -18,7 +19,6 @@ from weftline.plans.registry import query
 from weftline.plans.sql import both, duck, view
 
 # plain SQL for both engines
-both("k01_multi_key_sort", "SELECT c_mktsegment, c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) AS place FROM customer")
 both("k10_first_targets", "SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM pairs) x WHERE r <= 20", ("pairs",))
 both("j19_neighbour_expansion", "SELECT a.src AS seed, b.dst AS node, count(*) AS ways, CAST(sum(a.w * b.w) AS BIGINT) AS weight FROM pairs a JOIN pairs b ON a.dst = b.src GROUP BY a.src, b.dst", ("pairs",))
 both("a14_pivot", "SELECT u, max(CASE WHEN kind = 'view' THEN n END) AS n_view, max(CASE WHEN kind = 'click' THEN n END) AS n_click, max(CASE WHEN kind = 'error' THEN n END) AS n_error FROM (SELECT u, kind, count(*) AS n FROM post GROUP BY u, kind) x GROUP BY u", ("post",))
@@ -349,3 +349,9 @@ def t15_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t09c(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panel.cohorts(t11(spark, sf_dir), "m", "y", "previous_available")
     return rows.where("active <> evaluated + cold_start + ties").agg(F.count("*").alias("violations"))
+
+
+@query("k01_multi_key_sort", "SELECT c_mktsegment, c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) AS place FROM customer")
+def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return running(c, [F.col("c_mktsegment"), F.desc("c_acctbal"), F.col("c_custkey")], {"place": F.lit(1)}).select("c_mktsegment", "c_custkey", F.col("place").cast("int").alias("place"))

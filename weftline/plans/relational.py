@@ -1,6 +1,14 @@
 """Projections, filters, joins, aggregates, windows, sorting, sets and scalar functions."""
 
-from weftline.plans.sql import both
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.operators import stats
+from weftline.operators.scan import running
+from weftline.plans.registry import query
+from weftline.plans.sql import both, duck, view
 
 # projections, filters and predicates
 both("f01_project", "SELECT o_orderkey, o_totalprice, o_custkey FROM orders")
@@ -62,7 +70,6 @@ both("a19_outcomes", "SELECT o_orderpriority, count_if(o_orderstatus = 'F') AS o
 both("a20_mode_lexical", "SELECT g, kind FROM (SELECT u % 10 AS g, kind, row_number() OVER (PARTITION BY u % 10 ORDER BY count(*) DESC, kind) AS r FROM post GROUP BY u % 10, kind) x WHERE r = 1", ("post",))
 both("a21_first_peak", "SELECT kind, min_by(week, n * 100000 + $days(week; DATE '2024-01-01')$) AS trough, max_by(week, n * 100000 - $days(week; DATE '2024-01-01')$) AS peak FROM (SELECT kind, week, count(*) AS n FROM post GROUP BY kind, week) x GROUP BY kind", ("post",))
 both("a22_failure_product", "SELECT dst, round(1 - exp(sum(ln(1 - least(0.05E0 * w, 0.9E0)))), 9) AS exposure FROM pairs GROUP BY dst", ("pairs",))
-both("a25_gini", "WITH s AS (SELECT src, CAST(sum(w) AS DOUBLE) AS x FROM pairs GROUP BY src), r AS (SELECT x, row_number() OVER (ORDER BY x, src) AS i, count(*) OVER () AS n, sum(x) OVER () AS total FROM s) SELECT round(2 * sum(i * x) / (max(n) * max(total)) - (max(n) + 1) / CAST(max(n) AS DOUBLE), 9) AS gini FROM r", ("pairs",))
 both("a26_top_share", "WITH s AS (SELECT dst, CAST(sum(w) AS DOUBLE) AS x FROM pairs GROUP BY dst), r AS (SELECT x, row_number() OVER (ORDER BY x DESC, dst) AS i, count(*) OVER () AS n FROM s) SELECT round(sum(CASE WHEN i <= greatest(1, ceil(0.01E0 * n)) THEN x ELSE 0 END) / sum(x), 9) AS share FROM r", ("pairs",))
 both("a27_percent_of_total", "SELECT event_type, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 9) AS share FROM events GROUP BY event_type")
 both("a28_mean_of_means", "SELECT kind, round(avg(m), 6) AS mean FROM (SELECT kind, week, avg(value) AS m FROM post GROUP BY kind, week) x GROUP BY kind", ("post",))
@@ -75,13 +82,9 @@ both("w02_strictly_lagged", "SELECT u, week, CAST(sum(n) OVER (PARTITION BY u OR
 both("w03_cumulative_snapshots", "SELECT u, m, CAST(sum(k1) OVER (PARTITION BY u ORDER BY m) AS BIGINT) AS ones, CAST(sum(k0) OVER (PARTITION BY u ORDER BY m) AS BIGINT) AS zeros FROM lab", ("lab",))
 both("w04_first_period", "SELECT DISTINCT u, min(week) OVER (PARTITION BY u) AS first_week FROM post", ("post",))
 both("w05_last_before", "SELECT u, week, max(last) OVER (PARTITION BY u ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_before FROM (SELECT u, week, max($epoch(ts)$) AS last FROM post GROUP BY u, week) x", ("post",))
-both("w06_average_rank", "SELECT c_custkey, CAST(rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0E0 AS DOUBLE) AS r FROM (SELECT c_custkey, floor(c_acctbal / 100) AS b FROM customer) x")
-both("w07_percentile_rank", "SELECT c_custkey, round((rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0E0) / count(*) OVER (), 9) AS pct FROM (SELECT c_custkey, floor(c_acctbal / 100) AS b FROM customer) x")
 both("w08_top_lists", "SELECT metric, place, u FROM (SELECT metric, u, row_number() OVER (PARTITION BY metric ORDER BY v DESC, u) AS place FROM (SELECT u, 'posts' AS metric, CAST(count(*) AS DOUBLE) AS v FROM post GROUP BY u UNION ALL SELECT u, 'value', round(sum(value), 4) FROM post GROUP BY u) a) b WHERE place <= 10", ("post",))
 both("w09_first_difference", "SELECT kind, week, n - lag(n) OVER (PARTITION BY kind ORDER BY week) AS step FROM (SELECT kind, week, count(*) AS n FROM post GROUP BY kind, week) x", ("post",))
 both("w10_min_max", "SELECT src, round(coalesce((s - min(s) OVER ()) / nullif(max(s) OVER () - min(s) OVER (), 0), 0), 9) AS scaled FROM (SELECT src, CAST(sum(w) AS DOUBLE) AS s FROM pairs GROUP BY src) x", ("pairs",))
-both("w11_lorenz", "WITH s AS (SELECT src, CAST(sum(w) AS DOUBLE) AS x FROM pairs GROUP BY src), r AS (SELECT row_number() OVER (ORDER BY x, src) AS i, count(*) OVER () AS n, sum(x) OVER (ORDER BY x, src ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(x) OVER () AS share FROM s) SELECT round(i / CAST(n AS DOUBLE), 9) AS node_fraction, round(share, 9) AS strength_fraction FROM r", ("pairs",))
-both("w12_ccdf", "WITH d AS (SELECT src, count(*) AS k FROM pairs GROUP BY src), v AS (SELECT k, count(*) AS n FROM d GROUP BY k) SELECT k, round(sum(n) OVER (ORDER BY k DESC) / CAST(sum(n) OVER () AS DOUBLE), 9) AS p FROM v", ("pairs",))
 both("w14_local_index", "SELECT week, u, row_number() OVER (PARTITION BY week ORDER BY u) - 1 AS idx FROM (SELECT DISTINCT week, u FROM post) x", ("post",))
 
 # sorting and selection
@@ -92,7 +95,6 @@ both("k05_joint_selection", "SELECT c FROM (SELECT c, row_number() OVER (ORDER B
 both("k06_stratified_sample", "SELECT y, event_id FROM (SELECT y, event_id, row_number() OVER (PARTITION BY y ORDER BY $sha(concat('7|', CAST(event_id AS STRING)))$) AS r FROM post) x WHERE r <= 100", ("post",))
 both("k07_seed_draw", "SELECT run, node FROM (SELECT run, node, row_number() OVER (PARTITION BY run ORDER BY $sha(concat(CAST(run AS STRING), '|', CAST(node AS STRING)))$) AS r FROM nodes CROSS JOIN (SELECT $numbers(1; 5)$ AS run) q) x WHERE r <= 25", ("nodes",))
 both("k08_fan_out", "SELECT week, dst, src FROM (SELECT week, dst, src, row_number() OVER (PARTITION BY week, dst ORDER BY $sha(concat_ws('|', '42', CAST(week AS STRING), CAST(dst AS STRING), CAST(src AS STRING)))$) AS r FROM weekly WHERE src <> dst) x WHERE r <= 16", ("weekly",))
-both("k09_sampled_grid", "SELECT i, u FROM (SELECT row_number() OVER (ORDER BY u) - 1 AS i, u FROM (SELECT DISTINCT u FROM post) a) b WHERE i % 5 = 0", ("post",))
 
 # sets
 both("u01_endpoints", "SELECT src AS node FROM pairs UNION SELECT dst FROM pairs", ("pairs",))
@@ -131,3 +133,42 @@ both("m12_quantile_bins", "WITH q AS (SELECT $pct(d; 0.25)$ AS a, $pct(d; 0.5)$
 both("m13_log_bins", "SELECT CAST(floor(ln(value) / ln(2.0E0)) AS BIGINT) AS bin, count(*) AS n FROM events WHERE value > 0 GROUP BY 1")
 both("r05_null_handling", "SELECT event_id, coalesce(nullif(value, 0), -1.0E0) AS v, round(value / nullif(user_id % 3, 0), 6) AS ratio FROM events")
 both("r06_coercion", "SELECT event_id, try_cast(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, try_cast(event_type AS DOUBLE) AS bad FROM events")
+
+
+@query("w06_average_rank", duck("SELECT c_custkey, CAST(rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0E0 AS DOUBLE) AS r FROM (SELECT c_custkey, floor(c_acctbal / 100) AS b FROM customer) x"))
+def w06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.floor(F.col("c_acctbal") / 100).alias("b"))
+    return stats.average_rank(c, "b").select("c_custkey", F.col("rank_b").alias("r"))
+
+
+@query("w07_percentile_rank", duck("SELECT c_custkey, round((rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0E0) / count(*) OVER (), 9) AS pct FROM (SELECT c_custkey, floor(c_acctbal / 100) AS b FROM customer) x"))
+def w07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.floor(F.col("c_acctbal") / 100).alias("b"))
+    return stats.average_rank(c, "b").crossJoin(F.broadcast(c.agg(F.count("*").alias("n")))).select("c_custkey", F.round(F.col("rank_b") / F.col("n"), 9).alias("pct"))  # one row
+
+
+@query("a25_gini", duck("WITH s AS (SELECT src, CAST(sum(w) AS DOUBLE) AS x FROM pairs GROUP BY src), r AS (SELECT x, row_number() OVER (ORDER BY x, src) AS i, count(*) OVER () AS n, sum(x) OVER () AS total FROM s) SELECT round(2 * sum(i * x) / (max(n) * max(total)) - (max(n) + 1) / CAST(max(n) AS DOUBLE), 9) AS gini FROM r", ("pairs",)))
+def a25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strength = view(spark, sf_dir, "pairs").groupBy("src").agg(F.sum("w").alias("x"))
+    return stats.gini(strength, "x").select(F.round("gini", 9).alias("gini"))
+
+
+@query("w11_lorenz", duck("WITH s AS (SELECT src, CAST(sum(w) AS DOUBLE) AS x FROM pairs GROUP BY src), r AS (SELECT row_number() OVER (ORDER BY x, src) AS i, count(*) OVER () AS n, sum(x) OVER (ORDER BY x, src ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(x) OVER () AS share FROM s) SELECT round(i / CAST(n AS DOUBLE), 9) AS node_fraction, round(share, 9) AS strength_fraction FROM r", ("pairs",)))
+def w11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strength = view(spark, sf_dir, "pairs").groupBy("src").agg(F.sum("w").alias("x"))
+    whole = F.broadcast(strength.agg(F.count("*").alias("n"), F.sum("x").alias("total")))  # one row
+    up = running(strength, [F.col("x"), F.col("src")], {"i": F.lit(1), "upto": F.col("x")}).crossJoin(whole)
+    return up.select(F.round(F.col("i") / F.col("n"), 9).alias("node_fraction"), F.round(F.col("upto") / F.col("total"), 9).alias("strength_fraction"))
+
+
+@query("w12_ccdf", duck("WITH d AS (SELECT src, count(*) AS k FROM pairs GROUP BY src), v AS (SELECT k, count(*) AS n FROM d GROUP BY k) SELECT k, round(sum(n) OVER (ORDER BY k DESC) / CAST(sum(n) OVER () AS DOUBLE), 9) AS p FROM v", ("pairs",)))
+def w12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = view(spark, sf_dir, "pairs").groupBy("src").agg(F.count("*").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    down = running(sizes, [F.desc("k")], {"least": F.col("n")}).crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("total"))))  # one row
+    return down.select("k", F.round(F.col("least") / F.col("total"), 9).alias("p"))
+
+
+@query("k09_sampled_grid", duck("SELECT i, u FROM (SELECT row_number() OVER (ORDER BY u) - 1 AS i, u FROM (SELECT DISTINCT u FROM post) a) b WHERE i % 5 = 0", ("post",)))
+def k09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = view(spark, sf_dir, "post").select("u").distinct()
+    return running(users, [F.col("u")], {"i": F.lit(1)}).select((F.col("i") - 1).cast("int").alias("i"), "u").where("i % 5 = 0")
