@@ -170,11 +170,8 @@ def top_share(values: DataFrame, value: str, share: float, *keys: str) -> DataFr
     return placed.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_v") * used), F.sum(F.col("_v") * F.col("_k"))).alias("top_share"))
 
 
-def layer_statistics(edges: DataFrame, *keys: str) -> DataFrame:
-    """A row of statistics for each key: sizes, density, reciprocity, weak and strong components and bow tie of each key's graph in
-    one run (a node of a key is a node of its own), degrees, strengths and their concentration."""
-    from weftline.operators.components import connected_components
-    from weftline.operators.paths import bow_tie_by, strong_components
+def _apart(edges: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """All keys' graphs as one: numbers of nodes, (keys, node, id), and edges (src, dst) between numbers; no number is in two graphs."""
     from weftline.session import cut
 
     name = F.concat_ws("\x1f", *(F.col(k).cast("string") for k in keys), F.col("node").cast("string"))
@@ -182,6 +179,36 @@ def layer_statistics(edges: DataFrame, *keys: str) -> DataFrame:
     ids = cut(numbered(nodes.withColumn("_name", name), ["_name"]).select(*keys, "node", F.col("place").alias("id")))
     at = lambda c: ids.select(*keys, F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
     own = cut(edges.join(at("src"), [*keys, "src"]).join(at("dst"), [*keys, "dst"]).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")))
+    return ids, own
+
+
+def snapshot_statistics(edges: DataFrame, *keys: str) -> DataFrame:
+    """A row for each key: sizes, density and reciprocity without loops, largest weak and strong component, mean degrees and strengths.
+
+    Components of all keys' graphs are found in one run. Reciprocity is null where a graph has loops only.
+    """
+    from weftline.operators.components import connected_components
+    from weftline.operators.paths import strong_components
+
+    ids, own = _apart(edges, *keys)
+    found = {"largest_weak": connected_components(own.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "largest_strong": strong_components(own)}
+    out = summary(edges, *keys)
+    for n, parts in found.items():
+        sizes = ids.join(parts.withColumnRenamed("node", "id"), "id", "left").groupBy(*keys, F.coalesce("component", "id").alias("_c")).agg(F.count("*").alias("_k"))
+        out = out.join(sizes.groupBy(*keys).agg(F.max("_k").alias(n)), list(keys))
+    share = lambda c: F.col(c) / F.col("nodes")  # noqa: E731  every edge has one source and one target, so both means are equal
+    means = {f"mean_{side}_{kind}": share(c) for side in ("in", "out") for kind, c in (("degree", "edges"), ("strength", "events"))}
+    return out.select(*keys, "nodes", "edges", "events", F.col("density_without_loops").alias("density"), F.col("reciprocity_without_loops").alias("reciprocity"), *found, *(c.alias(n) for n, c in means.items()))
+
+
+def layer_statistics(edges: DataFrame, *keys: str) -> DataFrame:
+    """A row of statistics for each key: sizes, density, reciprocity, weak and strong components and bow tie of each key's graph in
+    one run (a node of a key is a node of its own), degrees, strengths and their concentration."""
+    from weftline.operators.components import connected_components
+    from weftline.operators.paths import bow_tie_by, strong_components
+    from weftline.session import cut
+
+    ids, own = _apart(edges, *keys)
     weak = connected_components(own.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     weak = ids.join(weak.withColumnRenamed("node", "id"), "id", "left").groupBy(*keys, F.coalesce("component", "id").alias("c")).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias("largest_weak"))
     strong = cut(strong_components(own).join(ids.select(*keys, F.col("id").alias("node")), "node"))

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.scan import last_known
+
 
 def asof(left: DataFrame, right: DataFrame, key: str, time: str, value: list[str], strict: bool = True) -> DataFrame:
     """Each left row with the values of the last right row of its key before it (or at its time, if not strict).
 
-    A union and one window per key; nothing is paired. Right rows are expected to be unique in (key, time).
+    A union in the order of key and time, dealt by ranges, with last values carried from range to range; nothing is paired, and a key of
+    any size is spread over tasks. Right rows are expected to be unique in (key, time).
     """
     carried = F.struct(F.col(time).alias("_at"), *value)
     a = left.withColumns({"_right": F.lit(None).cast(right.select(carried.alias("x")).schema["x"].dataType), "_order": F.lit(0 if strict else 1)})
     b = right.select(key, time, carried.alias("_right"), F.lit(1 if strict else 0).alias("_order"))
-    w = Window.partitionBy(key).orderBy(time, "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_last", F.last("_right", ignorenulls=True).over(w))
+    both = last_known(a.unionByName(b, allowMissingColumns=True), [time, "_order"], "_right", "_last", key)
     mine = F.col("_order") == (0 if strict else 1)
     return both.where(mine).select(*left.columns, *(F.col("_last")[v].alias(v) for v in value), F.col("_last")["_at"].alias("matched_at"))
 
