@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.scan import running
+
 
 def redirect(events: DataFrame, direction: str, reversed_kind: str = "click") -> DataFrame:
     """Swap endpoints: 'recorded', 'reversed', or 'layer_aware' (only events of one kind are turned round)."""
@@ -149,25 +151,21 @@ def scaled_messages(messages: DataFrame, fitted: DataFrame, columns: list[str])
 
 def gini(values: DataFrame, value: str, *keys: str) -> DataFrame:
     """(keys, gini) of non-negative values, from counts by value: ranks run over distinct values."""
-    from pyspark.sql import Window
-
     counts = values.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_k"))
-    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumn("_last", F.sum("_k").over(upto)).withColumn("_places", F.col("_k") * F.col("_last") - F.col("_k") * (F.col("_k") - 1) / 2)
+    placed = running(counts, [F.col("_v")], {"_last": F.col("_k")}, *keys).withColumn("_places", F.col("_k") * F.col("_last") - F.col("_k") * (F.col("_k") - 1) / 2)
     sums = placed.groupBy(*keys).agg(F.sum(F.col("_v") * F.col("_places")).alias("_a"), F.sum(F.col("_v") * F.col("_k")).alias("_t"), F.sum("_k").alias("_n"))
     return sums.select(*keys, F.try_divide(2 * F.col("_a") - (F.col("_n") + 1) * F.col("_t"), F.col("_n") * F.col("_t")).alias("gini"))
 
 
 def top_share(values: DataFrame, value: str, share: float, *keys: str) -> DataFrame:
     """(keys, top_share): what the largest ceil(share * n) values, one at least, have of the sum."""
-    from pyspark.sql import Window
-
     counts = values.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_k"))
-    upto = Window.partitionBy(*keys).orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    placed = counts.withColumn("_last", F.sum("_k").over(upto)).withColumn("_top", F.greatest(F.lit(1).cast("long"), F.ceil(share * F.sum("_k").over(whole))))
+    top = F.greatest(F.lit(1).cast("long"), F.ceil(share * F.sum("_k"))).alias("_top")
+    placed = running(counts, [F.desc("_v")], {"_last": F.col("_k")}, *keys)
+    whole = counts.groupBy(*keys).agg(top)
+    both = placed.join(whole, list(keys)) if keys else placed.crossJoin(F.broadcast(whole))  # one row
     used = F.greatest(F.lit(0).cast("long"), F.least("_k", F.col("_top") - (F.col("_last") - F.col("_k"))))
-    return placed.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_v") * used), F.sum(F.col("_v") * F.col("_k"))).alias("top_share"))
+    return both.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_v") * used), F.sum(F.col("_v") * F.col("_k"))).alias("top_share"))
 
 
 def _apart(edges: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:

@@ -30,6 +30,13 @@ def gini(df: DataFrame, value: str) -> DataFrame:
     return up.agg((2 * weighted / (n * F.sum(x * F.col("_n"))) - (n + 1) / n).alias("gini"))
 
 
+def min_max(df: DataFrame, *columns: str) -> DataFrame:
+    """Adds scaled_<column>, from 0 for the least to 1 for the greatest value; a constant column has zeros."""
+    ends = df.agg(*(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))))
+    scaled = {f"scaled_{c}": F.coalesce(F.try_divide((F.col(c) - F.col(f"_lo_{c}")).cast("double"), (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")).cast("double")), F.lit(0.0)) for c in columns}
+    return df.crossJoin(F.broadcast(ends)).withColumns(scaled).select(*df.columns, *scaled)  # one row
+
+
 def pearson(x: str | Column, y: str | Column) -> Column:
     """Null for a single row or a constant column."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

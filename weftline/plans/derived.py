@@ -29,7 +29,6 @@ both("m03_rounding", "SELECT event_id, CAST(floor(value) AS BIGINT) AS f, $ceil(
 both("g01_graph_from_list", "SELECT src, dst, CAST(sum(w) AS BIGINT) AS w FROM weekly GROUP BY src, dst", ("weekly",))
 both("g05_strength", "SELECT node, CAST(sum(s) AS BIGINT) AS strength FROM (SELECT src AS node, w AS s FROM pairs UNION ALL SELECT dst, w FROM pairs) x GROUP BY node", ("pairs",))
 both("t03_cumulative_panel", "WITH p AS (SELECT a.u, b.m, coalesce(l.k1, 0) AS k1, coalesce(l.k0, 0) AS k0 FROM (SELECT DISTINCT u FROM lab) a CROSS JOIN (SELECT DISTINCT m FROM lab) b LEFT JOIN lab l ON l.u = a.u AND l.m = b.m) SELECT u, m, CAST(sum(k1) OVER (PARTITION BY u ORDER BY m) AS BIGINT) AS ones, CAST(sum(k0) OVER (PARTITION BY u ORDER BY m) AS BIGINT) AS zeros FROM p", ("lab",))
-both("x03_seed_strategies", "WITH d AS (SELECT src AS node, CAST(sum(w) AS BIGINT) AS s, count(*) AS k FROM pairs GROUP BY src), a AS (SELECT node FROM (SELECT node, row_number() OVER (ORDER BY s DESC, node) AS r FROM d) x WHERE r <= 5), b AS (SELECT node FROM (SELECT d.node, row_number() OVER (ORDER BY d.k DESC, d.node) AS r FROM d LEFT JOIN a ON d.node = a.node WHERE a.node IS NULL) x WHERE r <= 5) SELECT 'strength' AS strategy, node FROM a UNION ALL SELECT 'degree', node FROM b", ("pairs",))
 both("st03_shared_draws_bootstrap", "WITH w AS (SELECT row_number() OVER (ORDER BY m) - 1 AS i, m, avg(CAST(k1 AS DOUBLE) / (k1 + k0)) AS a, avg(CASE WHEN k1 > k0 THEN 1.0E0 ELSE 0.0E0 END) AS b FROM lab GROUP BY m), n AS (SELECT count(*) AS n FROM w), d AS (SELECT $numbers(1; 200)$ AS draw), p AS (SELECT draw, (draw * 7919 + w.i * 104729 + draw * w.i * 31) % n AS pick FROM d CROSS JOIN w CROSS JOIN n), s AS (SELECT draw, avg(w.a) AS a, avg(w.b) AS b, avg(w.a - w.b) AS difference FROM p JOIN w ON p.pick = w.i GROUP BY draw) SELECT round($pct(a; 0.025)$, 7) AS a_lo, round($pct(a; 0.975)$, 7) AS a_hi, round($pct(b; 0.025)$, 7) AS b_lo, round($pct(b; 0.975)$, 7) AS b_hi, round($pct(difference; 0.025)$, 7) AS difference_lo, round($pct(difference; 0.975)$, 7) AS difference_hi FROM s", ("lab",))
 both("st05_paired_wins", "WITH x AS (SELECT week, count_if(y = 1) AS a, count_if(y = 0) AS b FROM post GROUP BY week) SELECT count_if(a - b > 1e-12) AS wins, count_if(b - a > 1e-12) AS losses, count_if(abs(a - b) <= 1e-12) AS ties FROM x", ("post",))
 both("st17_established", "SELECT kind, lo > 0 AND p < 0.05 AS established FROM (SELECT kind, avg(value) - 1.96E0 * stddev_samp(value) / sqrt(count(*)) - 5 AS lo, 1.0E0 / count(*) AS p FROM post GROUP BY kind) x", ("post",))

@@ -112,8 +112,6 @@ both("g12_isolates_and_loops", "SELECT c_custkey AS node, p.n IS NULL AS isolate
 both("g19_spreading_role", "SELECT node, CASE WHEN i = 0 AND o = 0 THEN 'isolated' WHEN o = 0 THEN 'receiver_only' WHEN o >= 50 THEN 'active_spreader' ELSE 'spreader' END AS role FROM (SELECT node, count_if(d = 'i') AS i, count_if(d = 'o') AS o FROM (SELECT dst AS node, 'i' AS d FROM pairs UNION ALL SELECT src, 'o' FROM pairs) x GROUP BY node) y", ("pairs",))
 both("g20_dominant_label", "SELECT u, CASE WHEN sum(k1) > sum(k0) THEN 'one' WHEN sum(k0) > sum(k1) THEN 'zero' ELSE 'tie' END AS dominant FROM lab GROUP BY u", ("lab",))
 both("g35_degree_buckets", "SELECT count_if(d >= 2) AS ge2, count_if(d >= 5) AS ge5, count_if(d >= 10) AS ge10, count_if(d >= 20) AS ge20, count(*) AS n FROM (SELECT src, count(*) AS d FROM pairs GROUP BY src) x", ("pairs",))
-both("g15_composite_score", "WITH d AS (SELECT src AS node, CAST(count(*) AS DOUBLE) AS k, CAST(sum(w) AS DOUBLE) AS s FROM pairs GROUP BY src) SELECT node, round(0.6E0 * coalesce((k - min(k) OVER ()) / nullif(max(k) OVER () - min(k) OVER (), 0), 0) + 0.4E0 * coalesce((s - min(s) OVER ()) / nullif(max(s) OVER () - min(s) OVER (), 0), 0), 9) AS trust FROM d", ("pairs",))
-both("g16_structural_influence", "WITH d AS (SELECT src AS node, CAST(count(*) AS DOUBLE) AS k, CAST(sum(w) AS DOUBLE) AS s FROM pairs GROUP BY src), r AS (SELECT node, (rank() OVER (ORDER BY k) + (count(*) OVER (PARTITION BY k) - 1) / 2.0E0) / count(*) OVER () AS pk, (rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0E0) / count(*) OVER () AS ps FROM d) SELECT node, round(0.6E0 * ps + 0.4E0 * pk, 9) AS influence FROM r", ("pairs",))
 
 
 def _pagerank_sql(source: str, rounds: int, key: str = "") -> str:
@@ -269,7 +267,5 @@ def x15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x06(spark, sf_dir).groupBy("cell", F.coalesce("outcome", F.lit("none")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-both("x01_weight_normalisation", "SELECT src, dst, round(w / CAST(max(w) OVER () AS DOUBLE), 9) AS by_max, round(ln(1.0E0 + w) / ln(1.0E0 + max(w) OVER ()), 9) AS by_log FROM pairs", ("pairs",))
 both("x02_transmission", "SELECT p.src, p.dst, round(least(1, greatest(0, 0.5E0 * w / 10 * (0.5E0 + 0.5E0 * least(1, abs(a.c_acctbal) / 10000)) * (0.5E0 + 0.5E0 * least(1, abs(b.c_acctbal) / 10000)))), 9) AS p FROM pairs p JOIN customer a ON p.src = a.c_custkey JOIN customer b ON p.dst = b.c_custkey", ("pairs",))
 both("x05_competition_rule", "SELECT src, dst, round(0.5E0 + 0.5E0 * (a - b) / (a + b), 9) AS by_difference, round(a / (a + b), 9) AS proportional FROM (SELECT src, dst, CAST(w AS DOUBLE) AS a, 1.0E0 AS b FROM pairs) x", ("pairs",))
-both("x13_mean_preserving_flattening", "SELECT src, dst, round(avg(CAST(w AS DOUBLE)) OVER (), 9) AS flat FROM pairs", ("pairs",))

@@ -70,7 +70,6 @@ both("a19_outcomes", "SELECT o_orderpriority, count_if(o_orderstatus = 'F') AS o
 both("a20_mode_lexical", "SELECT g, kind FROM (SELECT u % 10 AS g, kind, row_number() OVER (PARTITION BY u % 10 ORDER BY count(*) DESC, kind) AS r FROM post GROUP BY u % 10, kind) x WHERE r = 1", ("post",))
 both("a21_first_peak", "SELECT kind, min_by(week, n * 100000 + $days(week; DATE '2024-01-01')$) AS trough, max_by(week, n * 100000 - $days(week; DATE '2024-01-01')$) AS peak FROM (SELECT kind, week, count(*) AS n FROM post GROUP BY kind, week) x GROUP BY kind", ("post",))
 both("a22_failure_product", "SELECT dst, round(1 - exp(sum(ln(1 - least(0.05E0 * w, 0.9E0)))), 9) AS exposure FROM pairs GROUP BY dst", ("pairs",))
-both("a26_top_share", "WITH s AS (SELECT dst, CAST(sum(w) AS DOUBLE) AS x FROM pairs GROUP BY dst), r AS (SELECT x, row_number() OVER (ORDER BY x DESC, dst) AS i, count(*) OVER () AS n FROM s) SELECT round(sum(CASE WHEN i <= greatest(1, ceil(0.01E0 * n)) THEN x ELSE 0 END) / sum(x), 9) AS share FROM r", ("pairs",))
 both("a27_percent_of_total", "SELECT event_type, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 9) AS share FROM events GROUP BY event_type")
 both("a28_mean_of_means", "SELECT kind, round(avg(m), 6) AS mean FROM (SELECT kind, week, avg(value) AS m FROM post GROUP BY kind, week) x GROUP BY kind", ("post",))
 both("a29_percentile_band", "SELECT week, round($pct(n; 0.05)$, 6) AS p05, round($pct(n; 0.95)$, 6) AS p95 FROM (SELECT week, u, CAST(count(*) AS DOUBLE) AS n FROM post GROUP BY week, u) x GROUP BY week", ("post",))
@@ -84,7 +83,6 @@ both("w04_first_period", "SELECT DISTINCT u, min(week) OVER (PARTITION BY u) AS
 both("w05_last_before", "SELECT u, week, max(last) OVER (PARTITION BY u ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_before FROM (SELECT u, week, max($epoch(ts)$) AS last FROM post GROUP BY u, week) x", ("post",))
 both("w08_top_lists", "SELECT metric, place, u FROM (SELECT metric, u, row_number() OVER (PARTITION BY metric ORDER BY v DESC, u) AS place FROM (SELECT u, 'posts' AS metric, CAST(count(*) AS DOUBLE) AS v FROM post GROUP BY u UNION ALL SELECT u, 'value', round(sum(value), 4) FROM post GROUP BY u) a) b WHERE place <= 10", ("post",))
 both("w09_first_difference", "SELECT kind, week, n - lag(n) OVER (PARTITION BY kind ORDER BY week) AS step FROM (SELECT kind, week, count(*) AS n FROM post GROUP BY kind, week) x", ("post",))
-both("w10_min_max", "SELECT src, round(coalesce((s - min(s) OVER ()) / nullif(max(s) OVER () - min(s) OVER (), 0), 0), 9) AS scaled FROM (SELECT src, CAST(sum(w) AS DOUBLE) AS s FROM pairs GROUP BY src) x", ("pairs",))
 both("w14_local_index", "SELECT week, u, row_number() OVER (PARTITION BY week ORDER BY u) - 1 AS idx FROM (SELECT DISTINCT week, u FROM post) x", ("post",))
 
 # sorting and selection
