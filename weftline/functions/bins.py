@@ -21,12 +21,6 @@ def right_closed(x: Column, edges: list[float]) -> Column:
     return out
 
 
-def quantile_bin(df: DataFrame, column: str, quantiles: list[float]) -> DataFrame:
-    """Adds bin: how many distinct quantiles lie below the value."""
-    cuts = df.agg(F.array_distinct(F.percentile(column, F.array(*map(F.lit, quantiles)))).alias("_cuts"))  # one row
-    return df.crossJoin(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("_cuts", lambda q: q < F.col(column)))).drop("_cuts")
-
-
 def grid_index(n: int, most: int = 501) -> list[int]:
     """At most so many evenly spaced places from 0 to n."""
     return sorted({int(n * k / (most - 1)) for k in range(most)})

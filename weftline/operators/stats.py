@@ -186,11 +186,19 @@ def bootstrap(df: DataFrame, value: str, *keys: str, draws: int = 2000, seed: in
     return df.groupBy(*keys).applyInPandas(one, schema)
 
 
-def block_indices(n: int, length: int, draws: int, seed: int = 42) -> np.ndarray:
-    """Moving blocks, not circular, cut to n."""
+def block_means(x: np.ndarray, length: int, draws: int, seed: int = 42) -> np.ndarray:
+    """Means of so many draws of whole blocks of x in a row, which don't wrap around, the last one cut so that a draw has the size of x.
+
+    A block's sum is a difference of running sums, so no draw is written out: a draw is a few places in them.
+    """
+    upto = np.concatenate(([0.0], np.cumsum(x)))
+    whole, rest = divmod(x.size, length)
     rng = np.random.default_rng(seed)
-    starts = rng.integers(0, n - length + 1, (draws, -(-n // length)))
-    return (starts[:, :, None] + np.arange(length)).reshape(draws, -1)[:, :n]
+    total = np.zeros(draws)
+    for part in [length] * whole + [rest] * (rest > 0):
+        first = rng.integers(x.size - length, size=draws, endpoint=True)
+        total += upto[first + part] - upto[first]
+    return total / x.size
 
 
 def permutation_test(df: DataFrame, x: str, y: str, *keys: str, stratum: str | None = None, draws: int = 2000, seed: int = 42, centred: bool = True) -> DataFrame:

@@ -20,9 +20,7 @@ from weftline.plans.sql import both, duck, view
 
 # plain SQL for both engines
 both("k10_first_targets", "SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM pairs) x WHERE r <= 20", ("pairs",))
-both("j19_neighbour_expansion", "SELECT a.src AS seed, b.dst AS node, count(*) AS ways, CAST(sum(a.w * b.w) AS BIGINT) AS weight FROM pairs a JOIN pairs b ON a.dst = b.src GROUP BY a.src, b.dst", ("pairs",))
 both("a14_pivot", "SELECT u, max(CASE WHEN kind = 'view' THEN n END) AS n_view, max(CASE WHEN kind = 'click' THEN n END) AS n_click, max(CASE WHEN kind = 'error' THEN n END) AS n_error FROM (SELECT u, kind, count(*) AS n FROM post GROUP BY u, kind) x GROUP BY u", ("post",))
-both("a24_quantile_summary", "SELECT kind, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round($pct(value; 0.5)$, 6) AS median, round($pct(value; 0.75)$ - $pct(value; 0.25)$, 6) AS iqr FROM post GROUP BY kind", ("post",))
 both("w13_running_max", "SELECT kind, week, max(n) OVER (PARTITION BY kind ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM (SELECT kind, week, count(*) AS n FROM post GROUP BY kind, week) x", ("post",))
 both("d08_epoch_seconds", "SELECT event_id, $epoch(ts)$ AS seconds FROM events")
 both("m03_rounding", "SELECT event_id, CAST(floor(value) AS BIGINT) AS f, $ceil(value)$ AS c, CAST(round(value * 10 + 0.05E0) AS BIGINT) AS r FROM events")
@@ -212,7 +210,7 @@ def st06(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = f.sort_values("d")["v"].to_numpy()
         out = {"kind": [f["kind"].iloc[0]]}
         for length in (3, 4):
-            means = x[stats.block_indices(len(x), min(length, len(x)), 1000)].mean(1)
+            means = stats.block_means(x, min(length, len(x)), 10_000)
             out |= {f"lo_{length}": [float(np.quantile(means, 0.025))], f"hi_{length}": [float(np.quantile(means, 0.975))]}
         return pd.DataFrame(out)
 

@@ -57,7 +57,6 @@ both("a05_conditional", "SELECT u, count_if(y = 0) AS zeros, count_if(y = 1) AS
 both("a06_weighted_mean", "SELECT u, round(sum(mean * n) / nullif(sum(n), 0), 6) AS cumulative_mean FROM (SELECT u, week, avg(value) AS mean, count(*) AS n FROM post GROUP BY u, week) x GROUP BY u", ("post",))
 both("a07_sum_min_count", "SELECT event_type, sum(CASE WHEN value > 1e9 THEN value END) AS total FROM events GROUP BY event_type")
 both("a08_class_statistics", "SELECT y, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS sd, round(avg(CASE WHEN value > 10 THEN 1.0E0 ELSE 0.0E0 END), 6) AS share FROM post GROUP BY y", ("post",))
-both("a09_describe", "SELECT count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, min(value) AS lo, round($pct(value; 0.25)$, 6) AS q25, round($pct(value; 0.5)$, 6) AS q50, round($pct(value; 0.75)$, 6) AS q75, max(value) AS hi FROM events")
 both("a10_flattened", "SELECT l_returnflag, round(avg(l_quantity), 6) AS quantity_mean, round(stddev_samp(l_quantity), 6) AS quantity_std, median(l_quantity) AS quantity_median, min(l_tax) AS tax_min, max(l_tax) AS tax_max FROM lineitem GROUP BY l_returnflag")
 both("a11_value_counts", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority")
 both("a12_crosstab", "SELECT week, count_if(kind = 'view') AS n_view, count_if(kind = 'click') AS n_click, count_if(kind = 'refund') AS n_refund FROM post GROUP BY week", ("post",))
@@ -72,7 +71,6 @@ both("a21_first_peak", "SELECT kind, min_by(week, n * 100000 + $days(week; DATE
 both("a22_failure_product", "SELECT dst, round(1 - exp(sum(ln(1 - least(0.05E0 * w, 0.9E0)))), 9) AS exposure FROM pairs GROUP BY dst", ("pairs",))
 both("a27_percent_of_total", "SELECT event_type, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 9) AS share FROM events GROUP BY event_type")
 both("a28_mean_of_means", "SELECT kind, round(avg(m), 6) AS mean FROM (SELECT kind, week, avg(value) AS m FROM post GROUP BY kind, week) x GROUP BY kind", ("post",))
-both("a29_percentile_band", "SELECT week, round($pct(n; 0.05)$, 6) AS p05, round($pct(n; 0.95)$, 6) AS p95 FROM (SELECT week, u, CAST(count(*) AS DOUBLE) AS n FROM post GROUP BY week, u) x GROUP BY week", ("post",))
 both("a30_pooled_layers", "SELECT coalesce(kind, 'pooled') AS layer, count(*) AS events, count(DISTINCT src) AS sources FROM ix GROUP BY GROUPING SETS ((kind), ())", ("ix",))
 
 # windows
@@ -127,7 +125,6 @@ both("m06_sha256", "SELECT event_id, $sha(props)$ AS h FROM events")
 both("m09_sign_bucket", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'positive' WHEN c_acctbal < 0 THEN 'negative' ELSE 'neutral' END AS exact, CASE WHEN c_acctbal > 1e-12 THEN 1 WHEN c_acctbal < -1e-12 THEN -1 ELSE 0 END AS band FROM customer")
 both("m10_histogram", "WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT CAST(least(floor((value - lo) / nullif((hi - lo) / 30, 0)), 29) AS BIGINT) AS bin, count(*) AS n FROM events CROSS JOIN r GROUP BY 1")
 both("m11_fixed_edges", "SELECT CASE WHEN l_discount <= 0.02E0 THEN 0 WHEN l_discount <= 0.05E0 THEN 1 WHEN l_discount <= 0.08E0 THEN 2 ELSE 3 END AS bin, count(*) AS n FROM lineitem GROUP BY 1")
-both("m12_quantile_bins", "WITH q AS (SELECT $pct(d; 0.25)$ AS a, $pct(d; 0.5)$ AS b, $pct(d; 0.75)$ AS c FROM (SELECT src, CAST(count(*) AS DOUBLE) AS d FROM pairs GROUP BY src) x) SELECT src, CASE WHEN d > a THEN 1 ELSE 0 END + CASE WHEN d > b AND b > a THEN 1 ELSE 0 END + CASE WHEN d > c AND c > b THEN 1 ELSE 0 END AS bin FROM (SELECT src, CAST(count(*) AS DOUBLE) AS d FROM pairs GROUP BY src) y CROSS JOIN q", ("pairs",))
 both("m13_log_bins", "SELECT CAST(floor(ln(value) / ln(2.0E0)) AS BIGINT) AS bin, count(*) AS n FROM events WHERE value > 0 GROUP BY 1")
 both("r05_null_handling", "SELECT event_id, coalesce(nullif(value, 0), -1.0E0) AS v, round(value / nullif(user_id % 3, 0), 6) AS ratio FROM events")
 both("r06_coercion", "SELECT event_id, try_cast(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, try_cast(event_type AS DOUBLE) AS bad FROM events")
