@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weftline.functions import checks, text
 from weftline.operators import arrival, communities, graph, metrics, models, panel, simulate, spectral, stats
 from weftline.operators.scan import running
+from weftline.operators.stats import block_means
 from weftline.operators.components import connected_components
 from weftline.plans.graphs import _grid, x06
 from weftline.plans.panels import _FC, _LAB, _forecasts, _labels, _posts, t11
@@ -210,7 +211,7 @@ def st06(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = f.sort_values("d")["v"].to_numpy()
         out = {"kind": [f["kind"].iloc[0]]}
         for length in (3, 4):
-            means = stats.block_means(x, min(length, len(x)), 10_000)
+            means = block_means(x, min(length, len(x)), 10_000)
             out |= {f"lo_{length}": [float(np.quantile(means, 0.025))], f"hi_{length}": [float(np.quantile(means, 0.975))]}
         return pd.DataFrame(out)
 
