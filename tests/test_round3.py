@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.operators import simulate
 from weftline.plans import registry
 from weftline.session import cut, discard
 
@@ -17,3 +18,23 @@ def test_functions_sent_out_carry_no_session(spark, sf_dir):
 
     assert spark.range(2).select(F.udf(lambda x: len(whole.__name__), "int")("id").alias("n")).distinct().count() == 1
     discard(table)
+
+
+@pytest.mark.parametrize("independent, normalisation", [(False, "max"), (True, "log")])
+def test_spreading_over_tables_gives_the_same_runs(spark, monkeypatch, independent, normalisation):
+    """Graphs of any size: before, more than a bound were refused, and all of a graph went through the driver."""
+    rng = np.random.default_rng(5)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 60, (400, 2))} | {(99, 3)}
+    edges = spark.createDataFrame([(a * 7, b * 7, int(rng.integers(1, 5))) for a, b in sorted(pairs)], "src long, dst long, w long")
+    grid = spark.createDataFrame([("a", 1.0, 1.0, 0.25), ("b", 1.5, 0.0, 0.0), ("c", 0.0, 0.0, 0.5)], "cell string, beta_0 double, beta_1 double, gamma double")
+    monkeypatch.setattr(simulate, "BUCKET", 150)
+    monkeypatch.setattr(simulate, "LANES", 4)
+    run = lambda small: sorted(map(str, simulate.simulate(edges, grid, 3, seeds=2, normalisation=normalisation, independent=independent, steps=6, small=small).collect()))
+    whole = run(10_000)
+    assert len(whole) == 9 and run(0) == whole
+
+
+def test_keyed_draws_of_many_runs_are_those_of_each():
+    ids, runs = np.arange(40), np.arange(40) % 7
+    want = [simulate.keyed_uniform(ids[i : i + 1], int(runs[i]), 3, 1)[0] for i in range(40)]
+    assert np.array_equal(simulate.keyed_uniform(ids, runs, 3, 1), want)
