@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.llm import repeats
 from weftline.operators import neural, simulate
 from weftline.plans import registry
 from weftline.session import cut, discard
@@ -114,3 +115,18 @@ def test_graph_models_over_rows_are_those_over_graphs(spark, monkeypatch):
         want = dict(zip(labels[-1][0], p[part == 2]))
         mine = got[got["model"] == model].set_index("node")["p1"]
         assert set(mine.index) == set(want) and all(mine[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
+@pytest.mark.parametrize("copies", [5, 40])
+def test_windows_of_near_copies_are_as_many_as_their_bytes(copies):
+    """Runs split a text's windows, so what is exploded is linear in the distinct texts (no change of code; holds what the reply says)."""
+    rng = np.random.default_rng(1)
+    body = rng.integers(97, 123, 1500, dtype=np.uint8)
+    total = 0
+    for k in range(copies):
+        text = body.copy()
+        text[k * 7] = 65
+        first, last, *_ = repeats.runs(text)
+        assert first[0] == 0 and np.array_equal(first[1:], last[:-1] + 1)
+        total += int((last - first + 1).sum())
+    assert total == copies * (1500 - repeats.LENGTH + 1)
