@@ -14,8 +14,9 @@ Only suffixes that can have a partner are sorted, bucket by bucket:
    at the shift at which both suffixes reach the cover, so no two suffixes are compared byte by byte however long they
    agree. Suffixes of equal rank agree over the whole length.
 
-A bucket with more than ``CLASSES`` classes (an edge of a passage that very many texts share) isn't sorted in one task:
-its windows are counted by the shuffle, by 64-bit hashes within the bucket, which gives the same result for any size.
+A bucket with more than ``CLASSES`` classes (an edge of a passage that very many texts share) isn't sorted in one task: its windows are
+dealt by 64-bit hashes to a part for each ``PART`` classes, in a row for each class and part, and those that a part has twice are found by
+their hashes, which gives the same result for any size.
 Stretches and texts are taken as equal by hashes too (128 bits with the anchor, 128 bits).
 
 Null and empty texts have no bytes. Rows are kept one for one, whatever their ids; repeated rows are copies, so they lose
@@ -50,6 +51,8 @@ COVER, DIFFERENCE_COVER = 3, (0, 1)
 HEAD = 16
 #: Classes of a bucket that one task sorts at most, and bytes of a block of buckets that are sorted together.
 CLASSES, BLOCK = 2000, 300_000
+#: Classes of a larger bucket to a part, which a task counts.
+PART = 250
 #: Rows of copies of one text are dealt to so many tasks.
 SALTS = 32
 
@@ -237,19 +240,19 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = _cells("anchor sha first n bytes windows", binary)
+            out = _cells("anchor sha first n bytes windows k", binary)
             for sha, raw, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 for a in asked:
                     lo, hi = a["first"], a["last"]
                     big = a["k"] > CLASSES
                     # a signed hash for each window of a bucket that isn't sorted in one task
                     windows = np.array([xxhash.xxh3_64_intdigest(raw[i : i + length]) for i in range(lo, hi + 1)], np.uint64).view(np.int64) if big else None
-                    for k, v in (("anchor", a["anchor"]), ("sha", sha), ("first", lo), ("n", a["n"]), ("bytes", None if big else raw[lo : hi + length]), ("windows", windows)):
+                    for k, v in (("anchor", a["anchor"]), ("sha", sha), ("first", lo), ("n", a["n"]), ("bytes", None if big else raw[lo : hi + length]), ("windows", windows), ("k", a["k"])):
                         out[k][0].append(v)
             yield _batch(out)
 
     small_batches(spark, 64)
-    pieces = cut(sources.mapInArrow(tidied(cut_out), "anchor bigint, sha binary, first bigint, n bigint, bytes binary, windows array<bigint>"))
+    pieces = cut(sources.mapInArrow(tidied(cut_out), "anchor bigint, sha binary, first bigint, n bigint, bytes binary, windows array<bigint>, k bigint"))
 
     def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Buckets come one after the other; a block of whole ones is sorted at a time."""
@@ -274,11 +277,52 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 size += len(r["bytes"])
         yield sorted_out()
 
-    small = pieces.where("bytes is not null").drop("windows").repartition("anchor").sortWithinPartitions("anchor")
+    small = pieces.where("bytes is not null").drop("windows", "k").repartition("anchor").sortWithinPartitions("anchor")
     small = small.mapInArrow(tidied(sort_blocks), "sha binary, lo bigint, hi bigint")
-    windows = pieces.where("windows is not null").select("anchor", "sha", "n", F.posexplode("windows").alias("k", "window"), F.col("first")).withColumn("at", F.col("first") + F.col("k"))
-    twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("m")).where("m > 1").select("anchor", "window")
-    large = windows.where("n = 1").join(twice, ["anchor", "window"], "left_semi").select("sha", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows of a class, dealt by their hashes to parts of its bucket: a row for each part that has any."""
+        for b in batches:
+            out = _cells("anchor part sha first n places windows", dealt)
+            for anchor, sha, first, n, windows, k in zip(*(b.column(c).to_pylist() for c in range(6))):
+                each = np.array(windows, np.int64)
+                part = each % -(-k // PART)
+                order = np.argsort(part, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                    for c, v in (("anchor", anchor), ("part", int(part[own[0]])), ("sha", sha), ("first", first), ("n", n), ("places", own.astype(np.int32).tobytes()), ("windows", each[own].tobytes())):
+                        out[c][0].append(v)
+            yield _batch(out)
+
+    def count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts come one after the other. Of one, distinct hashes are held, each with its place until it comes again."""
+        current, seen = None, {}
+        for b in batches:
+            out = _cells("sha lo hi", binary)
+
+            def add(sha: bytes, first: int, places: list[int]) -> None:
+                for lo, hi in united([(first + i, first + i + length) for i in places]):
+                    for c, v in (("sha", sha), ("lo", lo), ("hi", hi)):
+                        out[c][0].append(v)
+
+            for anchor, part, sha, first, n, places, windows in zip(*(b.column(c).to_pylist() for c in range(7))):
+                if current != (anchor, part):
+                    current, seen = (anchor, part), {}
+                row, twice = (sha, first), []
+                for place, window in zip(np.frombuffer(places, np.int32).tolist(), np.frombuffer(windows, np.int64).tolist()):
+                    if window not in seen:
+                        seen[window] = (row, place) if n == 1 else None  # a class of several runs repeats whole
+                        continue
+                    if before := seen[window]:
+                        add(*before[0], [before[1]])
+                        seen[window] = None
+                    twice.append(place)
+                if n == 1:
+                    add(sha, first, twice)
+            yield _batch(out)
+
+    dealt = binary | {"windows": pa.binary(), "places": pa.binary()}
+    parts = pieces.where("windows is not null").select("anchor", "sha", "first", "n", "windows", "k").mapInArrow(tidied(deal), "anchor bigint, part bigint, sha binary, first bigint, n bigint, places binary, windows binary")
+    large = parts.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(tidied(count_parts), "sha binary, lo bigint, hi bigint")
     return _united(whole.unionByName(small).unionByName(large))
 
 
