@@ -2,9 +2,8 @@
 
 import numpy as np
 
-
-
 from weftline.llm import repeats
+from weftline.operators import arrival
 
 
 def test_a_large_group_of_near_copies_makes_few_rows(spark, monkeypatch):
@@ -25,3 +24,39 @@ def test_a_large_group_of_near_copies_makes_few_rows(spark, monkeypatch):
     monkeypatch.setattr(repeats, "CLASSES", 10_000)  # all buckets sorted
     assert got[1] == got[5] == got[1000] == sorted(map(tuple, repeats.report(df).collect()))
     assert sum(r[2] for r in got[1]) > 20_000
+
+
+def test_few_targets_give_the_bits(spark, monkeypatch):
+    """Seeds that nobody leads to took a bit each and part in all rounds; now targets have the bits if they are few. Circles and self-loops too."""
+    rng = np.random.default_rng(4)
+    edges = {(int(a), int(b)) for a, b in zip(rng.integers(0, 90, 150), rng.integers(0, 12, 150))} | {(3, 3), (90, 90), (91, 90)}
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+
+    def reached(seed):
+        found, waiting = set(), [seed]
+        while waiting:
+            for b in after.get(waiting.pop(), ()):
+                if b not in found:
+                    found.add(b)
+                    waiting.append(b)
+        return len(found - {seed})
+
+    called, plain = [], arrival._targets_of
+    monkeypatch.setattr(arrival, "_targets_of", lambda *a: called.append(a) or plain(*a))
+    seeds = [*range(92), 500]
+    df, asked = spark.createDataFrame(sorted(edges), "src long, dst long"), spark.createDataFrame([(k,) for k in seeds], "seed long")
+    for block, size in ((None, None), (3, 6)):
+        got = arrival.reach_sizes(df, asked, block, size)
+        assert sorted(map(tuple, got.collect())) == [(k, reached(k)) for k in seeds]
+    assert len(called) == 2
+
+
+def test_timed_events_are_one_sweep(spark, monkeypatch):
+    """Events dealt to buckets by number took as many rounds as paths cross buckets; a chain now is one sweep for each block, with its hops."""
+    monkeypatch.setattr(arrival, "_rounds", None)
+    n = 300
+    df = spark.createDataFrame([(k, k + 1, k // 3) for k in range(n)], "src long, dst long, at long")
+    got = arrival.arrivals(df, spark.createDataFrame([(k, 0) for k in range(n)], "seed long, start long"))
+    assert sorted(map(tuple, got.collect())) == [(a, b, max(0, (b - 1) // 3), b - a) for a in range(n) for b in range(a + 1, n + 1)]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.arrival import BLOCK, BUCKET, _labels, arrivals
+from weftline.operators.arrival import BLOCK, BUCKET, SWEPT, _labels, arrivals
 from weftline.session import cut, discard
 
 
@@ -34,7 +34,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -
     return seen.where("hops > 0")
 
 
-def earliest_arrival(events: DataFrame, seeds: DataFrame, block: int = BLOCK, size: int = BUCKET) -> DataFrame:
+def earliest_arrival(events: DataFrame, seeds: DataFrame, block: int | None = None, size: int = SWEPT) -> DataFrame:
     """(seed, node, at) of ``arrival.arrivals``, without hop counts."""
     return arrivals(events, seeds, block, size, hops=False).drop("hops")
 
