@@ -29,3 +29,18 @@ def test_edges_of_small_graphs_stay_off_the_driver(spark, monkeypatch, n):
             order, k = np.argsort(simulate.keyed_uniform(np.arange(g.n), run, 0, 7, 42), kind="stable"), min(2, g.n // 2)
             want.append({"cell": cell} | simulate.compete(g, order[:k], order[k : 2 * k], (b0, b1), run, gamma, 8))
     assert sorted((r.asDict() for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_strata_follow_their_own_seeds(spark, sf_dir, monkeypatch):
+    """All sources were followed, whatever the strata's size; now the strata's seeds are, with the ratios that they have among all."""
+    from weftline.operators import arrival
+    from weftline.plans import derived
+
+    monkeypatch.setattr(derived, "STRATUM", 3)
+    every = {r["seed"]: r["ratio"] for r in derived.t15(spark, sf_dir).collect()}
+    asked, plain = [], arrival.reach_sizes
+    monkeypatch.setattr(arrival, "reach_sizes", lambda edges, seeds, *a: asked.append(seeds.select("seed").distinct().count()) or plain(edges, seeds, *a))
+    got = derived._strata(spark, sf_dir).collect()
+    assert [r["stratum"] for r in got].count("random") == 3 == [r["stratum"] for r in got].count("high_out_strength")
+    assert len(asked) == 2 and max(asked) <= 6 < len(every)
+    assert all(r["ratio"] == every[r["seed"]] for r in got)

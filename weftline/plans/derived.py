@@ -18,6 +18,7 @@ from weftline.plans.graphs import _grid, x06
 from weftline.plans.panels import _FC, _LAB, _forecasts, _labels, _posts, t11
 from weftline.plans.registry import query
 from weftline.plans.sql import both, duck, view
+from weftline.session import cut
 
 # plain SQL for both engines
 both("k10_first_targets", "SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM pairs) x WHERE r <= 20", ("pairs",))
@@ -305,8 +306,17 @@ _RATIO = "e AS (SELECT DISTINCT src, dst, $epoch(ts)$ AS tm FROM ix), r(seed, no
 @query("t15_reach_ratio", duck(f"WITH {_RATIO}", ("ix",)).replace("WITH ix", "WITH RECURSIVE ix", 1))
 def t15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes reached in time as a share of those reached at all, by seed; null for a seed that reaches none."""
-    ix = view(spark, sf_dir, "ix").select("src", "dst", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
-    seeds = ix.select(F.col("src").alias("seed")).distinct()
+    ix = _timed(spark, sf_dir)
+    return _ratios(ix, ix.select(F.col("src").alias("seed")).distinct())
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(view(spark, sf_dir, "ix").select("src", "dst", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at")))
+
+
+def _ratios(ix: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, ratio) of seeds (seed), over all events."""
+    seeds = cut(seeds)
     start = ix.agg(F.min("at").alias("start"))
     timed = arrival.reach_sizes(ix, seeds.crossJoin(start)).withColumnRenamed("n", "t")  # a start for all
     static = arrival.reach_sizes(ix.select("src", "dst"), seeds).withColumnRenamed("n", "s")
@@ -320,12 +330,14 @@ STRATUM = 500
 
 
 def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(stratum, seed, ratio): seeds by hash, and those with most events; a seed may be in both."""
-    strength = view(spark, sf_dir, "ix").groupBy(F.col("src").alias("seed")).agg(F.count("*").alias("w"))
+    """(stratum, seed, ratio): seeds by hash, and those with most events; a seed may be in both. Other seeds aren't followed."""
+    ix = _timed(spark, sf_dir)
+    strength = cut(ix.groupBy(F.col("src").alias("seed")).agg(F.count("*").alias("w")))
     drawn = strength.orderBy(F.sha2(F.concat(F.lit("42|"), F.col("seed").cast("string")), 256)).limit(STRATUM)
     strong = strength.orderBy(F.desc("w"), "seed").limit(STRATUM)
     both = drawn.select(F.lit("random").alias("stratum"), "seed").unionByName(strong.select(F.lit("high_out_strength").alias("stratum"), "seed"))
-    return both.join(t15(spark, sf_dir), "seed")
+    both = cut(both, [strength])
+    return both.join(_ratios(ix, both.select("seed").distinct()), "seed")
 
 
 @query(
