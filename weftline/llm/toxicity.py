@@ -169,20 +169,30 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on rows of docs (doc_id, text) and labels (doc_id, toxic), without those held out."""
     m, out = HELD_OUT
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", m) != out)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    got: dict[int, list[str]] = {}
     pieces = SAMPLE_CHARS // PIECE
     size = F.char_length("text")
     spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substr("text", (i * size / pieces).cast("int") + 1, F.lit(PIECE))), " ")
     short = docs.select("doc_id", F.when(size > SAMPLE_CHARS, spread).otherwise(F.col("text")).alias("text")).where("text is not null")
-    for kind in (0, 1):
+
+    def of(kind: int) -> DataFrame:
         # a row of each class and id: which ids are taken is settled before any text is moved
         ids = known.where(F.col("toxic") == kind).join(short.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id")
-        texts = {r[0]: r[1] for r in short.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).toLocalIterator()}
-        got[kind] = [texts[k] for k in sorted(texts)]
-    model = fit(got[1], got[0])
-    del got
-    trim()
-    return model
+        return short.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select(F.lit(kind).alias("kind"), "doc_id", "text")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: tuple[list[str], list[str]] = [], []
+        for b in batches:
+            for kind, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                got[kind].append(text)
+        model = fit(got[1], got[0])
+        del got
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array([model.ordinary], pa.binary()), pa.array([model.toxic], pa.binary()), pa.array([list(model.weights)], pa.list_(pa.float64()))], ["ordinary", "toxic", "weights"])
+
+    # the sample is bounded: one task fits on it, as the driver's memory is small
+    rows = of(0).unionByName(of(1)).repartition(1).sortWithinPartitions("kind", "doc_id")
+    one = rows.mapInArrow(fitted, "ordinary binary, toxic binary, weights array<double>").first()
+    return Model(bytes(one.ordinary), bytes(one.toxic), tuple(one.weights)) if one else fit([], [])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
