@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import DataFrame
 
 from weftline.llm import toxicity
-from weftline.operators import simulate
+from weftline.operators import models, simulate
 
 
 @pytest.mark.parametrize("n", [0, 300])
@@ -66,3 +66,33 @@ def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "fit", elsewhere)
     assert toxicity.learn(docs.repartition(3), labels) == want
     assert toxicity.learn(docs.limit(0), labels) == toxicity.learn(docs, labels.limit(0)) == nothing
+
+
+def test_test_rows_of_jobs_are_no_group(spark):
+    """All rows of a job were one group in a task, test rows too (most of them); these stream by the models now, with the same chances."""
+    rng = np.random.default_rng(2)
+    rows = [(int(k % 3), k, int(rng.integers(0, 2)), float(rng.normal()), float(rng.normal() + k % 2), ("train", "validation", "test", "test")[k // 3 % 4]) for k in range(600)]
+    rows += [(7, 1000 + k, k % 2, 0.5, 1.0, "test") for k in range(3)]  # a job that has nothing to learn from
+    df = spark.createDataFrame(rows, "job int, row long, y int, a double, b double, part string")
+    out = models.train_jobs(df.repartition(5), ["a", "b"], "y", "part", "job")
+    got = {r["row"]: r["p1"] for r in out.collect()}
+    assert sorted(got) == sorted(r[1] for r in rows if r[5] == "test")
+    for job in range(3):
+        own = [r for r in rows if r[0] == job]
+        x, y, part = np.array([r[3:5] for r in own]), np.array([r[2] for r in own], float), np.array([r[5] for r in own])
+        a, v, t = (part == p for p in ("train", "validation", "test"))
+        weight = np.where(y == 1, 0.5 / (y[a] == 1).mean(), 0.5 / (y[a] == 0).mean())
+        z = (x - x[a].mean(0)) / x[a].std(0)
+        p = models.Mlp(2).fit(z[a], y[a], weight[a], z[v], y[v], weight[v]).probability(z[t])
+        assert [got[r[1]] for r in own if r[5] == "test"] == pytest.approx(p.tolist(), abs=1e-12)
+    assert all(got[1000 + k] is None for k in range(3))
+    again = models.train_jobs(df.where("job = 1").repartition(2), ["a", "b"], "y", "part", "job")
+    assert {r["row"]: r["p1"] for r in again.collect()} == {r[1]: got[r[1]] for r in rows if r[0] == 1 and r[5] == "test"}
+
+
+def test_groups_hold_no_test_rows(spark, monkeypatch):
+    asked, plain = [], type(spark.range(1).groupBy()).applyInPandas
+    kind = type(spark.range(1).groupBy())
+    monkeypatch.setattr(kind, "applyInPandas", lambda self, *a: asked.append(self._df.where("part = 'test'").count()) or plain(self, *a))
+    df = spark.createDataFrame([(0, k, k % 2, float(k), ("train", "validation", "test")[k % 3]) for k in range(30)], "job int, row long, y int, a double, part string")
+    assert models.train_jobs(df, ["a"], "y", "part", "job").count() == 10 and asked == [0]

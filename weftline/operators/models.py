@@ -1,15 +1,18 @@
-"""Baselines and models by rolling origin; jobs are rows, and a job's rows are what one task trains on."""
+"""Baselines and models by rolling origin; jobs are rows, and a job's rows of training and validation are what one task holds."""
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import cut, discard
+
 
 def class_weights(df: DataFrame, label: str, *keys: str) -> DataFrame:
     """Adds weight: N / (2 N_c)."""
@@ -120,23 +123,59 @@ class Mlp:
         return self
 
 
+def _by_row(w: list[np.ndarray], b: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Mlp.probability, with the same digits for a row whatever rows are beside it (products of matrices round by their shape)."""
+    for k, (own, base) in enumerate(zip(w, b)):
+        x = sum((x[:, i : i + 1] * own[i] for i in range(len(own))), np.zeros((len(x), len(base)))) + base
+        x = np.maximum(x, 0) if k < len(w) - 1 else x
+    return 1 / (1 + np.exp(-np.clip(x[:, 0], -30, 30)))
+
+
 def train_jobs(rows: DataFrame, features: list[str], label: str, part: str, *keys: str, seed: int = 0, hidden: int = 16) -> DataFrame:
-    """A job for each key: fit on part 'train', stop by 'validation', and give p1 for 'test' rows."""
-    schema = rows.select(*keys, "row", label).schema.add("p1", "double")
+    """A job for each key: fit on part 'train', stop by 'validation', and give p1 for 'test' rows.
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
+    A task holds the training and validation rows of a job, in the order of ``row``; test rows stream by the fitted models, wherever they lie.
+    """
+    rows = cut(rows.select(*keys, "row", label, *features, part))
+    number = [F.lit(None).cast("int")]
+    for k, r in enumerate(rows.select(*keys).distinct().collect()):  # a few
+        same = F.lit(True)
+        for c in keys:
+            same = same & F.col(c).eqNullSafe(F.lit(r[c]))
+        number.append(F.when(same, k))
+    dealt = rows.withColumn("_job", F.coalesce(*number))
+
+    def fitted(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
         x, y = frame[features].to_numpy(float), frame[label].to_numpy(float)
-        a, v, t = (frame[part].to_numpy() == p for p in ("train", "validation", "test"))
+        a, v = (frame[part].to_numpy() == p for p in ("train", "validation"))
         weight = np.where(y == 1, 0.5 / max((y[a] == 1).mean(), 1e-9), 0.5 / max((y[a] == 0).mean(), 1e-9)) if a.any() else np.ones(len(y))
         mean, sd = x[a].mean(0), x[a].std(0)
-        z = (x - mean) / np.where(sd > 0, sd, 1)
+        sd = np.where(sd > 0, sd, 1)
+        z = (x - mean) / sd
         v = v if v.any() else a
         model = Mlp(len(features), hidden, seed).fit(z[a], y[a], weight[a], z[v], y[v], weight[v])
-        out = frame.loc[t, [*keys, "row", label]].copy()
-        out["p1"] = model.probability(z[t])
-        return out
+        return mean, sd, model.w, model.b
 
-    return rows.groupBy(*keys).applyInPandas(one, schema)
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_job": frame["_job"].iloc[:1], "_model": [pickle.dumps(fitted(frame.sort_values("row", kind="stable")))]})
+
+    seen = dealt.where(F.col(part).isin("train", "validation")).select("_job", "row", label, *features, part)
+    made = {r[0]: pickle.loads(r[1]) for r in seen.groupBy("_job").applyInPandas(one, "_job int, _model binary").collect()}  # some kilobytes a job
+
+    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            x, job, p = f[features].to_numpy(float), f["_job"].to_numpy(), np.empty(len(f))
+            for j in np.unique(job).tolist():
+                if j not in made:
+                    made[j] = fitted(pd.DataFrame(columns=[*features, label, part], dtype=object))
+                mean, sd, w, b = made[j]
+                p[job == j] = _by_row(w, b, (x[job == j] - mean) / sd)
+            yield f[[*keys, "row", label]].assign(p1=p)
+
+    tested = dealt.where(F.col(part) == "test").select(*keys, "row", label, *features, "_job")
+    out = cut(tested.mapInPandas(predict, rows.select(*keys, "row", label).schema.add("p1", "double")))
+    discard(rows)
+    return out
 
 
 def resumed(rows: DataFrame, run: Callable[[DataFrame], DataFrame], path: str, *keys: str) -> int:
