@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from weftline.operators import simulate
+from weftline.operators import paths, simulate
 from weftline.plans import more
 
 
@@ -28,3 +28,14 @@ def test_named_experiments_simulate_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(simulate, "simulate", lambda *a, **k: asked.append(1) or plain(*a, **k))
     rows = {r["cell"]: r["n"] for r in more.x10(spark, sf_dir).collect()}
     assert len(asked) == 1 and rows["balanced"] == 30 and rows["slow_recovery"] == 10
+
+
+def test_bow_ties_take_no_round_for_each_hop(spark, monkeypatch):
+    """A path of so many nodes before and after each core took so many rounds."""
+    monkeypatch.setattr(paths, "reachable", lambda *a, **k: pytest.fail("hop by hop"))
+    edges = [(k, k + 1) for k in range(40)] + [(20, 19), (50, 20)] + [(100 + k, 101 + k) for k in range(30)] + [(129, 128), (110, 110), (140, 141)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    strong = paths.strong_components(df).selectExpr("node", "component", "node >= 100 AS key")
+    got = {r["node"]: r["region"] for r in paths.bow_tie_by(df, strong, "key").collect()}
+    want = {k: "in" if k < 19 else "core" if k < 21 else "out" for k in range(41)} | {50: "in", 140: "other", 141: "other"}
+    assert got == want | {100 + k: "in" if k < 28 else "core" if k < 30 else "out" for k in range(31)}

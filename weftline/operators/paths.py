@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.arrival import BLOCK, BUCKET, SWEPT, _labels, arrivals
+from weftline.operators.arrival import BLOCK, BUCKET, SWEPT, _labels, _numbered, arrivals
 from weftline.session import cut, discard
 
 
@@ -148,8 +148,15 @@ def bow_tie_by(edges: DataFrame, strong: DataFrame, *keys: str) -> DataFrame:
     first = Window.partitionBy(*keys).orderBy(F.desc("n"), F.desc("component"))
     core = cut(sizes.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("component", F.col("component").alias("seed")))  # a row for each key
     members = cut(strong.join(F.broadcast(core), "component").select("node", "seed"))
-    seeds = members.groupBy("seed").agg(F.min("node").alias("s")).select(F.col("s").alias("seed"))  # all members reach the same nodes
-    out = reachable(edges, seeds).select("node").distinct().join(members, "node", "left_anti").withColumn("o", F.lit(True))
-    into = reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds).select("node").distinct().join(members, "node", "left_anti").withColumn("i", F.lit(True))
+    seeds = members.groupBy("seed").agg(F.min("node").alias("s")).select(F.col("s").alias("seed"), F.lit(0).alias("start"))  # all members reach the same nodes
+    bits, links = _numbered(seeds, BLOCK), cut(edges.where("src <> dst").select("src", "dst").distinct())
+
+    def reached(a: str, b: str, name: str) -> DataFrame:
+        """What the cores lead to: a bit for each, swept by buckets, as hop by hop a long path is a round for each of its edges."""
+        labels, *others = _labels(links.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(0).alias("at")), bits, BUCKET)
+        discard(*others)
+        return labels.select("node").distinct().join(members, "node", "left_anti").withColumn(name, F.lit(True))
+
+    out, into = reached("src", "dst", "o"), reached("dst", "src", "i")
     marked = strong.join(members.select("node", F.lit(True).alias("c")), "node", "left").join(out, "node", "left").join(into, "node", "left")
     return marked.select(*keys, "node", F.when(F.col("c"), "core").when(F.col("i"), "in").when(F.col("o"), "out").otherwise("other").alias("region"))
