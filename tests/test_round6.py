@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from weftline.operators import paths, simulate
+from weftline.operators import paths, simulate, spectral
 from weftline.plans import more
 
 
@@ -39,3 +39,35 @@ def test_bow_ties_take_no_round_for_each_hop(spark, monkeypatch):
     got = {r["node"]: r["region"] for r in paths.bow_tie_by(df, strong, "key").collect()}
     want = {k: "in" if k < 19 else "core" if k < 21 else "out" for k in range(41)} | {50: "in", 140: "other", 141: "other"}
     assert got == want | {100 + k: "in" if k < 28 else "core" if k < 30 else "out" for k in range(31)}
+
+
+def test_a_transpose_shares_its_components(spark, monkeypatch):
+    """Components were looked for twice, and both directions were iterated on one after the other."""
+    monkeypatch.setattr(spectral, "DENSE", 4)
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b), int(w)) for a, b, w in rng.integers(1, 9, (40, 3))] + [(k + 20, (k + 1) % 3 + 20, k + 1) for k in range(3)]
+    df = spark.createDataFrame(edges, "src long, dst long, w long").groupBy("src", "dst").sum("w").withColumnRenamed("sum(w)", "w")
+    searched, iterated, strong, perron = [], [], spectral.strong_components, spectral.perron
+    monkeypatch.setattr(spectral, "strong_components", lambda *a: searched.append(1) or strong(*a))
+    monkeypatch.setattr(spectral, "perron", lambda *a: iterated.append(1) or perron(*a))
+    got = {r["component"]: (r["radius"], r["other"]) for r in spectral.both_radii(df).collect()}
+    assert len(searched) == len(iterated) == 1
+    want = {r["component"]: r["radius"] for r in spectral.spectral_radius(df).collect()}
+    assert sorted(got) == sorted(want) == [1, 20]
+    for c, pair in got.items():
+        assert pair == pytest.approx((want[c], want[c]), rel=1e-9)
+
+
+def test_a_dominant_vector_is_iterated_once(spark, monkeypatch):
+    """The block with the greatest radius was iterated on a second time, for its vector."""
+    monkeypatch.setattr(spectral, "DENSE", 2)
+    edges = [(0, 1, 2.0), (1, 2, 1.0), (2, 0, 3.0), (1, 0, 1.0), (7, 8, 0.5), (8, 7, 0.5)]
+    iterated, perron = [], spectral.perron
+    monkeypatch.setattr(spectral, "perron", lambda *a: iterated.append(1) or perron(*a))
+    got = {r["node"]: r["mass"] for r in spectral.dominant_vector(spark.createDataFrame(edges, "src long, dst long, w double")).collect()}
+    a = np.zeros((3, 3))
+    for i, j, w in edges[:4]:
+        a[i, j] = w
+    values, vectors = np.linalg.eig(a)
+    top = np.abs(vectors[:, np.argmax(values.real)].real)
+    assert len(iterated) == 1 and [got[k] for k in range(3)] == pytest.approx(top / top.sum(), abs=1e-9)
