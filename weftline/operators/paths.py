@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.arrival import BLOCK, BUCKET, SWEPT, _labels, _numbered, arrivals
+from weftline.operators.arrival import BLOCK, BUCKET, HELD_EDGES, SWEPT, _labels, _numbered, arrivals, contracted
 from weftline.session import cut, discard
 
 
@@ -99,12 +99,12 @@ def strong_components(edges: DataFrame, pivots: int = BLOCK, size: int = BUCKET)
     Forward and backward search from many pivots at once. Nodes that the same pivots reach, and that reach the same pivots, are one part: a
     strong component never lies in two, so edges between parts go, and a pivot's bit serves in every part. Parts of up to ``pivots`` nodes are
     settled by the next search, as all of their nodes are pivots; larger ones are split some ``pivots`` times, so rounds follow the logarithm
-    of the number of nodes to that base.
+    of the number of nodes to that base. Before, nodes on circles within ranges of the edges become one (``contracted``), the least of them; if no circle is left, nothing is searched.
     """
     every = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    left = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    tied, left, done = contracted(cut(edges.where("src <> dst").select("src", "dst").distinct()), min(size, HELD_EDGES))
     parts, found = None, []
-    while not left.isEmpty():
+    while not (done or left.isEmpty()):
         nodes = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
         nodes = cut(nodes.withColumn("part", F.lit("")) if parts is None else nodes.join(parts, "node"))
         order = Window.partitionBy("part").orderBy(F.xxhash64("node"), "node")
@@ -122,12 +122,16 @@ def strong_components(edges: DataFrame, pivots: int = BLOCK, size: int = BUCKET)
         parts = split.where("root is null").select("node", F.col("next").alias("part"))
         ends = lambda c: parts.select(F.col("node").alias(c), F.col("part").alias(f"part_{c}"))
         left = cut(left.select("src", "dst").join(ends("src"), "src").join(ends("dst"), "dst").where("part_src = part_dst").select("src", "dst"), [left])
+    if tied is not None:
+        every = every.join(tied, "node", "left").withColumn("to", F.coalesce("to", "node"))
+    else:
+        every = every.withColumn("to", F.col("node"))
     if not found:
-        return every.withColumn("component", F.col("node"))
+        return every.select("node", F.col("to").alias("component"))
     all_found = found[0]
     for more in found[1:]:
         all_found = all_found.unionByName(more)
-    return every.join(all_found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return every.join(all_found.withColumnRenamed("node", "to"), "to", "left").select("node", F.coalesce("component", "to").alias("component"))
 
 
 def bow_tie(edges: DataFrame) -> DataFrame:
@@ -146,17 +150,18 @@ def bow_tie_by(edges: DataFrame, strong: DataFrame, *keys: str) -> DataFrame:
     """(keys, node, region) for several graphs at once: strong has (node, component, keys), nodes being distinct among graphs."""
     sizes = strong.groupBy(*keys, "component").agg(F.count("*").alias("n"))
     first = Window.partitionBy(*keys).orderBy(F.desc("n"), F.desc("component"))
-    core = cut(sizes.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("component", F.col("component").alias("seed")))  # a row for each key
-    members = cut(strong.join(F.broadcast(core), "component").select("node", "seed"))
-    seeds = members.groupBy("seed").agg(F.min("node").alias("s")).select(F.col("s").alias("seed"), F.lit(0).alias("start"))  # all members reach the same nodes
-    bits, links = _numbered(seeds, BLOCK), cut(edges.where("src <> dst").select("src", "dst").distinct())
+    core = cut(sizes.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("component"))  # a row for each key
+    bits = cut(_numbered(core.select(F.col("component").alias("seed"), F.lit(0).alias("start")), BLOCK))
+    ends = lambda c, part: strong.select(F.col("node").alias(c), F.col("component").alias(part))
+    links = edges.where("src <> dst").join(ends("src", "a"), "src").join(ends("dst", "b"), "dst").where("a <> b")
+    links = cut(links.select("a", "b").distinct())  # all members of a component reach the same nodes
 
     def reached(a: str, b: str, name: str) -> DataFrame:
-        """What the cores lead to: a bit for each, swept by buckets, as hop by hop a long path is a round for each of its edges."""
+        """The components that the cores lead to: a bit for each core, swept by buckets, as hop by hop a long path is a round for each of its edges."""
         labels, *others = _labels(links.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(0).alias("at")), bits, BUCKET)
         discard(*others)
-        return labels.select("node").distinct().join(members, "node", "left_anti").withColumn(name, F.lit(True))
+        return labels.select(F.col("node").alias("component")).distinct().join(core, "component", "left_anti").withColumn(name, F.lit(True))
 
-    out, into = reached("src", "dst", "o"), reached("dst", "src", "i")
-    marked = strong.join(members.select("node", F.lit(True).alias("c")), "node", "left").join(out, "node", "left").join(into, "node", "left")
+    out, into = reached("a", "b", "o"), reached("b", "a", "i")
+    marked = strong.join(core.withColumn("c", F.lit(True)), "component", "left").join(out, "component", "left").join(into, "component", "left")
     return marked.select(*keys, "node", F.when(F.col("c"), "core").when(F.col("i"), "in").when(F.col("o"), "out").otherwise("other").alias("region"))
